@@ -116,7 +116,7 @@ ZSCORE = f"""round({STD}, 4) AS customer_same_currency_std_amount_30d, round(CAS
 
 @query("w14_amount_zscore", history_oracle(ZSCORE))
 def _(b):
-    out = H.with_history(H.timeline(b.card_events), [H.same_currency()], H.zscore_features())
+    out = H.with_history(H.timeline(b.card_events), [H.amount_spread()], H.zscore_features())
     return out.select("transaction_id", *[F.round(c, 4).alias(c) for c in H.zscore_features()])
 
 

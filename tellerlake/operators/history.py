@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,17 @@ def coarse(coordinate: Column) -> Column:
     return F.round(coordinate.cast("decimal(10,7)"), 1).cast("decimal(6,1)")
 
 
+def tenths(bin_: Column) -> Column:
+    return (bin_ * 10).cast("bigint")
+
+
 def _one() -> Column:
     return F.lit(1).cast("bigint")
 
 
-def _exact(amount: str) -> Column:
-    return F.abs(F.col(amount).cast("decimal(15,2)"))
+def cents(amount: str) -> Column:
+    """Absolute amount in exact integer cents: sums stay in fast 64-bit arithmetic (overflow is an error)."""
+    return (F.abs(F.col(amount).cast("decimal(15,2)")) * 100).cast("bigint")
 
 
 def timeline(df: DataFrame, row_id: str = "transaction_id", at: str = "transaction_date") -> DataFrame:
@@ -51,10 +58,16 @@ def velocity() -> History:
 
 def same_currency() -> History:
     """Counts rows and non-null amounts, sums amounts and squares: mean, deviation and ratio follow exactly."""
-    amount = _exact("amount")
+    amount = cents("amount")
     return History("currency", ["_customer_id", "currency"], {"30d": THIRTY_DAYS},
                    {"n": _one(), "amounts": F.when(F.col("amount").isNotNull(), 1).cast("bigint"),
-                    "sum": amount, "squares": (amount * amount).cast("decimal(30,4)")})
+                    "cents": amount})
+
+
+def amount_spread() -> History:
+    """As `same_currency`, with squares (in cents) for the deviation; they need decimals."""
+    base, amount = same_currency(), cents("amount").cast("decimal(15,0)")
+    return replace(base, sums={**base.sums, "squares": amount * amount})
 
 
 def merchant_familiarity() -> History:
@@ -70,7 +83,7 @@ def geo_position() -> History:
         return F.when(F.col(c).isNotNull(), 1).cast("bigint")
     return History("geo", ["_customer_id"], {"30d": THIRTY_DAYS},
                    {"n": _one(), "located": F.when(F.col("_located"), 1).otherwise(0).cast("bigint"),
-                    "lats": present("_lat"), "lat": F.col("_lat"), "lons": present("_lon"), "lon": F.col("_lon")})
+                    "lats": present("_lat"), "lat": tenths(F.col("_lat")), "lons": present("_lon"), "lon": tenths(F.col("_lon"))})
 
 
 def geo_bin() -> History:
@@ -82,7 +95,7 @@ def product_velocity() -> History:
 
 
 def product_amounts() -> History:
-    return History("spend", ["_product_id", "currency"], {"1h": HOUR}, {"n": F.when(F.col("amount").isNotNull(), 1).cast("bigint"), "sum": _exact("amount")},
+    return History("spend", ["_product_id", "currency"], {"1h": HOUR}, {"n": F.when(F.col("amount").isNotNull(), 1).cast("bigint"), "cents": cents("amount")},
                    width=10 * MINUTE)
 
 
@@ -100,7 +113,7 @@ def velocity_features() -> dict[str, Column]:
 
 
 def currency_features() -> dict[str, Column]:
-    n, mean = F.col("currency_n_30d").cast("double"), F.col("currency_sum_30d").cast("double") / F.col("currency_amounts_30d")
+    n, mean = F.col("currency_n_30d").cast("double"), F.col("currency_cents_30d") / 100.0 / F.col("currency_amounts_30d")
     mean = F.when(F.col("currency_amounts_30d") > 0, mean)
     return {
         "customer_same_currency_tx_count_30d": n,
@@ -110,12 +123,12 @@ def currency_features() -> dict[str, Column]:
 
 
 def zscore_features() -> dict[str, Column]:
-    n, total, squares = (F.col(f"currency_{m}_30d") for m in ("amounts", "sum", "squares"))
-    total = total.cast("decimal(18,2)")
+    n, total, squares = (F.col(f"currency_{m}_30d") for m in ("amounts", "cents", "squares"))
     # n * sum of squares - square of the sum is exact in decimals: equal amounts give exactly zero.
-    spread = (n.cast("decimal(10,0)") * squares.cast("decimal(27,4)") - (total * total).cast("decimal(37,4)")).cast("double")
-    std = F.when(n >= 2, F.sqrt(spread / (n.cast("double") * (n - 1).cast("double"))))
-    mean = F.when(n > 0, total.cast("double") / n)
+    whole = total.cast("decimal(18,0)")
+    spread = (n.cast("decimal(10,0)") * squares.cast("decimal(27,0)") - whole * whole).cast("double")
+    std = F.when(n >= 2, F.sqrt(spread / (n.cast("double") * (n - 1).cast("double"))) / 100.0)
+    mean = F.when(n > 0, total / 100.0 / n)
     return {
         "customer_same_currency_std_amount_30d": std,
         "customer_amount_zscore_30d": F.when((n >= MIN_HISTORY) & (std > 0), (F.abs(F.col("amount").cast("double")) - mean) / std),
@@ -135,7 +148,7 @@ def country_features() -> dict[str, Column]:
 def geo_features() -> dict[str, Column]:
     """An empty frame leaves the located count NULL, as a sum does, while other counts are 0."""
     def mean(c: str) -> Column:
-        return F.when(F.col(f"geo_{c}s_30d") > 0, F.col(f"geo_{c}_30d").cast("double") / F.col(f"geo_{c}s_30d"))
+        return F.when(F.col(f"geo_{c}s_30d") > 0, F.col(f"geo_{c}_30d") / 10.0 / F.col(f"geo_{c}s_30d"))
     lat, lon, mean_lat, mean_lon = F.col("_lat").cast("double"), F.col("_lon").cast("double"), mean("lat"), mean("lon")
     north = (lat - mean_lat) * KM_PER_DEGREE
     east = (lon - mean_lon) * KM_PER_DEGREE * F.cos(F.radians((lat + mean_lat) / 2.0))
@@ -150,7 +163,7 @@ def geo_features() -> dict[str, Column]:
 def product_features() -> dict[str, Column]:
     return {
         "product_tx_count_5m": F.col("product_n_5m"), "product_tx_count_1h": F.col("product_n_1h"),
-        "product_same_currency_abs_amount_sum_1h": F.when(F.col("spend_n_1h") > 0, F.col("spend_sum_1h").cast("double")),
+        "product_same_currency_abs_amount_sum_1h": F.when(F.col("spend_n_1h") > 0, F.col("spend_cents_1h") / 100.0),
     }
 
 

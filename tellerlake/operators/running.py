@@ -1,9 +1,10 @@
-"""Running totals that never put one key's whole history into one task.
+"""Running totals that never put a hot key's whole history into one task.
 
-A key's timeline is cut into slices of fixed width. Slice totals are combined before any shuffle, their running
-sum over slices gives each slice an opening balance, and only the rows of one (key, slice) share a task. A key
-that owns a third of the table is therefore spread over (time span / width) tasks, and every count or sum over
-`[T - d, T)` is a difference of two running totals: linear work, whatever the number of rows inside a frame.
+Most keys are short and are handled as one ordered run. A key that holds more than its share of the rows is cut
+into time slices: slice totals are combined before any shuffle, their running sum gives each slice an opening
+balance, and only the rows of one (key, slice) share a task, so such a key is spread over (time span / width)
+tasks. Every count or sum over `[T - d, T)` is a difference of two running totals: linear work, whatever the
+number of rows inside a frame.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
+# A key is hot when it has this many rows and more than 1 / HOT_KEYS of all rows; so there are fewer than
+# HOT_KEYS hot keys, which bounds the broadcast list of them.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 100_000
+
 
 def epoch_us(ts: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone (the session zone is UTC)."""
@@ -31,26 +37,44 @@ def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one_row", F.lit(1)).join(F.broadcast(one.withColumn("_one_row", F.lit(1))), "_one_row").drop("_one_row")
 
 
-def _slice(at: str, width: int) -> Column:
-    return F.expr(f"(`{at}` - pmod(`{at}`, {width}L)) div {width}L")
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, total: DataFrame | None = None) -> DataFrame:
+    """The keys that need splitting: at most HOT_KEYS rows, by counting."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows)
+    total = (df if total is None else total).agg(F.count(F.lit(1)).alias("_all"))
+    return attach_one_row(counts, total).where(F.col("_rows") * HOT_KEYS > F.col("_all")).select(*keys)
+
 
+def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    """Add `_hot`; `hot` comes from `hot_keys`, so the broadcast side is bounded by HOT_KEYS rows."""
+    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    marked = df.join(F.broadcast(hot), on, "left")
+    return marked.select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot"))
 
-def accumulate_before(timeline: DataFrame, keys: Sequence[str], at: str, sums: Sequence[str] = (),
-                      maxes: Sequence[str] = (), width: int = HOUR) -> DataFrame:
+
+def accumulate_before(timeline: DataFrame, keys: Sequence[str], at: str, sums: Sequence[str] = (), maxes: Sequence[str] = (),
+                      width: int | str = HOUR, hot_rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:
     """Replace each measure by its sum (or max) over the rows of the same key with a strictly smaller `at`.
 
-    `at` is a non-null BIGINT. Rows with equal `at` never see each other. Empty history gives NULL.
+    `at` is a non-null BIGINT; `width` is the slice width of hot keys, or the name of a key column that holds it.
+    Rows with equal `at` never see each other. Empty history gives NULL. `hot` names the keys to split when the
+    caller has counted them already.
     """
     keys = list(keys)
+    if hot is None:
+        hot = hot_keys(timeline, keys, HOT_ROWS if hot_rows is None else hot_rows)
     measures = [*[(m, F.sum) for m in sums], *[(m, F.max) for m in maxes]]
-    sliced = timeline.withColumn("_slice", _slice(at, width))
-    totals = sliced.groupBy(*keys, "_slice").agg(*[f(m).alias(m) for m, f in measures])
+    size = F.col(width) if isinstance(width, str) else F.lit(width).cast("bigint")
+    position = F.col(at)
+    sliced = mark_hot(timeline, keys, hot).withColumn(
+        "_slice", F.when(F.col("_hot"), F.call_function("div", position - F.pmod(position, size), size)).otherwise(F.lit(0)))
+    totals = sliced.where("_hot").groupBy(*keys, "_slice").agg(*[f(m).alias(m) for m, f in measures])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = totals.select(
-        *keys, "_slice", (F.col("_slice") * F.lit(width) - 1).alias(at), F.lit(True).alias("_opening"),
+        *keys, "_slice", (F.col("_slice") * size - 1).alias(at), F.lit(True).alias("_opening"),
         *[f(m).over(earlier).alias(m) for m, f in measures])
     within = Window.partitionBy(*keys, "_slice").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    rows = sliced.withColumn("_opening", F.lit(False)).unionByName(opening, allowMissingColumns=True)
+    rows = sliced.drop("_hot").withColumn("_opening", F.lit(False)).unionByName(opening, allowMissingColumns=True)
     payload = [c for c in timeline.columns if c not in {m for m, _ in measures}]
     return (rows.select(*payload, "_opening", *[f(m).over(within).alias(m) for m, f in measures])
             .where(~F.col("_opening")).drop("_opening"))
@@ -73,54 +97,90 @@ class History:
     width: int = HOUR
 
 
-def _probes(df: DataFrame, h: History, row_id: str, at: str, own: bool) -> DataFrame:
-    """One row at T and one at T - d per bounded frame; with `own`, the row at T also contributes itself."""
-    spots = [F.struct(F.lit("now").alias("_frame"), F.col(at).alias("_at"))]
-    spots += [F.struct(F.lit(label).alias("_frame"), (F.col(at) - F.lit(d)).alias("_at"))
-              for label, d in h.frames.items() if d is not None]
-    carried = {**h.sums, **h.latest} if own else {}
-    spread = df.select(*h.keys, row_id, F.explode(F.array(*spots)).alias("_spot"),
-                       *[c.alias(f"_m_{n}") for n, c in carried.items()])
-    return spread.select(*h.keys, row_id, "_spot.*",
-                         *[F.when(F.col("_spot._frame") == "now", F.col(f"_m_{n}")).alias(f"_m_{n}") for n in carried])
-
-
-def _long(probes: DataFrame, facts: DataFrame | None, h: History, row_id: str, at: str) -> DataFrame:
-    timeline = _probes(probes, h, row_id, at, own=facts is None)
-    if facts is not None:
-        contributed = facts.select(*h.keys, F.col(at).alias("_at"),
-                                   *[c.alias(f"_m_{n}") for n, c in {**h.sums, **h.latest}.items()])
-        timeline = contributed.unionByName(timeline, allowMissingColumns=True)
-    done = accumulate_before(timeline, h.keys, "_at", [f"_m_{n}" for n in h.sums], [f"_m_{n}" for n in h.latest], h.width)
-    if facts is not None:
-        done = done.where(F.col("_frame").isNotNull())
-    now = F.col("_frame") == "now"
-    cols = []
-    for n in h.sums:
-        total = F.coalesce(F.col(f"_m_{n}"), F.lit(0))
-        for label, d in h.frames.items():
-            signed = F.when(now, total)
-            if d is not None:
-                signed = signed.when(F.col("_frame") == label, -total)
-            cols.append(signed.alias(f"{h.name}_{n}_{label}"))
-    cols += [F.when(now, F.col(f"_m_{n}")).alias(f"{h.name}_{n}") for n in h.latest]
-    return done.select(row_id, *cols)
+def _absent(c: Column) -> Column:
+    return F.when(F.lit(False), c)
+
+
+def _slots(df: DataFrame, histories: Sequence[History]) -> dict[tuple[str, str], str]:
+    """(history, measure) to the shared column that carries it: `_i*` integers, `_d*` decimals."""
+    measures = [(h.name, m, c) for h in histories for m, c in h.sums.items()]
+    types = df.select(*[c for _, _, c in measures]).schema if measures else []
+    out, used = {}, {}
+    for (name, m, _), column in zip(measures, types):
+        kind = "d" if column.dataType.typeName() == "decimal" else "i"
+        out[name, m] = f"_{kind}{used.setdefault((name, kind), 0)}"
+        used[name, kind] += 1
+    return out
+
+
+def _key_columns(h: History, number: int, depth: int) -> list[Column]:
+    keys = [F.col(k).cast("string") for k in h.keys] + [F.lit(None).cast("string")] * (depth - len(h.keys))
+    return [F.lit(number).alias("_h"), F.lit(h.width).cast("bigint").alias("_w"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)]]
+
+
+def _entries(histories: Sequence[History], slots: dict[tuple[str, str], str], at: str, own: bool, probing: bool) -> list[Column]:
+    """The timeline rows one input row stands for, over all histories, in one shape.
+
+    Each bounded frame adds a row at T - d that only reads; the row at T reads, and contributes when `own`.
+    """
+    depth = max(len(h.keys) for h in histories)
+    kinds = {slot: "decimal(38,0)" if slot.startswith("_d") else "bigint" for slot in sorted(set(slots.values()))}
+    out = []
+    for number, h in enumerate(histories):
+        values = {slot: F.lit(None).cast(kind) for slot, kind in kinds.items()}
+        values |= {slots[h.name, m]: c.cast(kinds[slots[h.name, m]]) for m, c in h.sums.items()}
+        values |= {f"_l_{g.name}_{n}": c if g is h else _absent(c) for g in histories for n, c in g.latest.items()}
+        spots = [("now" if probing else None, 0)]
+        if probing:
+            spots += [(label, d) for label, d in h.frames.items() if d is not None]
+        for label, back in spots:
+            contributes = own and label in ("now", None)
+            out.append(F.struct(
+                *_key_columns(h, number, depth), F.lit(label).cast("string").alias("_f"), (F.col(at) - F.lit(back).cast("bigint")).alias("_at"),
+                *[(c if contributes else _absent(c)).alias(n) for n, c in values.items()]))
+    return out
 
 
 def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[History],
-                  facts: DataFrame | None = None) -> DataFrame:
+                  facts: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
     """Totals over `[T - d, T)` for every row of `probes`; one output row per `row_id` (unique in `probes`).
 
     Without `facts` a row's history is the other rows of `probes`. Rows at exactly T and later rows never count.
     Empty frames give 0 for every measure: keep a count among the measures to tell "none" from "zero".
+    All histories share one timeline, so the number of shuffles does not grow with the number of features.
     """
-    parts = [_long(probes, facts, h, row_id, at) for h in histories]
-    merged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    source = probes if facts is None else facts
+    slots = _slots(source, histories)
+    if facts is None:
+        timeline = probes.select(row_id, F.inline(F.array(*_entries(histories, slots, at, own=True, probing=True))))
+    else:
+        given = facts.select(F.inline(F.array(*_entries(histories, slots, at, own=True, probing=False))))
+        bare = [History(h.name, h.keys, h.frames, width=h.width) for h in histories]
+        asked = probes.select(row_id, F.inline(F.array(*_entries(bare, {}, at, own=False, probing=True))))
+        timeline = given.unionByName(asked, allowMissingColumns=True)
+    keys = [c for c in timeline.columns if c in ("_h", "_w") or c.startswith("_k")]
+    sums = sorted(set(slots.values()))
+    maxes = [f"_l_{h.name}_{n}" for h in histories for n in h.latest]
+    # Hot keys are counted on the input rows, before frames multiply them.
+    depth = max(len(h.keys) for h in histories)
+    named = F.inline(F.array(*[F.struct(*_key_columns(h, i, depth)) for i, h in enumerate(histories)]))
+    counted = source.select(named) if facts is None else source.select(named).unionByName(probes.select(named))
+    hot = hot_keys(counted, keys, HOT_ROWS if hot_rows is None else hot_rows, total=source)
+    done = accumulate_before(timeline, keys, "_at", sums, maxes, "_w", hot=hot).where(F.col("_f").isNotNull())
+    # Narrow rows are moved to their row id once; the wide aggregate then needs no further shuffle.
+    long = done.select(row_id, "_h", "_f", *sums, *maxes).repartition(row_id)
     aggs = []
-    for h in histories:
-        aggs += [F.sum(f"{h.name}_{n}_{label}").alias(f"{h.name}_{n}_{label}") for n in h.sums for label in h.frames]
-        aggs += [F.max(f"{h.name}_{n}").alias(f"{h.name}_{n}") for n in h.latest]
-    return merged.groupBy(row_id).agg(*aggs)
+    for number, h in enumerate(histories):
+        mine, now = F.col("_h") == number, F.col("_f") == "now"
+        for m in h.sums:
+            total = F.coalesce(F.col(slots[h.name, m]), F.lit(0))
+            for label, d in h.frames.items():
+                signed = F.when(mine & now, total)
+                if d is not None:
+                    signed = signed.when(mine & (F.col("_f") == label), -total)
+                aggs.append(F.sum(signed).alias(f"{h.name}_{m}_{label}"))
+        aggs += [F.max(F.when(mine & now, F.col(f"_l_{h.name}_{n}"))).alias(f"{h.name}_{n}") for n in h.latest]
+    return long.groupBy(row_id).agg(*aggs)
 
 
 def cumulate_groups(groups: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], grain: float,
@@ -179,7 +239,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     return out
 
 
-def global_rank(df: DataFrame, score: str, row_id: str, score_grain: float, id_width: int = 1_000_000) -> DataFrame:
+def global_rank(df: DataFrame, score: str, row_id: str, score_grain: float, id_width: int = 1_000_000, hot_rows: int | None = None) -> DataFrame:
     """Add `rank`: position by (score descending, row_id ascending) over the whole table, without a global sort.
 
     Rows above a score come from the score groups; rows ahead inside a tie come from sliced id order, so a
@@ -189,7 +249,7 @@ def global_rank(df: DataFrame, score: str, row_id: str, score_grain: float, id_w
     above = cumulate_groups(groups, [], "_s", ["_n"], score_grain, descending=True).select(
         "_s", (F.col("cum__n") - F.col("_n")).alias("_above"))
     ahead = accumulate_before(df.withColumn("_one", F.lit(1)).withColumn("_id", F.col(row_id).cast("bigint")),
-                              [score], "_id", ["_one"], width=id_width)
+                              [score], "_id", ["_one"], width=id_width, hot_rows=hot_rows)
     return (ahead.join(above, F.col(score).eqNullSafe(F.col("_s")))
             .withColumn("rank", F.col("_above") + F.coalesce(F.col("_one"), F.lit(0)) + 1)
             .drop("_s", "_id", "_one", "_above", "_slice"))
