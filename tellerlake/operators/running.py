@@ -125,19 +125,19 @@ def _entries(histories: Sequence[History], slots: dict[tuple[str, str], str], at
     """
     depth = max(len(h.keys) for h in histories)
     kinds = {slot: "decimal(38,0)" if slot.startswith("_d") else "bigint" for slot in sorted(set(slots.values()))}
+    nothing = {slot: F.lit(None).cast(kind).alias(slot) for slot, kind in kinds.items()}
+    nothing |= {f"_l_{h.name}_{n}": _absent(c).alias(f"_l_{h.name}_{n}") for h in histories for n, c in h.latest.items()}
     out = []
     for number, h in enumerate(histories):
-        values = {slot: F.lit(None).cast(kind) for slot, kind in kinds.items()}
-        values |= {slots[h.name, m]: c.cast(kinds[slots[h.name, m]]) for m, c in h.sums.items()}
-        values |= {f"_l_{g.name}_{n}": c if g is h else _absent(c) for g in histories for n, c in g.latest.items()}
-        spots = [("now" if probing else None, 0)]
-        if probing:
-            spots += [(label, d) for label, d in h.frames.items() if d is not None]
-        for label, back in spots:
-            contributes = own and label in ("now", None)
-            out.append(F.struct(
-                *_key_columns(h, number, depth), F.lit(label).cast("string").alias("_f"), (F.col(at) - F.lit(back).cast("bigint")).alias("_at"),
-                *[(c if contributes else _absent(c)).alias(n) for n, c in values.items()]))
+        keys = _key_columns(h, number, depth)
+        measured = {slots[h.name, m]: c.cast(kinds[slots[h.name, m]]) for m, c in h.sums.items()}
+        measured |= {f"_l_{h.name}_{n}": c for n, c in h.latest.items()}
+        values = [*({**nothing, **{n: c.alias(n) for n, c in measured.items()}}.values())] if own else [*nothing.values()]
+        here = F.lit("now" if probing else None).cast("string").alias("_f")
+        out.append(F.struct(*keys, here, F.col(at).alias("_at"), *values))
+        for label, back in h.frames.items() if probing else ():
+            if back is not None:
+                out.append(F.struct(*keys, F.lit(label).alias("_f"), (F.col(at) - F.lit(back).cast("bigint")).alias("_at"), *nothing.values()))
     return out
 
 
