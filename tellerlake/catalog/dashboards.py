@@ -36,8 +36,8 @@ ALL_GOLD = "g_360"
 
 
 def ranked(b):
-    c360 = G.customer_360(b)
-    return retention.banded(retention.eligible(c360, G.transactions(b), G.interactions(b), G.cases(b))), c360
+    core = G.customer_core(b)
+    return retention.banded(retention.eligible(core, G.transactions(b), G.interactions(b), G.cases(b))), core
 
 
 def ranked_oracle(body):

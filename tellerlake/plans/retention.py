@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tellerlake.operators.latest import newest_per_group, union_sections
 from tellerlake.operators.quality import count_if
 from tellerlake.operators.running import attach_one_row
+from tellerlake.session import cut_lineage
 
 # Fixed vocabulary of the rule set.
 CANCEL_WORDS = "(cancel|cierre|encerr|close)"
@@ -121,12 +122,14 @@ def breakdowns(ranked: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
 
 
 def dashboard(ranked: DataFrame, customers: DataFrame) -> DataFrame:
-    """One long result: section and JSON payload."""
+    """One long result: section and JSON payload. The ranked customers are written once and read by every section."""
+    ranked = cut_lineage(ranked)
     return union_sections({name: df.select(F.to_json(F.struct(*df.columns)).alias("payload")) for name, df in breakdowns(ranked, customers).items()})
 
 
 def reconciliation(ranked: DataFrame, customers: DataFrame) -> DataFrame:
     """Every breakdown adds up to the eligible customers, groups are unique, caps hold."""
+    ranked = cut_lineage(ranked)
     sections = breakdowns(ranked, customers)
     expected = ranked.agg(F.count(F.lit(1)).alias("expected"))
     checks = {f"{name}_total": sections[name].agg(F.coalesce(F.sum("total"), F.lit(0)).alias("actual")) for name in ("bands", "countries", "segments")}
