@@ -170,14 +170,14 @@ def _(b):
 
 
 @query("f26_amount_tokens", "SELECT o_orderkey, " + duck_amount("""(CASE o_orderkey % 5 WHEN 0 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR), '.', ',')
-  WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) WHEN 2 THEN format('{:,}', CAST(o_totalprice AS BIGINT)) || '.25' WHEN 3 THEN replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') || ',75'
-  ELSE replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') END)""") + " AS amount FROM orders WHERE o_orderkey % 5 <> 2")
+  WHEN 1 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) WHEN 2 THEN format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || '.25' WHEN 3 THEN replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') || ',75'
+  ELSE replace(format('{:,}', CAST(floor(o_totalprice) AS BIGINT)), ',', '.') END)""") + " AS amount FROM orders")
 def _(b):
     exact, grouped = F.col("o_totalprice").cast("decimal(15,2)").cast("string"), F.format_number(F.floor("o_totalprice"), 0)
     dotted = F.replace(grouped, F.lit(","), F.lit("."))
     token = F.when(F.col("o_orderkey") % 5 == 0, F.replace(exact, F.lit("."), F.lit(","))).when(F.col("o_orderkey") % 5 == 1, exact).when(
-        F.col("o_orderkey") % 5 == 3, F.concat(dotted, F.lit(",75"))).otherwise(dotted)
-    return b.orders.where("o_orderkey % 5 <> 2").select("o_orderkey", T.parse_amount(token).alias("amount"))
+        F.col("o_orderkey") % 5 == 2, F.concat(grouped, F.lit(".25"))).when(F.col("o_orderkey") % 5 == 3, F.concat(dotted, F.lit(",75"))).otherwise(dotted)
+    return b.orders.select("o_orderkey", T.parse_amount(token).alias("amount"))
 
 
 AS_OF = "DATE '2024-03-15'"

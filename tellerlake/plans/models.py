@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellerlake.operators.running import attach_one_row, exact_percentiles
+from tellerlake.session import cut_lineage
 
 # Fixed protocol values.
 SEED = 42
@@ -122,8 +123,10 @@ def batch_scores(scored: DataFrame, threshold: float, version: str) -> DataFrame
 def fit_candidates(train: DataFrame, selection: DataFrame, numeric: Sequence[str], categorical: Sequence[str], names: Sequence[str]) -> tuple[PipelineModel, dict, list[dict]]:
     """Fit preparation on `train` only, then every named candidate; a non-converged regression is left out."""
     prep = preparation(numeric, categorical).fit(nan_for_null(train, numeric))
-    ready = class_weights(prep.transform(nan_for_null(train, numeric)))
-    later = prep.transform(nan_for_null(selection, numeric))
+    # Every candidate makes many passes: both frames are written once, reduced to what the estimators read.
+    columns = ["transaction_id", "label", "features"]
+    ready = cut_lineage(class_weights(prep.transform(nan_for_null(train, numeric))).select(*columns, "class_weight"))
+    later = cut_lineage(prep.transform(nan_for_null(selection, numeric)).select(*columns))
     models, attempts = {}, []
     for name, estimator in candidates().items():
         if name not in names:

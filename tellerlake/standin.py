@@ -225,6 +225,18 @@ MAPPINGS = {
           CASE WHEN conv_id % 7 = 0 THEN 4 END AS silent_after, CASE conv_id % 5 WHEN 1 THEN true WHEN 2 THEN false END AS expected_resolved,
           conv_id % 2 = 0 AS resolved, conv_id % 3 = 0 AS had_human, conv_id % 10 = 9 AS limitation
         FROM <conversations> WHERE turn = 0""",
+    "claims": """
+        SELECT 'Q' || CAST(o_orderkey AS STRING) AS claim_id, CAST(CASE WHEN o_orderkey % 9 = 0 THEN o_custkey + 1 ELSE o_custkey END AS STRING) AS customer_id,
+          CASE o_orderkey % 4 WHEN 0 THEN 'COMERCIO ' || CAST(o_orderkey % 20 AS STRING) WHEN 1 THEN 'el Comercio ' || CAST(o_orderkey % 20 AS STRING) || ' del centro' END AS claim_merchant,
+          CASE WHEN o_orderkey % 8 = 3 THEN 'hice una compra en comercio ' || CAST(o_orderkey % 20 AS STRING) || ' y no la reconozco' END AS claim_text,
+          CASE WHEN o_orderkey % 6 = 1 THEN NULL ELSE CAST(CAST(o_totalprice AS DECIMAL(15,2)) + (o_orderkey % 3) * 0.90 + (o_orderkey % 7) * 0.002 * CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(15,2)) END AS claim_amount,
+          CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate + INTERVAL '1' DAY * (o_orderkey % 5 - 2) AS DATE) END AS claim_date,
+          CAST(o_orderdate + INTERVAL '1' DAY * (o_orderkey % 50) AS DATE) AS as_of,
+          right(CAST(4000000000 + o_custkey * 30 AS STRING), 4) AS card_last4
+        FROM <orders>""",
+    "disputes": """
+        SELECT 'DSP-T' || CAST(o_orderkey AS STRING) AS case_id, CAST(o_custkey AS STRING) AS customer_id, 'T' || CAST(o_orderkey AS STRING) AS transaction_id
+        FROM <orders> WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'""",
     "agent_turns": """
         SELECT 'a' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS turn_id, conv_id AS chat_id,
           CASE WHEN length(text) % 3 = 0 THEN 'done' ELSE 'pending' END AS status,
