@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tellerlake.functions import phrases as P
 
@@ -34,7 +35,7 @@ def normalise(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), ACCENTED, PLAIN), r"[\u0300-\u036f]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalise_any(texts: pd.Series) -> pd.Series:
     """Full compatibility decomposition for scripts `normalise` does not cover."""
     def plain(t):
