@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellerlake.functions.text import normalise
-from tellerlake.operators.latest import insert_absent
+from tellerlake.operators.latest import insert_absent, newest_per_group
 
 # Fixed values of matching and policy.
 DATE_TOLERANCE_DAYS, SEARCH_WINDOW_DAYS, MAX_OPTIONS = 3, 60, 5
@@ -67,25 +67,21 @@ def match_charges(claims: DataFrame, transactions: DataFrame, absolute: float =
     A claim's merchant counts as given when it is named, or when the conversation names the merchant of any
     movement inside the claim's days, whatever its amount.
     """
-    pairs = candidate_charges(claims, transactions, absolute, relative).withColumn("_hit", merchant_hit())
     # "Any movement of the days" ignores the amount, so it is asked on (customer, week) alone, for claims with text.
     spoken = claims.where(F.col("claim_text").isNotNull() & F.col("claim_merchant").isNull()).withColumn("claim_amount", F.lit(None).cast("decimal(15,2)"))
     heard = candidate_charges(spoken, transactions).where(merchant_hit()).select("claim_id").distinct().withColumn("_heard", F.lit(True))
-    counts = pairs.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_any"), F.count(F.when(F.col("_hit"), 1)).alias("_hits"))
     given = F.col("claim_merchant").isNotNull() | F.coalesce("_heard", F.lit(False))
-    has_criteria = given | F.col("claim_amount").isNotNull() | F.col("claim_date").isNotNull()
-    base = claims.join(heard, "claim_id", "left").withColumn("merchant_given", given).withColumn("_criteria", has_criteria).join(counts, "claim_id", "left")
-    matches = F.when(F.col("_criteria"), F.coalesce(F.when(F.col("merchant_given"), F.col("_hits")).otherwise(F.col("_any")), F.lit(0))).otherwise(0)
-    outcome = (F.when(~F.col("_criteria"), "ask_details").when(F.col("matches") == 0, "no_match").when(F.col("matches") == 1, "confirm")
-               .when(F.col("matches") <= MAX_OPTIONS, "select").otherwise("too_many"))
-    decided = base.withColumn("matches", matches).withColumn("outcome", outcome)
-    # Five newest among hits and five newest among all pairs, then the list the claim needs.
+    criteria = F.col("merchant_given") | F.col("claim_amount").isNotNull() | F.col("claim_date").isNotNull()
+    asked = claims.join(heard, "claim_id", "left").withColumn("merchant_given", given).drop("_heard").withColumn("has_criteria", criteria)
+    pairs = candidate_charges(asked.where("has_criteria"), transactions, absolute, relative).where(~F.col("merchant_given") | merchant_hit())
+    counts = pairs.groupBy("claim_id").agg(F.count(F.lit(1)).alias("_n"))
+    matches = F.coalesce("_n", F.lit(0))
+    outcome = (F.when(~F.col("has_criteria"), "ask_details").when(matches == 0, "no_match").when(matches == 1, "confirm")
+               .when(matches <= MAX_OPTIONS, "select").otherwise("too_many"))
+    decided = asked.join(counts, "claim_id", "left").select("claim_id", "customer_id", "merchant_given", matches.alias("matches"), outcome.alias("outcome"))
     order = [F.desc("transaction_date"), F.asc("transaction_id")]
-    ranked = [pairs.where(c).withColumn("option", F.row_number().over(Window.partitionBy("claim_id").orderBy(*order))).where(F.col("option") <= MAX_OPTIONS)
-              .select("claim_id", "transaction_id", "option", F.lit(wants).alias("_wants")) for c, wants in ((F.col("_hit"), True), (F.lit(True), False))]
-    keep = decided.where("_criteria").select("claim_id", "merchant_given")
-    options = ranked[0].unionByName(ranked[1]).join(keep, "claim_id").where(F.col("_wants") == F.col("merchant_given")).drop("_wants", "merchant_given")
-    return decided.select("claim_id", "customer_id", "merchant_given", "matches", "outcome"), options
+    options = newest_per_group(pairs.select("claim_id", "transaction_id", "transaction_date"), ["claim_id"], order, MAX_OPTIONS, rank="option")
+    return decided, options.drop("transaction_date")
 
 
 def verify_claims(claims: DataFrame, products: DataFrame, transactions: DataFrame) -> DataFrame:

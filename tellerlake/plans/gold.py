@@ -67,16 +67,16 @@ def survey_pivot(surveys: DataFrame) -> DataFrame:
 
 
 def latest_transcripts(transcripts: DataFrame) -> DataFrame:
-    """Newest transcript per interaction; only keys are compared, the text joins back by id."""
-    newest = keep_latest(transcripts.select("interaction_id", "process_date", "transcript_id"), ["interaction_id"], ["process_date", "transcript_id"])
-    return transcripts.join(newest.select("transcript_id"), "transcript_id", "left_semi").select(
-        "interaction_id", "transcript_id", F.col("full_text").alias("transcript"), "main_topics", "detected_language")
+    """Id of the newest transcript per interaction; only keys are compared and moved."""
+    return transcripts.groupBy("interaction_id").agg(F.max_by("transcript_id", F.struct("process_date", "transcript_id")).alias("transcript_id"))
 
 
 def interaction_history(interactions: DataFrame, customers: DataFrame, transcripts: DataFrame, surveys: DataFrame) -> DataFrame:
+    """Interactions with customer, newest transcript and survey scores; each transcript text is moved once."""
     who = customers.select("customer_id", "country", "segment")
-    return (interactions.join(who, "customer_id", "left").join(latest_transcripts(transcripts), "interaction_id", "left")
-            .join(survey_pivot(surveys), "interaction_id", "left"))
+    text = transcripts.select("transcript_id", F.col("full_text").alias("transcript"), "main_topics", "detected_language")
+    return (interactions.join(who, "customer_id", "left").join(survey_pivot(surveys), "interaction_id", "left")
+            .join(latest_transcripts(transcripts), "interaction_id", "left").join(text, "transcript_id", "left"))
 
 
 def product_totals(products: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ DIMENSIONS = {"country": "countries", "channel": "channels", "type": "types", "c
 
 
 def overview(transactions: DataFrame, end_exclusive: str) -> DataFrame:
-    """Grouping sets over the pre-aggregated dimension combinations are one scan and small shuffles."""
+    """One scan; partial aggregation leaves few rows per set to shuffle, however skewed a dimension is."""
     currency, amount, usd = F.col("currency"), F.col("amount"), F.col("amount_usd")
     base = transactions.where(F.col("transaction_date") < F.lit(end_exclusive).cast("timestamp_ntz")).select(
         "transaction_id", "transaction_date", "is_fraud", F.col("transaction_country").alias("country"), "channel", F.col("transaction_type").alias("type"),
