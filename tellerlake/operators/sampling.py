@@ -33,13 +33,14 @@ def assign_quotas(candidates: DataFrame, key: str, position: str, eligible: dict
     """
     pool = sum(quotas.values())
     wanted = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in eligible.items()])))
-    reach = cut_lineage(newest_per_group(candidates.select(key, position, wanted.alias("category")), ["category"], [F.asc(position), F.asc(key)], pool))
+    queue = candidates.select(key, F.col(position).alias("_position"), wanted.alias("category"))
+    reach = cut_lineage(newest_per_group(queue, ["category"], [F.asc("_position"), F.asc(key)], pool))
     picked = None
     for name in eligible:
         free = reach.where(F.col("category") == name)
         if picked is not None:
             free = free.join(picked.select(key), key, "left_anti")
-        taken = free.orderBy(F.asc(position), F.asc(key)).limit(quotas[name])
+        taken = free.orderBy(F.asc("_position"), F.asc(key)).limit(quotas[name])
         picked = cut_lineage(taken if picked is None else picked.unionByName(taken))
     return picked.select(key, "category")
 
