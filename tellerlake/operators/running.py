@@ -97,48 +97,55 @@ class History:
     width: int = HOUR
 
 
-def _absent(c: Column) -> Column:
-    return F.when(F.lit(False), c)
+def _prepared(df: DataFrame, histories: Sequence[History], others: Sequence[str]) -> tuple[DataFrame, dict[tuple[str, str], tuple[str, str]]]:
+    """`others`, the key columns and every measure under a short name; (history, measure) to (name, type)."""
+    measures = [(h.name, m, c) for h in histories for m, c in {**h.sums, **h.latest}.items()]
+    keys = dict.fromkeys(k for h in histories for k in h.keys)
+    out = df.select(*dict.fromkeys([*others, *keys]), *[c.alias(f"_x{i}") for i, (_, _, c) in enumerate(measures)])
+    types = {f.name: f.dataType.simpleString() for f in out.schema.fields}
+    return out, {(h, m): (f"_x{i}", types[f"_x{i}"]) for i, (h, m, _) in enumerate(measures)}
 
 
-def _slots(df: DataFrame, histories: Sequence[History]) -> dict[tuple[str, str], str]:
-    """(history, measure) to the shared column that carries it: `_i*` integers, `_d*` decimals."""
-    measures = [(h.name, m, c) for h in histories for m, c in h.sums.items()]
-    types = df.select(*[c for _, _, c in measures]).schema if measures else []
+def _slots(histories: Sequence[History], named: dict[tuple[str, str], tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """(history, measure) to the timeline column that carries it: `_i*` integers, `_d*` decimals, shared by all histories."""
     out, used = {}, {}
-    for (name, m, _), column in zip(measures, types):
-        kind = "d" if column.dataType.typeName() == "decimal" else "i"
-        out[name, m] = f"_{kind}{used.setdefault((name, kind), 0)}"
-        used[name, kind] += 1
+    for h in histories:
+        for m in h.sums:
+            kind = "d" if named[h.name, m][1].startswith("decimal") else "i"
+            out[h.name, m] = f"_{kind}{used.setdefault((h.name, kind), 0)}"
+            used[h.name, kind] += 1
     return out
 
 
-def _key_columns(h: History, number: int, depth: int) -> list[Column]:
-    keys = [F.col(k).cast("string") for k in h.keys] + [F.lit(None).cast("string")] * (depth - len(h.keys))
-    return [F.lit(number).alias("_h"), F.lit(h.width).cast("bigint").alias("_w"), *[k.alias(f"_k{i}") for i, k in enumerate(keys)]]
+def _keys_sql(h: History, number: int, depth: int) -> str:
+    names = [f"CAST(`{h.keys[i]}` AS STRING)" if i < len(h.keys) else "CAST(NULL AS STRING)" for i in range(depth)]
+    return ", ".join([f"{number} AS _h", f"{h.width}L AS _w", *[f"{k} AS _k{i}" for i, k in enumerate(names)]])
 
 
-def _entries(histories: Sequence[History], slots: dict[tuple[str, str], str], at: str, own: bool, probing: bool) -> list[Column]:
+def _entries_sql(histories: Sequence[History], named: dict, slots: dict, at: str, probing: bool) -> str:
     """The timeline rows one input row stands for, over all histories, in one shape.
 
-    Each bounded frame adds a row at T - d that only reads; the row at T reads, and contributes when `own`.
+    Each bounded frame adds a row at T - d that only reads; the row at T reads, and contributes what is `named`.
     """
     depth = max(len(h.keys) for h in histories)
-    kinds = {slot: "decimal(38,0)" if slot.startswith("_d") else "bigint" for slot in sorted(set(slots.values()))}
-    nothing = {slot: F.lit(None).cast(kind).alias(slot) for slot, kind in kinds.items()}
-    nothing |= {f"_l_{h.name}_{n}": _absent(c).alias(f"_l_{h.name}_{n}") for h in histories for n, c in h.latest.items()}
+    kinds = {slot: "DECIMAL(38,0)" if slot.startswith("_d") else "BIGINT" for slot in sorted(set(slots.values()))}
+    latest = {f"_l_{h.name}_{n}": named[h.name, n] for h in histories for n in h.latest if (h.name, n) in named}
+    nothing = {slot: f"CAST(NULL AS {kind})" for slot, kind in kinds.items()} | {c: f"CAST(NULL AS {t})" for c, (_, t) in latest.items()}
     out = []
     for number, h in enumerate(histories):
-        keys = _key_columns(h, number, depth)
-        measured = {slots[h.name, m]: c.cast(kinds[slots[h.name, m]]) for m, c in h.sums.items()}
-        measured |= {f"_l_{h.name}_{n}": c for n, c in h.latest.items()}
-        values = [*({**nothing, **{n: c.alias(n) for n, c in measured.items()}}.values())] if own else [*nothing.values()]
-        here = F.lit("now" if probing else None).cast("string").alias("_f")
-        out.append(F.struct(*keys, here, F.col(at).alias("_at"), *values))
-        for label, back in h.frames.items() if probing else ():
-            if back is not None:
-                out.append(F.struct(*keys, F.lit(label).alias("_f"), (F.col(at) - F.lit(back).cast("bigint")).alias("_at"), *nothing.values()))
-    return out
+        own = {slots[h.name, m]: f"CAST({named[h.name, m][0]} AS {kinds[slots[h.name, m]]})" for m in h.sums if (h.name, m) in named}
+        own |= {f"_l_{h.name}_{n}": named[h.name, n][0] for n in h.latest if (h.name, n) in named}
+        spots = [("CAST('now' AS STRING)" if probing else "CAST(NULL AS STRING)", 0, {**nothing, **own})]
+        spots += [(f"'{label}'", back, nothing) for label, back in h.frames.items() if probing and back is not None]
+        for label, back, values in spots:
+            carried = "".join(f", {v} AS {n}" for n, v in values.items())
+            out.append(f"struct({_keys_sql(h, number, depth)}, {label} AS _f, `{at}` - {back}L AS _at{carried})")
+    return f"inline(array({', '.join(out)}))"
+
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """Even out narrow rows before they are multiplied; each measure is then computed once, not per frame."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
 def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[History],
@@ -149,37 +156,37 @@ def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[H
     Empty frames give 0 for every measure: keep a count among the measures to tell "none" from "zero".
     All histories share one timeline, so the number of shuffles does not grow with the number of features.
     """
-    source = probes if facts is None else facts
-    slots = _slots(source, histories)
+    depth = max(len(h.keys) for h in histories)
+    named_keys = F.expr(f"inline(array({', '.join(f'struct({_keys_sql(h, i, depth)})' for i, h in enumerate(histories))}))")
     if facts is None:
-        timeline = probes.select(row_id, F.inline(F.array(*_entries(histories, slots, at, own=True, probing=True))))
+        source, named = _prepared(probes, histories, [row_id, at])
+        slots = _slots(histories, named)
+        timeline = _spread(source, row_id).select(row_id, F.expr(_entries_sql(histories, named, slots, at, probing=True)))
+        counted = source.select(named_keys)
     else:
-        given = facts.select(F.inline(F.array(*_entries(histories, slots, at, own=True, probing=False))))
-        bare = [History(h.name, h.keys, h.frames, width=h.width) for h in histories]
-        asked = probes.select(row_id, F.inline(F.array(*_entries(bare, {}, at, own=False, probing=True))))
-        timeline = given.unionByName(asked, allowMissingColumns=True)
-    keys = [c for c in timeline.columns if c in ("_h", "_w") or c.startswith("_k")]
+        source, named = _prepared(facts, histories, [at])
+        slots = _slots(histories, named)
+        columns = dict.fromkeys([row_id, at, *[k for h in histories for k in h.keys]])
+        asked = _spread(probes.select(*columns), row_id).select(row_id, F.expr(_entries_sql(histories, {}, {}, at, probing=True)))
+        timeline = source.select(F.expr(_entries_sql(histories, named, slots, at, probing=False))).unionByName(asked, allowMissingColumns=True)
+        counted = source.select(named_keys).unionByName(probes.select(named_keys))
+    keys = ["_h", "_w", *[f"_k{i}" for i in range(depth)]]
     sums = sorted(set(slots.values()))
     maxes = [f"_l_{h.name}_{n}" for h in histories for n in h.latest]
     # Hot keys are counted on the input rows, before frames multiply them.
-    depth = max(len(h.keys) for h in histories)
-    named = F.inline(F.array(*[F.struct(*_key_columns(h, i, depth)) for i, h in enumerate(histories)]))
-    counted = source.select(named) if facts is None else source.select(named).unionByName(probes.select(named))
     hot = hot_keys(counted, keys, HOT_ROWS if hot_rows is None else hot_rows, total=source)
-    done = accumulate_before(timeline, keys, "_at", sums, maxes, "_w", hot=hot).where(F.col("_f").isNotNull())
+    done = accumulate_before(timeline, keys, "_at", sums, maxes, "_w", hot=hot).where("_f IS NOT NULL")
     # Narrow rows are moved to their row id once; the wide aggregate then needs no further shuffle.
     long = done.select(row_id, "_h", "_f", *sums, *maxes).repartition(row_id)
     aggs = []
     for number, h in enumerate(histories):
-        mine, now = F.col("_h") == number, F.col("_f") == "now"
+        now = f"_h = {number} AND _f = 'now'"
         for m in h.sums:
-            total = F.coalesce(F.col(slots[h.name, m]), F.lit(0))
+            total = f"coalesce({slots[h.name, m]}, 0)"
             for label, d in h.frames.items():
-                signed = F.when(mine & now, total)
-                if d is not None:
-                    signed = signed.when(mine & (F.col("_f") == label), -total)
-                aggs.append(F.sum(signed).alias(f"{h.name}_{m}_{label}"))
-        aggs += [F.max(F.when(mine & now, F.col(f"_l_{h.name}_{n}"))).alias(f"{h.name}_{n}") for n in h.latest]
+                before = f" WHEN _h = {number} AND _f = '{label}' THEN -{total}" if d is not None else ""
+                aggs.append(F.expr(f"sum(CASE WHEN {now} THEN {total}{before} END) AS `{h.name}_{m}_{label}`"))
+        aggs += [F.expr(f"max(CASE WHEN {now} THEN _l_{h.name}_{n} END) AS `{h.name}_{n}`") for n in h.latest]
     return long.groupBy(row_id).agg(*aggs)
 
 
