@@ -54,11 +54,16 @@ def candidate_charges(claims: DataFrame, transactions: DataFrame, absolute: floa
     return by_price.drop("_slack", "_band").unionByName(by_day).drop("_first", "_last", "_week", "_day")
 
 
+def _plain_names(claims: DataFrame) -> DataFrame:
+    """Claim side of `merchant_hit`, normalised once per claim rather than per pair."""
+    return claims.withColumn("_slot", normalise(F.col("claim_merchant"))).withColumn("_said", normalise(F.col("claim_text")))
+
+
 def merchant_hit() -> Column:
     """The merchant's name is in the conversation, in the named merchant, or contains it."""
-    merchant, slot, said = (normalise(F.col(c)) for c in ("merchant_name", "claim_merchant", "claim_text"))
+    merchant, slot, said = F.col("_merchant"), F.col("_slot"), F.col("_said")
     named = F.coalesce(F.contains(merchant, slot) | F.contains(slot, merchant), F.lit(False))
-    return F.coalesce((F.col("merchant_name") != "") & (named | F.coalesce(F.contains(said, merchant), F.lit(False))), F.lit(False))
+    return F.coalesce((merchant != "") & (named | F.coalesce(F.contains(said, merchant), F.lit(False))), F.lit(False))
 
 
 def match_charges(claims: DataFrame, transactions: DataFrame, absolute: float = 1.0, relative: float = 0.01) -> tuple[DataFrame, DataFrame]:
@@ -67,6 +72,8 @@ def match_charges(claims: DataFrame, transactions: DataFrame, absolute: float =
     A claim's merchant counts as given when it is named, or when the conversation names the merchant of any
     movement inside the claim's days, whatever its amount.
     """
+    transactions = transactions.select("transaction_id", "customer_id", "transaction_date", "amount", normalise(F.col("merchant_name")).alias("_merchant"))
+    claims = _plain_names(claims)
     # "Any movement of the days" ignores the amount, so it is asked on (customer, week) alone, for claims with text.
     spoken = claims.where(F.col("claim_text").isNotNull() & F.col("claim_merchant").isNull()).withColumn("claim_amount", F.lit(None).cast("decimal(15,2)"))
     heard = candidate_charges(spoken, transactions).where(merchant_hit()).select("claim_id").distinct().withColumn("_heard", F.lit(True))
