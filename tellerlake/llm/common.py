@@ -9,17 +9,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tellerlake.session import scratch
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 CACHE_ENTRIES = 400_000
 
 #: A-Z to a-z; everything that is neither a letter, a digit nor beyond ASCII to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Tab, line feed, vertical tab, form feed and carriage return to a blank.
+PLAIN = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 ADJACENT_SPACE = re.compile(r"[\s\u180e][\s\u180e]")
 SAFE_BOUNDARY = re.compile(r"(?<=[^\s\u180e]) ")
 
@@ -89,23 +90,20 @@ def folded_words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; emptied when full."""
+@lru_cache(maxsize=1)
+def byte_values() -> np.ndarray:
+    return np.random.default_rng(101).integers(1, 1 << 64, 256, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+@lru_cache(maxsize=2)
+def powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    """The one cache of a Python worker."""
-    return WordHashes()
+BASE = 0x9E3779B97F4A7C17
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def scramble(h: np.ndarray) -> np.ndarray:
@@ -115,12 +113,29 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, after `table` is applied (blanks then separate words), and where each text's words begin.
+
+    A word is a polynomial over its bytes: the difference of two running sums over all bytes, shifted to the word's begin."""
+    data = np.frombuffer(b" ".join([*texts, b""]).translate(table), np.uint8)
+    edge = np.diff((data != 32).view(np.int8), prepend=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    bits = max(20, len(data).bit_length())
+    total = np.cumsum(byte_values()[data] * powers(BASE, bits)[: len(data)])
+    before = np.where(begin > 0, total[begin - 1], np.uint64(0))
+    hashes = scramble((total[end - 1] - before) * powers(INVERSE, bits)[begin])
+    return hashes, np.searchsorted(begin, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+
+
 def grams(words: np.ndarray, k: int) -> np.ndarray:
-    """Rolling hash of every k consecutive words (none in shorter texts)."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """Hash of every k consecutive words (none in shorter lists), by doubling."""
+    join = lambda a, b, n, m: a[: len(b) - n] * np.uint64(pow(BASE, m, 1 << 64)) + b[n:]  # noqa: E731  a of n words, then b of m
+    if len(words) < k:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n]
-    return scramble(out)
+    out, size, part, length = None, 0, words, 1
+    while True:
+        if k & length:
+            out, size = (part, length) if out is None else (join(out, part, size, length), size + length)
+        if size == k:
+            return scramble(out)
+        part, length = join(part, part, length, length), 2 * length

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellerlake.llm.common import WordHashes, filter_texts, folded_words, grams, map_texts, word_hashes
+from tellerlake.llm.common import FOLD, filter_texts, grams, map_texts, word_hashes
 
 SHORTEST = 5
 COVERAGE = 0.5
@@ -63,11 +63,11 @@ class Seeds:
     """The 5-grams of a block of items: sorted hashes, each with its (item, place) entries."""
 
     def __init__(self, items: list[tuple[int, bytes]], shortest: int = SHORTEST):
-        hashes, rows, self.lengths, cache = [], [], {}, WordHashes()
+        hashes, rows, self.lengths = [], [], {}
         for n, (_, text) in enumerate(items):
-            words = folded_words(text)
+            words, _ = word_hashes([text], FOLD)
             self.lengths[n] = len(words)
-            for place, h in enumerate(grams(cache.of(words), shortest).tolist()):
+            for place, h in enumerate(grams(words, shortest).tolist()):
                 hashes.append(h)
                 rows.append((n, place))
         order = np.argsort(np.array(hashes, np.uint64), kind="stable")
@@ -77,21 +77,23 @@ class Seeds:
         self.seen = np.zeros(1 << FILTER_BITS, bool)
         self.seen[self.hashes & np.uint64((1 << FILTER_BITS) - 1)] = True
 
-    def found(self, text: bytes, cache: WordHashes) -> list[tuple[int, float, int, int]]:
-        """(item number, coverage, tiles, longest tile) of the items that share a seed with the text."""
-        own = grams(cache.of(folded_words(text)), self.shortest)
-        maybe = np.nonzero(self.seen[own & np.uint64(len(self.seen) - 1)])[0]
-        if not len(maybe):
-            return []
+    def found(self, texts: list[bytes]) -> list[list[tuple[int, float, int, int]]]:
+        """For each text (item number, coverage, tiles, longest tile) of the items that share a seed with it."""
+        words, bounds = word_hashes(texts, FOLD)
+        own = grams(words, self.shortest)
+        maybe = np.flatnonzero(self.seen[(own & np.uint64(len(self.seen) - 1)).astype(np.int64)])
+        text = np.searchsorted(bounds, maybe, "right") - 1
+        inside = maybe + self.shortest <= bounds[text + 1]  # runs that end in the text they begin in
+        maybe, text = maybe[inside], text[inside]
         left, right = np.searchsorted(self.hashes, own[maybe], "left"), np.searchsorted(self.hashes, own[maybe], "right")
-        places: dict[int, list[tuple[int, int]]] = {}
-        for t, a, b in zip(maybe.tolist(), left.tolist(), right.tolist(), strict=True):
+        places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for t, d, a, b in zip((maybe - bounds[text]).tolist(), text.tolist(), left.tolist(), right.tolist(), strict=True):
             for item, p in self.rows[a:b]:
-                places.setdefault(item, []).append((t, p))
-        out = []
-        for item, at in places.items():
+                places.setdefault((d, item), []).append((t, p))
+        out: list[list[tuple[int, float, int, int]]] = [[] for _ in texts]
+        for (d, item), at in places.items():
             made = tiles(at, self.shortest)
-            out.append((item, sum(x[0] for x in made) / self.lengths[item], len(made), max(x[0] for x in made)))
+            out[d].append((item, sum(x[0] for x in made) / self.lengths[item], len(made), max(x[0] for x in made)))
         return out
 
 
@@ -118,8 +120,8 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, coverage: float =
         shared = docs.sparkSession.sparkContext.broadcast(Seeds(held))
 
         def work(texts: list[bytes], shared=shared) -> dict[str, list]:
-            seeds, cache = shared.value, word_hashes()
-            return {"found": [[{"item_id": seeds.ids[n], "coverage": c, "n_tiles": k, "longest": m} for n, c, k, m in seeds.found(t, cache) if c >= coverage] for t in texts]}
+            ids = shared.value.ids
+            return {"found": [[{"item_id": ids[n], "coverage": c, "n_tiles": k, "longest": m} for n, c, k, m in found if c >= coverage] for found in shared.value.found(texts)]}
 
         parts.append(map_texts(docs, text, {c: c for c in keep}, fields, work))
     if not parts:
@@ -133,8 +135,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = C
         shared = docs.sparkSession.sparkContext.broadcast(Seeds(held))
 
         def keeps(texts: list[bytes], shared=shared) -> list[bool]:
-            cache = word_hashes()
-            return [all(c < coverage for _, c, _, _ in shared.value.found(t, cache)) for t in texts]
+            return [all(c < coverage for _, c, _, _ in found) for found in shared.value.found(texts)]
 
         docs = filter_texts(docs, text, keeps)
     return docs

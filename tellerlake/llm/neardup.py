@@ -18,21 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellerlake.llm.common import folded_words, grams, scramble, slices, word_hashes, written
+from tellerlake.llm.common import BASE, FOLD, grams, scramble, slices, word_hashes, written
 from tellerlake.llm.components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-HASHES, BANDS = 64, 16
-FOLDED = 1 << 16
+HASHES, BANDS = 48, 16
+FOLDED, CHUNK = 1 << 15, 4096
 IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 14
 SEED = 20260
 
 
-def shingles(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles and their counts; a text of fewer than five words is one shingle, one without words none."""
-    words = word_hashes().of(folded_words(text or b""))
-    return np.unique(grams(words, min(SHINGLE, len(words))), return_counts=True) if len(words) else (np.empty(0, np.uint64), np.empty(0, np.int64))
+def shingles(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles and their counts, of each text; a text of fewer than five words is one shingle, one without words none."""
+    words, bounds = word_hashes([t or b"" for t in texts], FOLD)
+    hashes, out = grams(words, SHINGLE), []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        out.append(np.unique(hashes[a : b - SHINGLE + 1] if b - a >= SHINGLE else grams(words[a:b], b - a) if b > a else hashes[:0], return_counts=True))
+    return out
 
 
 def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -49,19 +52,27 @@ def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, beta, np.log(c) - r + r * beta
 
 
-def bands(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Bucket names of a text. The smallest value of ln a names its sample (shingle and level), so values are compared, not shingles."""
+def bands(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Bucket names of texts (shingles and weights, none empty). The smallest value of ln a names its sample (shingle and level), so values are
+    compared, not shingles."""
     r, beta, rest = variates()
-    at, level = ((hashes >> np.uint64(40)) & np.uint64(FOLDED - 1)).astype(np.int64), np.log(weight).astype(np.float32)[:, None]
-    least = np.full(HASHES, np.inf, np.float32)
-    for i in range(0, len(at), 1024):
-        part = at[i : i + 1024]
+    hashes, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    at, level = ((hashes >> np.uint64(40)) & np.uint64(FOLDED - 1)).astype(np.int64), np.log(weight).astype(np.float32)
+    ends = np.cumsum([len(f[0]) for f in found])
+    least = np.full((len(found), HASHES), np.inf, np.float32)
+    for i in range(0, len(at), CHUNK):
+        part = at[i : i + CHUNK]
         step = r[part]
-        np.minimum(least, (rest[part] - step * np.floor(level[i : i + 1024] / step + beta[part])).min(axis=0), out=least)
-    rows = scramble(least.view(np.uint32).astype(np.uint64).reshape(BANDS, -1) + np.uint64(1))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for j in range(rows.shape[1]):
-        out = scramble(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
+        value = np.floor(level[i : i + CHUNK, None] / step + beta[part])
+        value *= step
+        np.subtract(rest[part], value, out=value)
+        first, last = np.searchsorted(ends, (i, i + len(part) - 1), "right")  # texts that the chunk touches
+        begins = np.maximum(np.r_[0, ends][first : last + 1] - i, 0)
+        least[first : last + 1] = np.minimum(least[first : last + 1], np.minimum.reduceat(value, begins, axis=0))
+    rows = scramble(least.view(np.uint32).astype(np.uint64).reshape(len(found), BANDS, -1) + np.uint64(1))
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(found), 1))
+    for j in range(rows.shape[2]):
+        out = scramble(out * np.uint64(BASE) + rows[:, :, j])
     return out.view(np.int64)
 
 
@@ -71,8 +82,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros(IDF_BUCKETS, np.uint32), 0
         for part in slices(batches, 0):
-            for text in part.column(0).to_pylist():
-                hashes = shingles(text)[0]
+            for hashes, _ in shingles(part.column(0).to_pylist()):
                 held[np.unique(hashes & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)] += 1
                 n += len(hashes) > 0
         for b in range(IDF_BUCKETS // IDF_BLOCK if n else 0):
@@ -113,12 +123,11 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
         last, other = None, None
         for part in slices(batches, 0):
             keep = []
-            for left, right, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+            for left, right, b in zip(shingles(part.column(0).to_pylist()), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
                 if b != last:
-                    h, n = shingles(right)
+                    h, n = shingles([right])[0]
                     last, other = b, (h, weights(h, n, idf.value))
-                h, n = shingles(left)
-                keep.append(similarity((h, weights(h, n, idf.value)), other) >= threshold)
+                keep.append(similarity((left[0], weights(*left, idf.value)), other) >= threshold)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(compare, "a binary, b binary")
@@ -133,14 +142,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", k
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            rows = []
-            for t, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                hashes, counts = shingles(t)
-                if len(hashes):
-                    w = weights(hashes, counts, idf.value)
-                    rows.append({"key": key, "total": float(w.sum()), "bands": bands(hashes, w).tolist()})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.binary()), ("total", pa.float64()), ("bands", pa.list_(pa.int64()))]))
+            found = [(h, weights(h, n, idf.value)) for h, n in shingles(part.column(0).to_pylist())]
+            some = [i for i, f in enumerate(found) if len(f[0])]
+            if some:
+                names = bands([found[i] for i in some])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, names.size + 1, BANDS, dtype=np.int32)), pa.array(names.ravel()))
+                yield pa.record_batch([part.column(1).take(pa.array(some)), pa.array([float(found[i][1].sum()) for i in some]), lists], names=["key", "total", "bands"])
 
     texts = keyed.select("text", "key")
     sampled = written(texts.mapInArrow(sample, "key binary, total double, bands array<long>"), "bands").dropDuplicates(["key"])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +21,25 @@ from tellerlake.llm.common import filter_texts, map_texts, slices
 
 #: Labelled documents of each class that the space is fitted on and that vote, at most: those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 2048
-FEATURES, DIMENSIONS = 2048, 64
+FEATURES, RUNS, DIMENSIONS = 2048, 4, 64
 NEIGHBOURS, SHARPNESS = 15, 4
 ACCEPTED = 0.3
 
 
 def frequencies(text: bytes) -> np.ndarray:
-    """Byte trigrams, hashed; texts under three bytes are padded with blanks, empty ones have none."""
+    """Byte trigrams, hashed, and one term for each length up to `RUNS` of runs of one repeated word; texts under three bytes are padded with
+    blanks, empty ones have none."""
     if not text:
-        return np.zeros(FEATURES, np.float32)
+        return np.zeros(FEATURES + RUNS, np.float32)
+    words = text.lower().split()
+    same = np.fromiter(map(eq, words, words[1:]), bool, max(0, len(words) - 1))
+    runs = np.zeros(RUNS, np.float32)
+    for i in range(RUNS):
+        runs[i] = np.count_nonzero(same)
+        same = same[1:] & same[:-1]
     b = np.frombuffer(text.ljust(3), np.uint8).astype(np.uint32)
     h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(21)
-    return np.bincount(h.astype(np.int32), minlength=FEATURES).astype(np.float32)
+    return np.concatenate((np.bincount(h.astype(np.int32), minlength=FEATURES).astype(np.float32), runs))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -70,7 +78,7 @@ def fit(counts: np.ndarray, labels: np.ndarray, prior: float) -> Model:
     """Latent space by subspace iteration with a fixed start."""
     idf = (np.log((len(counts) + 1) / ((counts > 0).sum(axis=0) + 1)) + 1).astype(np.float32)
     x = unit(np.sqrt(counts) * idf)
-    basis = np.random.default_rng(3).standard_normal((FEATURES, DIMENSIONS)).astype(np.float32)
+    basis = np.random.default_rng(3).standard_normal((FEATURES + RUNS, DIMENSIONS)).astype(np.float32)
     for _ in range(6 if len(x) else 0):
         basis, _ = np.linalg.qr(x.T @ (x @ basis))
     model = Model(idf, basis.astype(np.float32), np.zeros((0, DIMENSIONS), np.float32), labels, prior)
@@ -93,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str
             yield pa.record_batch([part.column(1), part.column(2), pa.array(made, pa.binary())], names=["label", "order", "counts"])
 
     held = rows.mapInArrow(count, "label double, order long, counts binary").orderBy("order", "counts").limit(2 * per_class).collect()
-    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in held]) if held else np.zeros((0, FEATURES), np.float32)
+    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in held]) if held else np.zeros((0, FEATURES + RUNS), np.float32)
     return fit(counts, np.array([r.label for r in held]), 0.5 if prior is None else float(prior))
 
 

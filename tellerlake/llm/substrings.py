@@ -4,7 +4,7 @@ A window is `size` consecutive words. Every window is represented by the smalles
 representatives and a text has about one for every twelve words. Partitions add their representatives to count-min sketches (counters that stop at
 two), the sketches are merged block by block, and the merged one overestimates how often a window occurs: what it counts once is unique. Only windows
 estimated repeated are grouped in a second pass, by exact keys: first runs of neighbouring windows that share a representative, then, where different
-runs share one, each window. A key is two independent 64-bit hashes. Nothing repeated is lost; a full sketch only lets more windows pass to grouping.
+runs share one, each window. A key is the hash of the representative and that of the window. Nothing repeated is lost; a full sketch only lets more windows pass to grouping.
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellerlake.llm.common import grams, scramble, slices, word_hashes, written
+from tellerlake.llm.common import PLAIN, grams, scramble, slices, word_hashes, written
 
 SIZE = 35
 GRAM = 12
+PLACE_BITS = 30
 DEPTH = 2
 BLOCK = 1 << 20
 #: Cells of a sketch row: about eight for each representative, between these bounds (the upper one is 64 MB a row once merged).
@@ -28,16 +29,31 @@ CHARS_A_CELL, LEAST_CELLS, MOST_CELLS = 8, 1 << 20, 1 << 29
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
-def representatives(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Representative hash, first window and number of windows of each run of windows that share a representative's place."""
+def least_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of every n neighbours, by doubling."""
+    held, length = values, 1
+    while 2 * length <= n:
+        held, length = np.minimum(held[:-length], held[length:]), 2 * length
+    return np.minimum(held[: len(held) - (n - length)], held[n - length :]) if n > length else held
+
+
+def representatives(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Representative hash, first window and number of windows of each run of windows of one text that share a representative's place.
+
+    Places compare by the upper bits of their hash, equal ones from the left, so equal windows choose alike."""
     if len(words) < size:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     gram = min(GRAM, size)
-    hashes = grams(words, gram)
-    place = np.lib.stride_tricks.sliding_window_view(hashes, size - gram + 1).argmin(axis=1)
-    place += np.arange(len(place))
-    begin = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    return hashes[place[begin]], begin, np.diff(np.r_[begin, len(place)])
+    hashes, low = grams(words, gram), np.uint64((1 << PLACE_BITS) - 1)
+    place = (least_of((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), size - gram + 1) & low).astype(np.int64)
+    whole = np.zeros(len(words) + 1, bool)  # windows that end within the text they begin in
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        whole[a : max(a, b - size + 1)] = True
+    window = np.flatnonzero(whole[: len(place)])
+    if not len(window):
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, np.diff(place[window]) != 0])
+    return hashes[place[window[cut]]], window[cut], np.diff(np.r_[cut, len(window)])
 
 
 def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -65,7 +81,7 @@ def sketch(texts: DataFrame, size: int, width: int) -> Sketch:
     """Count-min sketches of the partitions, merged block by block; what returns to the driver is bounded by the width."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [representatives(word_hashes().of(t.split()), size)[0] for part in slices(batches, 0) for t in part.column(0).to_pylist() if t]
+        found = [representatives(*word_hashes([t or b"" for t in part.column(0).to_pylist()], PLAIN), size)[0] for part in slices(batches, 0)]
         hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
         for row in range(DEPTH):
             cell = np.sort(cells(hashes, row, width))
@@ -100,23 +116,21 @@ def candidate_runs(texts: DataFrame, size: int, seen) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            keys, rows = [], []
-            for text, key in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                words = word_hashes().of(text.split()) if text else np.empty(0, np.uint64)
-                hashes, begin, n = representatives(words, size)
-                take = seen.value.repeated(hashes)
-                if take.any():
-                    hashes, begin, n, windows = hashes[take], begin[take], n[take], grams(words, size)
-                    rows.append((hashes, windows[begin], windows[begin + n - 1], n, begin, [windows[b : b + m] for b, m in zip(begin.tolist(), n.tolist(), strict=True)]))
-                    keys += [key] * len(n)
-            if keys:
-                hashes, first, last, n, begin = (np.concatenate([r[i] for r in rows]) for i in range(5))
-                flat = np.concatenate([w for r in rows for w in r[5]])
-                windows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.record_batch(
-                    [pa.array(keys, pa.binary()), pa.array(hashes.view(np.int64)), pa.array(first.view(np.int64)), pa.array(last.view(np.int64)), pa.array(n.astype(np.int32)), pa.array(begin.astype(np.int32)), windows],
-                    names=["key", "rep", "first", "last", "n", "begin", "windows"],
-                )
+            words, bounds = word_hashes([t or b"" for t in part.column(0).to_pylist()], PLAIN)
+            hashes, begin, n = representatives(words, bounds, size)
+            take = seen.value.repeated(hashes)
+            hashes, begin, n = hashes[take], begin[take], n[take]
+            if not len(n):
+                continue
+            windows, text = grams(words, size), np.searchsorted(bounds, begin, "right") - 1
+            ends = np.cumsum(n)
+            flat = windows[np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.view(np.int64)))
+            long = lambda x: pa.array(x.view(np.int64))
+            yield pa.record_batch(
+                [part.column(1).take(pa.array(text)), long(hashes), long(windows[begin]), long(windows[begin + n - 1]), pa.array(n.astype(np.int32)), pa.array((begin - bounds[text]).astype(np.int32)), lists],
+                names=["key", "rep", "first", "last", "n", "begin", "windows"],
+            )
 
     return texts.mapInArrow(find, "key binary, rep long, first long, last long, n int, begin int, windows array<long>")
 
