@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tellerlake.llm.common import written
 
-TABLES, PROBES = 8, 8
+TABLES, PROBES = 8, 16
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 SEED = 11
 

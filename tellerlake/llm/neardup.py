@@ -2,8 +2,9 @@
 
 A text is the set of its five-word shingles (letters and digits, A-Z lower-cased), each weighted by its count times an idf between 1 and 2 taken over
 all documents. Samples are drawn on shingles folded into fixed tables of random variates; folding never lowers a similarity, so it only adds
-candidates. Bands of samples name buckets. In a bucket texts are compared with one leader; what is not connected then is compared with a second
-leader, and only texts of different components that remain are compared with each other. A link is a weighted Jaccard similarity of at least 0.8 of
+candidates. Bands of samples name buckets. In a bucket texts are compared with one leader; while texts of a bucket are not all connected, they meet
+further leaders, chosen by another hash each turn. The pairs are linear in the rows, whatever the size of a bucket. Pairs whose samples hardly agree
+are not read. A link is a weighted Jaccard similarity of at least 0.8 of
 the unfolded shingles. Equal texts are one key throughout.
 """
 
@@ -20,10 +21,14 @@ from pyspark.sql import functions as F
 
 from tellerlake.llm.common import BASE, FOLD, grams, scramble, slices, word_hashes, written
 from tellerlake.llm.components import components
+from tellerlake.llm.sketches import gathered, width_for
 
 SHINGLE = 5
+#: Leaders that the texts of a bucket meet in turn, as long as they are not all connected.
+LEADERS = 4
 THRESHOLD = 0.8
 HASHES, BANDS = 48, 16
+AGREEING = 26
 FOLDED, CHUNK = 1 << 15, 4096
 IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 14
 SEED = 20260
@@ -52,9 +57,9 @@ def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return r, beta, np.log(c) - r + r * beta
 
 
-def bands(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Bucket names of texts (shingles and weights, none empty). The smallest value of ln a names its sample (shingle and level), so values are
-    compared, not shingles."""
+def samples(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Samples of texts (shingles and weights, none empty). The smallest value of ln a names its sample (shingle and level), so values are compared,
+    not shingles."""
     r, beta, rest = variates()
     hashes, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
     at, level = ((hashes >> np.uint64(40)) & np.uint64(FOLDED - 1)).astype(np.int64), np.log(weight).astype(np.float32)
@@ -69,8 +74,13 @@ def bands(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         first, last = np.searchsorted(ends, (i, i + len(part) - 1), "right")  # texts that the chunk touches
         begins = np.maximum(np.r_[0, ends][first : last + 1] - i, 0)
         least[first : last + 1] = np.minimum(least[first : last + 1], np.minimum.reduceat(value, begins, axis=0))
-    rows = scramble(least.view(np.uint32).astype(np.uint64).reshape(len(found), BANDS, -1) + np.uint64(1))
-    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(found), 1))
+    return least
+
+
+def bands(drawn: np.ndarray) -> np.ndarray:
+    """Bucket names: hashes of the samples of each band."""
+    rows = scramble(drawn.view(np.uint32).astype(np.uint64).reshape(len(drawn), BANDS, -1) + np.uint64(1))
+    out = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(drawn), 1))
     for j in range(rows.shape[2]):
         out = scramble(out * np.uint64(BASE) + rows[:, :, j])
     return out.view(np.int64)
@@ -113,10 +123,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(both / (a[1].sum() + b[1].sum() - both))
 
 
+def alike(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
+    """The pairs (a, b) that agree in at least `AGREEING` samples: at similarity 0.8 all but some in a hundred thousand."""
+    left, right = (sampled.select(F.col("key").alias(c), F.col("drawn").alias(f"drawn_{c}")) for c in "ab")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "drawn_a", "drawn_b")
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, HASHES) for i in (2, 3))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREEING))
+
+    return written(joined.mapInArrow(agree, "a binary, b binary"), "alike")
+
+
+def first_half(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[np.ndarray]:
+    """The first eight bytes of the keys."""
+    for batch in batches:
+        yield np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint64)[::2]
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts reach the threshold."""
+    """The pairs (a, b) of keys whose texts reach the threshold. Texts that no pair names are left out before they are shuffled."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    held = written(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    named = pairs.sparkSession.sparkContext.broadcast(gathered(wanted, first_half, width_for(2 * pairs.count()), 1))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(named.value.has(next(first_half(iter([batch]), 1)))))
+
+    held = written(texts.where("text is not null").mapInArrow(some, "text binary, key binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
     joined = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").select("left", "right", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,73 +165,77 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
                 keep.append(similarity((left[0], weights(*left, idf.value)), other) >= threshold)
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(compare, "a binary, b binary")
+    return written(joined.mapInArrow(compare, "a binary, b binary"), "links")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: str = "doc_id") -> DataFrame:
-    """Kept columns, `class_id` (the smallest `order` of the class) and `class_size`, a row for each row. Texts without words are classes of their
-    own (class_id is their own `order`); equal texts are of one class."""
-    spark = docs.sparkSession
-    keyed = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)), docs[order].alias("order"), docs[text].cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(keyed.select("text")))
+def linked(texts: DataFrame, threshold: float) -> DataFrame:
+    """`key`, `component` of the texts (columns text, key; equal texts have one key) that are linked to others."""
+    idf = texts.sparkSession.sparkContext.broadcast(inverse_frequencies(texts.select("text")))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
             found = [(h, weights(h, n, idf.value)) for h, n in shingles(part.column(0).to_pylist())]
             some = [i for i, f in enumerate(found) if len(f[0])]
             if some:
-                names = bands([found[i] for i in some])
+                drawn = samples([found[i] for i in some])
+                names = bands(drawn)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, names.size + 1, BANDS, dtype=np.int32)), pa.array(names.ravel()))
-                yield pa.record_batch([part.column(1).take(pa.array(some)), pa.array([float(found[i][1].sum()) for i in some]), lists], names=["key", "total", "bands"])
+                yield pa.record_batch([part.column(1).take(pa.array(some)), pa.array([d.tobytes() for d in drawn], pa.binary()), lists], names=["key", "drawn", "bands"])
 
-    texts = keyed.select("text", "key")
-    sampled = written(texts.mapInArrow(sample, "key binary, total double, bands array<long>"), "bands").dropDuplicates(["key"])
-    members = written(sampled.select("key", "total", F.explode("bands").alias("band")), "members")
-    edges = members.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n")).where("n > 1")
+    sampled = written(texts.mapInArrow(sample, "key binary, drawn binary, bands array<long>").dropDuplicates(["key"]), "samples")
+    members = sampled.select("key", F.explode("bands").alias("band"))
+    edges = members.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
     buckets = written(members.join(edges, "band"), "buckets")
     tested = written(buckets.where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    links = written(verified(tested, texts, idf, threshold), "verified")
+    links = verified(alike(tested, sampled), texts, idf, threshold)
     found = components(links)
-    for leader in (True, False):
-        placed = buckets.where("n > 2").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-        open_rows = placed.join(mixed, "band", "left_semi")
-        if leader:
-            heads = open_rows.where("key = high").select("band", F.col("component").alias("other"))
-            pairs = open_rows.join(heads, "band").where("component <> other").select(F.col("key").alias("a"), F.col("high").alias("b"))
-        else:
-            open_rows = written(open_rows.select("band", "key", "total", "component"), "open")
-            others = open_rows.toDF("band", "b", "total_b", "component_b")
-            near = (F.col("key") > F.col("b")) & (F.col("component") != F.col("component_b")) & (F.least("total", "total_b") >= threshold * F.greatest("total", "total_b"))
-            pairs = open_rows.join(others, "band").where(near).select(F.col("key").alias("a"), "b")
+    larger = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band")
+    buckets = written(buckets.join(larger, "band", "left_semi"), "buckets")  # of two, both have been compared
+    for turn in range(1, LEADERS):
+        placed = buckets.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        lead = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("by"), "key", "component"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), lead.alias("lead")).where("x <> y")
+        pairs = placed.join(mixed.select("band", F.col("lead.key").alias("b"), F.col("lead.component").alias("other")), "band").where("component <> other").select(F.col("key").alias("a"), "b")
         pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = written(verified(pairs, texts, idf, threshold), "verified")
-        if not more.isEmpty():
-            links = links.unionByName(more)
+        similar = alike(pairs, sampled)
+        if not similar.isEmpty():
+            links = links.unionByName(verified(similar, texts, idf, threshold))
             found = components(links)
         tested = tested.unionByName(pairs)
-    rows = keyed.withColumn("worded", F.length(F.regexp_replace(F.col("text").cast("string"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) > 0)
-    named = rows.select(*(f"k{i}" for i in range(len(keep))), "order", "key", F.coalesce("worded", F.lit(False)).alias("worded")).join(found, "key", "left")
+    return found
+
+
+def keyed(docs: DataFrame, text: str) -> DataFrame:
+    """Columns by place (c0, c1, ...) with the text, its key and whether it holds a word."""
+    plain = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)), docs[text].cast("binary").alias("text"))
+    worded = F.length(F.regexp_replace(F.col("text").cast("string"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", "")) > 0
+    return plain.withColumns({"key": F.unhex(F.md5("text")), "worded": F.coalesce(worded, F.lit(False))})
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", keep: tuple[str, ...] = ("doc_id",), order: str = "doc_id") -> DataFrame:
+    """Kept columns, `class_id` (the smallest `order` of the class) and `class_size`, a row for each row. Texts without words are classes of their
+    own (class_id is their own `order`); equal texts are of one class."""
+    rows = keyed(docs.select(*keep, docs[order].alias("__order"), docs[text].alias("__text")), "__text")
+    found, n = linked(rows.select("text", "key"), threshold), len(keep)
+    named = rows.select(*(f"c{i}" for i in range(n)), F.col(f"c{n}").alias("order"), "key", "worded").join(found, "key", "left")
     named = named.withColumn("class", F.when(F.col("worded"), F.coalesce("component", "key")))
     sizes = named.where("class is not null").groupBy("class").agg(F.min("order").alias("least"), F.count("*").alias("size"))
-    out = named.join(sizes, "class", "left").select(*(f"k{i}" for i in range(len(keep))), F.when(F.col("class").isNull(), F.col("order")).otherwise(F.col("least")), F.coalesce("size", F.lit(1)))
+    out = named.join(sizes, "class", "left").select(*(f"c{i}" for i in range(n)), F.when(F.col("class").isNull(), F.col("order")).otherwise(F.col("least")), F.coalesce("size", F.lit(1)))
     return out.toDF(*keep, "class_id", "class_size")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", order: str = "doc_id") -> DataFrame:
-    """Documents, all columns as they are, one for each class: that with the smallest `order`; of rows that also share it, and of rows without it, the
-    one with the smallest digest of all columns. Texts without words all stay."""
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    print_of = F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
-    marked = written(plain.select(F.col(names[docs.columns.index(order)]).alias("order"), F.col(names[docs.columns.index(text)]).alias("text"), print_of.alias("row")), "rows")
-    judged = classes(marked, threshold, "text", ("row", "order"), "order")
-    group = F.when(F.col("class_size") > 1, F.coalesce(F.col("class_id").cast("string"), F.lit("")))
-    many = judged.withColumn("group", group).where("group is not null")
-    first = many.groupBy("group").agg(F.min(F.struct(F.col("order").isNull(), "order", "row")).getField("row").alias("first"))
-    gone = many.join(first, "group").where("row <> first").select("row").distinct()
-    single = many.join(first, "group").where("row = first").select("row").distinct()
-    out = plain.withColumn("row", print_of)
-    alone = out.join(gone.unionByName(single), "row", "left_anti")
-    one = out.join(single, "row", "left_semi").dropDuplicates(["row"])
-    return alone.unionByName(one).select(*names).toDF(*docs.columns)
+    """Documents, all columns as they are, one for each class: that with the smallest `order` (rows without it come last), of equal ones the one
+    with the smallest digest of the text; of rows that share both, any one. Texts without words all stay."""
+    place, n = f"c{docs.columns.index(order)}", len(docs.columns)
+    rows = keyed(docs, text)
+    found = linked(rows.select("text", "key"), threshold)
+    named = rows.where("worded").select(F.col(place).alias("order"), "key").join(found, "key", "left").withColumn("class", F.coalesce("component", "key"))
+    rank = F.struct(F.col("order").isNull().alias("late"), "order", "key")
+    firsts = named.groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("class", F.col("first.order").alias("first_order"), F.col("first.key").alias("first_key"))
+    gone = named.join(firsts, "class").where(~(F.col("order").eqNullSafe(F.col("first_order")) & (F.col("key") == F.col("first_key")))).select("order", "key").distinct()
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    gone = gone.select(name("order").alias("gone_order"), F.col("key").alias("gone_key"))
+    kept = rows.withColumn("name", name(place)).join(gone, (F.col("name") == F.col("gone_order")) & (F.col("key") == F.col("gone_key")) & F.col("worded"), "left_anti")
+    kept = kept.withColumn("own", F.when(F.col("worded"), F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return kept.drop("text", "worded").dropDuplicates(["name", "key", "own"]).select(*(f"c{i}" for i in range(n))).toDF(*docs.columns)

@@ -3,8 +3,9 @@
 A window is `size` consecutive words. Every window is represented by the smallest hash among its runs of `GRAM` words, so equal windows have equal
 representatives and a text has about one for every twelve words. Partitions add their representatives to count-min sketches (counters that stop at
 two), the sketches are merged block by block, and the merged one overestimates how often a window occurs: what it counts once is unique. Only windows
-estimated repeated are grouped in a second pass, by exact keys: first runs of neighbouring windows that share a representative, then, where different
-runs share one, each window. A key is the hash of the representative and that of the window. Nothing repeated is lost; a full sketch only lets more windows pass to grouping.
+estimated repeated are grouped in a second pass, by exact keys: first runs of neighbouring windows that share a representative, then, in a last pass
+over representatives that different runs share, each window. A key is the hash of the representative and that of the run or window. Nothing repeated
+is lost; a full sketch only lets more windows pass to grouping.
 """
 
 from __future__ import annotations
@@ -18,15 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tellerlake.llm.common import PLAIN, grams, scramble, slices, word_hashes, written
+from tellerlake.llm.sketches import gathered, width_for
 
 SIZE = 35
 GRAM = 12
 PLACE_BITS = 30
-DEPTH = 2
-BLOCK = 1 << 20
-#: Cells of a sketch row: about eight for each representative, between these bounds (the upper one is 64 MB a row once merged).
-CHARS_A_CELL, LEAST_CELLS, MOST_CELLS = 8, 1 << 20, 1 << 29
-SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+#: Bytes of text for each representative, about.
+OCTETS_A_REPRESENTATIVE = 64
 
 
 def least_of(values: np.ndarray, n: int) -> np.ndarray:
@@ -56,102 +55,66 @@ def representatives(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[n
     return hashes[place[window[cut]]], window[cut], np.diff(np.r_[cut, len(window)])
 
 
-def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
-    return scramble(hashes ^ SEEDS[row]) & np.uint64(width - 1)
-
-
-class Sketch:
-    """The merged sketch, as the bits of the cells that count two or more."""
-
-    def __init__(self, width: int, blocks: Iterator[tuple[int, bytes]]):
-        self.width, self.bits = width, [np.zeros(width // 8, np.uint8) for _ in range(DEPTH)]
-        for block, bits in blocks:
-            row, at = divmod(block * BLOCK, width)
-            self.bits[row][at // 8 : at // 8 + len(bits)] = np.frombuffer(bits, np.uint8)
-
-    def repeated(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), bool)
-        for row in range(DEPTH):
-            cell = cells(hashes, row, self.width)
-            out &= (self.bits[row][(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def sketch(texts: DataFrame, size: int, width: int) -> Sketch:
-    """Count-min sketches of the partitions, merged block by block; what returns to the driver is bounded by the width."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [representatives(*word_hashes([t or b"" for t in part.column(0).to_pylist()], PLAIN), size)[0] for part in slices(batches, 0)]
-        hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
-        for row in range(DEPTH):
-            cell = np.sort(cells(hashes, row, width))
-            cut = np.searchsorted(cell, np.arange(0, width + BLOCK, BLOCK, dtype=np.uint64))
-            for i in np.flatnonzero(np.diff(cut)).tolist():
-                inside = (cell[cut[i] : cut[i + 1]] & np.uint64(BLOCK - 1)).astype(np.uint32)
-                yield pa.record_batch([pa.array([row * (width // BLOCK) + i], pa.int32()), pa.array([inside.tobytes()], pa.binary())], names=["block", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, np.ndarray] = {}
-        twice: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, inside in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                a, b = once.setdefault(block, np.zeros(BLOCK // 8, np.uint8)), twice.setdefault(block, np.zeros(BLOCK // 8, np.uint8))
-                cell, n = np.unique(np.frombuffer(inside, np.uint32), return_counts=True)
-                new, more = np.zeros(BLOCK, bool), np.zeros(BLOCK, bool)
-                new[cell] = True
-                more[cell[n > 1]] = True
-                new, more = np.packbits(new), np.packbits(more)
-                b |= more | (a & new)
-                a |= new
-        for block, bits in twice.items():
-            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
-
-    parts = texts.mapInArrow(count, "block int, cells binary")
-    merged = parts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(merge, "block int, bits binary")
-    return Sketch(width, ((r.block, r.bits) for r in merged.toLocalIterator(prefetchPartitions=True)))
+def runs_of(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, ...]:
+    """Words and text bounds of a batch (text first), and its runs: representatives, first windows, numbers of windows."""
+    words, bounds = word_hashes([t or b"" for t in part.column(0).to_pylist()], PLAIN)
+    return words, bounds, *representatives(words, bounds, size)
+
+
+def signed(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
 
 
 def candidate_runs(texts: DataFrame, size: int, seen) -> DataFrame:
-    """Runs whose representative is estimated repeated: text key, representative, first and last window's hash, windows, place, hashes of the windows."""
+    """Runs whose representative is estimated repeated: text key, representative, hash of the run, its place and number of windows. At most as many
+    windows share a representative's place as the first and the last one cover together, so these two and the number name the run."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 0):
+            words, bounds, hashes, begin, n = runs_of(part, size)
+            take = seen.value.has(hashes)
+            hashes, begin, n = hashes[take], begin[take], n[take]
+            if len(n):
+                windows, text = grams(words, size), np.searchsorted(bounds, begin, "right") - 1
+                run = scramble(scramble(windows[begin] + n.astype(np.uint64)) + windows[begin + n - 1])
+                yield pa.record_batch([part.column(1).take(pa.array(text)), signed(hashes), signed(run), pa.array((begin - bounds[text]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "rep", "run", "begin", "n"])
+
+    return texts.mapInArrow(find, "key binary, rep long, run long, begin int, n int")
+
+
+def candidate_windows(texts: DataFrame, size: int, mixed) -> DataFrame:
+    """The windows, one by one, of representatives that different runs share: text key, representative, hash of the window, place."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 0):
-            words, bounds = word_hashes([t or b"" for t in part.column(0).to_pylist()], PLAIN)
-            hashes, begin, n = representatives(words, bounds, size)
-            take = seen.value.repeated(hashes)
+            words, bounds, hashes, begin, n = runs_of(part, size)
+            take = mixed.value.has(hashes)
             hashes, begin, n = hashes[take], begin[take], n[take]
-            if not len(n):
-                continue
-            windows, text = grams(words, size), np.searchsorted(bounds, begin, "right") - 1
-            ends = np.cumsum(n)
-            flat = windows[np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.view(np.int64)))
-            long = lambda x: pa.array(x.view(np.int64))
-            yield pa.record_batch(
-                [part.column(1).take(pa.array(text)), long(hashes), long(windows[begin]), long(windows[begin + n - 1]), pa.array(n.astype(np.int32)), pa.array((begin - bounds[text]).astype(np.int32)), lists],
-                names=["key", "rep", "first", "last", "n", "begin", "windows"],
-            )
+            if len(n):
+                ends = np.cumsum(n)
+                at = np.arange(ends[-1]) + np.repeat(begin - (ends - n), n)
+                text = np.repeat(np.searchsorted(bounds, begin, "right") - 1, n)
+                yield pa.record_batch([part.column(1).take(pa.array(text)), signed(np.repeat(hashes, n)), signed(grams(words, size)[at]), pa.array((at - bounds[text]).astype(np.int32))], names=["key", "rep", "window", "begin"])
 
-    return texts.mapInArrow(find, "key binary, rep long, first long, last long, n int, begin int, windows array<long>")
+    return texts.mapInArrow(find, "key binary, rep long, window long, begin int")
 
 
 def repeated_spans(texts: DataFrame, size: int = SIZE) -> DataFrame:
     """`key`, `spans` (array of first window, windows) of the texts (columns text, key) that hold windows which also start elsewhere."""
     spark = texts.sparkSession
-    chars = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    width = min(MOST_CELLS, max(LEAST_CELLS, 1 << max(0, chars // CHARS_A_CELL - 1).bit_length()))
-    seen = spark.sparkContext.broadcast(sketch(texts.select("text"), size, width))
-    found = written(candidate_runs(texts, size, seen), "windows")
-    run = ["rep", "first", "last", "n"]
-    runs = written(found.groupBy(*run).agg(F.count("*").alias("copies")), "runs")
-    mixed = runs.groupBy("rep").agg(F.count("*").alias("runs")).where("runs > 1").select("rep", F.lit(True).alias("mixed"))
-    wanted = runs.join(mixed, "rep", "left").where("copies > 1 or mixed").select(*run, "copies", F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    held = written(found.join(wanted, run).select("key", "rep", "begin", "n", "copies", F.when(F.col("mixed"), F.col("windows")).alias("windows")), "repeats")
-    single = held.where("windows is not null").select("key", "rep", "begin", "copies", F.posexplode("windows").alias("at", "window"))
+    octets = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+    width = width_for(octets // OCTETS_A_REPRESENTATIVE)
+    of_texts = lambda batches: (runs_of(part, size)[2] for part in slices(batches, 0))
+    of_values = lambda batches: (b.column(0).to_numpy().view(np.uint64) for b in batches)
+    seen = spark.sparkContext.broadcast(gathered(texts.select("text"), of_texts, width, 2))
+    found = written(candidate_runs(texts, size, seen), "runs")
+    copies = written(found.groupBy("rep", "run").agg(F.count("*").alias("copies")), "copies")
+    mixed = spark.sparkContext.broadcast(gathered(copies.groupBy("rep").agg(F.count("*").alias("runs")).where("runs > 1").select("rep"), of_values, width, 1))
+    single = written(candidate_windows(texts, size, mixed), "windows")
     again = single.groupBy("rep", "window").agg(F.count("*").alias("places")).where("places > 1").select("rep", "window")
-    edges = single.where("copies = 1").join(again, ["rep", "window"]).select("key", (F.col("begin") + F.col("at")).alias("begin"), F.lit(1).alias("n"))
-    spans = held.where("copies > 1").select("key", "begin", "n").unionByName(edges).distinct()
-    return spans.groupBy("key").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))
+    edges = single.join(again, ["rep", "window"]).select("key", "begin", F.lit(1).alias("n"))
+    whole = found.join(copies.where("copies > 1").select("rep", "run"), ["rep", "run"]).select("key", "begin", "n")
+    return whole.unionByName(edges).groupBy("key").agg(F.collect_set(F.struct("begin", "n")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", names: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:

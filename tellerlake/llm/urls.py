@@ -49,7 +49,7 @@ def entropy(text: Column) -> Column:
     """Bits a character; 0 for an empty text."""
 
     def term(total: Column, c: Column) -> Column:
-        p = (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text)
+        p = F.coalesce(F.try_divide(F.length(text) - F.length(F.replace(text, c, F.lit(""))), F.length(text)), F.lit(0.0))
         return total - F.when(p > 0, p * F.log2(p)).otherwise(0.0)
 
     return F.aggregate(F.array_distinct(F.split(text, "")), F.lit(0.0), term)
