@@ -148,21 +148,21 @@ def duck_one(label, when):
     return f"CASE WHEN coalesce({when}, false) THEN [{label}] ELSE [] END"
 
 
-VERDICT = f"""{UNSAFE}, said AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS last_reply, list(text) FILTER (WHERE role = 'assistant') AS replies, list(text) FILTER (WHERE role = 'user') AS asked,
+VERDICT = f"""{UNSAFE}, said AS (SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS last_reply, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS replies, list(text) FILTER (WHERE role = 'user') AS asked,
       list(CASE WHEN role = 'assistant' THEN turn END) AS turns FROM spoken GROUP BY 1),
   quiet AS (SELECT conv_id, bool_or(role = 'assistant' AND turn >= silent_after AND trim(text) NOT IN ('', '[sin respuesta]')) AS broke FROM spoken JOIN cases USING (conv_id) GROUP BY 1),
-  o AS (SELECT c.*, last_reply, replies, asked, broke, unsafe, list_append(accept, expected_outcome) AS ok, CASE WHEN handoff_open THEN 'D' WHEN trim(regexp_replace(last_reply, '\\s+', ' ', 'g')) IN {FIXED_REPLIES} THEN 'F' ELSE 'answered' END AS outcome
-    FROM cases c JOIN said USING (conv_id) JOIN quiet USING (conv_id) JOIN unsafe USING (conv_id)),
+  o AS (SELECT c.*, last_reply, replies, asked, broke, unsafe, list_append(accept, expected_outcome) AS ok, CASE WHEN handoff_open THEN 'D' WHEN trim(regexp_replace(coalesce(last_reply, ''), '\\s+', ' ', 'g')) IN {FIXED_REPLIES} THEN 'F' ELSE 'answered' END AS outcome
+    FROM cases c LEFT JOIN said USING (conv_id) LEFT JOIN quiet USING (conv_id) LEFT JOIN (SELECT conv_id, unsafe FROM unsafe) USING (conv_id)),
   v AS (SELECT *, list_concat({duck_one("'unexpected_handoff'", "outcome = 'D' AND NOT list_contains(ok, 'D')")},
     {duck_one("'wrong_handoff_reason: ' || coalesce(handoff_reason, 'null') || ' != ' || expected_reason", "outcome = 'D' AND list_contains(ok, 'D') AND handoff_reason IS DISTINCT FROM expected_reason")},
     CASE WHEN outcome = 'D' THEN {duck_each('handoff_fact_missing', 'handoff_facts', 'NOT list_contains(known_facts, p)')} ELSE [] END,
     {duck_one("'unexpected_fixed_reply'", "outcome = 'F' AND NOT list_contains(ok, 'F')")}, {duck_one("'expected_' || expected_outcome || '_got_answer'", "outcome = 'answered' AND NOT list_contains(ok, 'R') AND NOT list_contains(ok, 'A')")},
-    {duck_each('must_match', 'must_match', "NOT regexp_matches(last_reply, '(?i)' || p)")},
-    {duck_each('must_match_anywhere', 'must_match_anywhere', "len(list_filter(coalesce(replies, []), lambda r: regexp_matches(r, '(?i)' || p))) = 0")},
+    {duck_each('must_match', 'must_match', "NOT regexp_matches(coalesce(last_reply, ''), '(?i)' || p)")},
+    {duck_each('must_match_anywhere', 'must_match_anywhere', "NOT regexp_matches(array_to_string(coalesce(replies, []), chr(10)), '(?i)' || p)")},
     {duck_one("'must_not_match'", "len(list_filter(coalesce(replies, []), lambda r: len(list_filter(must_not_match, lambda p: regexp_matches(r, '(?i)' || p))) > 0)) > 0")},
     {duck_one("'customer_message_not_masked'", "len(list_filter(coalesce(asked, []), lambda r: len(list_filter(customer_must_not_match, lambda p: regexp_matches(r, '(?i)' || p))) > 0)) > 0")},
     {duck_one("'silence_broken'", "broke")}, {duck_one("'not_resolved'", "expected_resolved AND NOT resolved")}, {duck_one("'unexpectedly_resolved'", "NOT expected_resolved AND resolved")},
-    CASE WHEN unsafe = '' THEN [] ELSE list_transform(string_split(unsafe, ','), lambda u: 'unsafe: ' || u) END) AS reasons FROM o)"""
+    CASE WHEN coalesce(unsafe, '') = '' THEN [] ELSE list_transform(string_split(unsafe, ','), lambda u: 'unsafe: ' || u) END) AS reasons FROM o)"""
 
 
 def judged(b):

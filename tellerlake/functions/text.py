@@ -100,17 +100,23 @@ def passes_luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), size), F.lit(0), step) % 10 == 0
 
 
-def _mask_first_card(t: Column) -> Column:
-    """Mask every copy of the first card number; a run of 13 to 19 digits is tested as a whole."""
-    runs = F.regexp_extract_all(t, F.lit(P.CARD_RUN), 0)
-    cards = F.filter(runs, lambda m: passes_luhn(F.regexp_replace(m, "[ -]", "")))
-    return F.coalesce(F.replace(t, F.rtrim(F.get(cards, 0), F.lit(" -")), F.lit(P.CARD_TOKEN)), t)
+def _cards(t: Column) -> Column:
+    """Card numbers in a text: runs of 13 to 19 digits, each tested as a whole."""
+    runs = F.transform(F.regexp_extract_all(t, F.lit(P.CARD_RUN), 0), lambda m: F.rtrim(m, F.lit(" -")))
+    return F.filter(F.array_distinct(runs), lambda m: passes_luhn(F.regexp_replace(m, "[ -]", "")))
 
 
 def mask_cards(c: Column) -> Column:
-    """Repeat until no card is left: each pass removes at least 13 digits, which bounds the passes."""
+    """Find all cards in one scan and mask every copy of each; scan again only after a scan that found some, as what a mask cuts apart may hold
+    another. Each such scan removes at least 13 digits, which bounds their number."""
     passes = F.floor(F.length(F.regexp_replace(c, "[^0-9]", "")) / 13).cast("int")
-    repeated = F.aggregate(F.sequence(F.lit(1), passes), c, lambda t, _: _mask_first_card(t))
+
+    def scan(state: Column, _: Column) -> Column:
+        cards = _cards(state["text"])
+        masked = F.aggregate(cards, state["text"], lambda t, card: F.replace(t, card, F.lit(P.CARD_TOKEN)))
+        return F.when(state["more"], F.struct(masked.alias("text"), (F.size(cards) > 0).alias("more"))).otherwise(state)
+
+    repeated = F.aggregate(F.sequence(F.lit(1), passes), F.struct(c.alias("text"), F.lit(True).alias("more")), scan)["text"]
     return F.when(passes < 1, c).otherwise(repeated)
 
 

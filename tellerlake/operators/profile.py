@@ -98,7 +98,8 @@ def demand_baseline(interactions: DataFrame, reason: str) -> DataFrame:
         F.count(F.lit(1)).alias("contacts"), count_if(F.col("was_resolved")).alias("resolved"), count_if(F.col("requires_followup")).alias("follow_up"),
         F.sum("duration_seconds").alias("seconds"))
     for name, column in (("median_duration", "duration_seconds"), ("median_wait", "wait_time_seconds")):
-        base = base.join(exact_percentiles(interactions, [reason], column, {name: 0.5}, grain=60).drop("n_values"), reason, "left")
+        medians = exact_percentiles(interactions, [reason], column, {name: 0.5}, grain=60).select(F.col(reason).alias("_reason"), name)
+        base = base.join(medians, F.col(reason).eqNullSafe(F.col("_reason")), "left").drop("_reason")
     return attach_one_row(base, total).select(
         reason, "contacts", (F.col("contacts") / F.col("_all")).alias("share"), (F.col("resolved") / F.col("contacts")).alias("resolved_rate"),
         (F.col("follow_up") / F.col("contacts")).alias("follow_up_rate"), "median_duration", "median_wait", (F.col("seconds") / 3600).alias("advisor_hours"))

@@ -77,7 +77,7 @@ def unsafe_findings(messages: DataFrame, cases: DataFrame, conv: str = "conv_id"
     claims = said
     for reply in P.HANDOFF_REPLIES:
         claims = F.replace(claims, F.lit(reply), F.lit(""))
-    marked = messages.join(cases, conv).join(handoff_marks(messages, conv, turn), conv, "left")
+    marked = cases.join(messages, conv, "left").join(handoff_marks(messages, conv, turn), conv, "left")
     after = F.col(turn) > F.col("handoff_turn")
     trigger = F.max_by(said, F.when((F.col("role") == "user") & (F.col(turn) < F.col("handoff_turn")), F.col(turn)))
     leak = is_assistant & F.exists("forbidden", lambda x: F.contains(F.lower(said), F.lower(x)))
@@ -103,20 +103,20 @@ def verdicts(messages: DataFrame, cases: DataFrame, fixed_replies: Sequence[str]
     """Outcome, reasons and pass/fail of every run.
 
     `cases` has one row per conversation: expected outcome, accepted outcomes, reason, pattern arrays, the handoff
-    (open, reason, known facts), expected facts, silence turn, expected and observed resolution. Patterns are
-    tested message by message, so nothing is gathered; a pattern does not span messages.
+    (open, reason, known facts), expected facts, silence turn, expected and observed resolution. A case without
+    messages is judged like any other. `must_match_anywhere` is tested on the run's replies joined by line feeds
+    (gathered only for cases that have such patterns, one run at a time); other patterns message by message.
     """
     is_assistant, is_user, said = F.col("role") == "assistant", F.col("role") == "user", F.col("text")
-    joined = messages.join(cases, conv)
+    joined = cases.join(messages, conv, "left")
     broke = is_assistant & (F.col(turn) >= F.col("silent_after")) & ~F.btrim(said).isin(*P.NO_REPLY)
-    anywhere = F.transform("must_match_anywhere", lambda p: F.when(is_assistant & F.regexp_like(said, F.concat(F.lit("(?iu)"), p)), p))
-    found = F.array_compact(anywhere)
+    reply = F.when(is_assistant & said.isNotNull() & (F.size("must_match_anywhere") > 0), F.struct(F.col(turn).alias("t"), said.alias("text")))
     per = joined.groupBy(conv).agg(
         F.max_by(said, F.when(is_assistant, F.col(turn))).alias("last_reply"),
         F.coalesce(F.bool_or(is_assistant & _any_match(F.col("must_not_match"), said)), F.lit(False)).alias("_forbidden_match"),
         F.coalesce(F.bool_or(is_user & _any_match(F.col("customer_must_not_match"), said)), F.lit(False)).alias("_unmasked"),
         F.coalesce(F.bool_or(broke), F.lit(False)).alias("_broke"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(F.size(found) > 0, found)))).alias("_found"))  # subsets of a short pattern list
+        F.array_join(F.transform(F.sort_array(F.collect_list(reply)), lambda r: r["text"]), "\n").alias("_replies"))
     run = per.join(cases, conv).join(unsafe_findings(messages, cases.select(conv, "forbidden", F.coalesce("handoff_reason", "expected_reason").alias("reason")), conv, turn), conv)
     last = F.coalesce("last_reply", F.lit(""))
     outcome = F.when(F.coalesce("handoff_open", F.lit(False)), "D").when(is_fixed_reply(last, fixed_replies), "F").otherwise("answered")
@@ -141,13 +141,13 @@ def verdicts(messages: DataFrame, cases: DataFrame, fixed_replies: Sequence[str]
         one("unexpected_fixed_reply", fixed & ~accepts("F")),
         one(F.concat(F.lit("expected_"), F.col("expected_outcome"), F.lit("_got_answer")), answered & ~accepts("R") & ~accepts("A")),
         each("must_match: ", F.filter("must_match", lambda p: ~F.regexp_like(last, F.concat(F.lit("(?iu)"), p)))),
-        each("must_match_anywhere: ", F.filter("must_match_anywhere", lambda p: ~F.array_contains(F.coalesce("_found", F.array().cast("array<string>")), p))),
+        each("must_match_anywhere: ", F.filter("must_match_anywhere", lambda p: ~F.regexp_like(F.col("_replies"), F.concat(F.lit("(?iu)"), p)))),
         one("must_not_match", F.col("_forbidden_match")), one("customer_message_not_masked", F.col("_unmasked")),
         one("silence_broken", F.col("_broke")),
         one("not_resolved", F.col("expected_resolved") & ~F.col("resolved")), one("unexpectedly_resolved", ~F.col("expected_resolved") & F.col("resolved")),
         each("unsafe: ", F.col("unsafe")))
     out = run.withColumn("reasons", reasons)
-    return out.withColumn("verdict", F.when(F.size("reasons") == 0, "pass").otherwise("fail")).drop("_accepted", "_found", "_forbidden_match", "_unmasked", "_broke")
+    return out.withColumn("verdict", F.when(F.size("reasons") == 0, "pass").otherwise("fail")).drop("_accepted", "_replies", "_forbidden_match", "_unmasked", "_broke")
 
 
 # ---- reports

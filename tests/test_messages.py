@@ -218,3 +218,20 @@ def test_complaint_facts(spark):
 def test_scope_needs_a_user(spark):
     with pytest.raises(ValueError):
         S.scope(spark.range(1), "")
+
+
+def test_case_without_messages_and_pattern_over_two_replies(spark):
+    rows = [(1, 1, "user", "hola"), (1, 2, "assistant", "primera parte"), (1, 3, "user", "sigue"), (1, 4, "assistant", "segunda parte")]
+    schema = """conv_id long, expected_outcome string, accept array<string>, expected_reason string, must_match array<string>, must_match_anywhere array<string>, must_not_match array<string>,
+        customer_must_not_match array<string>, forbidden array<string>, handoff_open boolean, handoff_reason string, known_facts array<string>, handoff_facts array<string>, silent_after int,
+        expected_resolved boolean, resolved boolean"""
+    case = lambda i: (i, "A", [], None, [], [r"parte\s+segunda"], [], [], [], False, None, [], [], None, True, False)
+    got = {r.conv_id: (r.outcome, r.reasons, r.verdict) for r in C.verdicts(spark.createDataFrame(rows, MSG), spark.createDataFrame([case(1), case(2)], schema), ["x"]).collect()}
+    assert got == {1: ("answered", ["not_resolved"], "fail"), 2: ("answered", [r"must_match_anywhere: parte\s+segunda", "not_resolved"], "fail")}
+
+
+def test_cards_cut_apart_by_a_mask(spark):
+    card = "4111111111111111"
+    texts = [None, "", f"a {card} b {card}", f"{card}5500005555555559", "1" * 40, f"x{card}y 4111 1111 1111 1111"]
+    got = [r.m for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.mask_cards(F.col("t")).alias("m")).collect()]
+    assert got[0] is None and got[1] == "" and card not in got[2] and card not in got[5]
