@@ -3,7 +3,7 @@
 A text is the set of its five-word shingles (letters and digits, A-Z lower-cased), each weighted by its count times an idf between 1 and 2 taken over
 all documents. Samples are drawn on shingles folded into fixed tables of random variates; folding never lowers a similarity, so it only adds
 candidates. Bands of samples name buckets. In a bucket texts are compared with one leader; while texts of a bucket are not all connected, they meet
-further leaders, chosen by another hash each turn. The pairs are linear in the rows, whatever the size of a bucket. Pairs whose samples hardly agree
+further leaders, chosen by another hash each turn, until a turn links nothing new. The pairs of a turn are linear in the rows, whatever the size of a bucket. Pairs whose samples hardly agree
 are not read. A link is a weighted Jaccard similarity of at least 0.8 of
 the unfolded shingles. Equal texts are one key throughout.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,6 @@ from tellerlake.llm.components import components
 from tellerlake.llm.sketches import gathered, width_for
 
 SHINGLE = 5
-#: Leaders that the texts of a bucket meet in turn, as long as they are not all connected.
-LEADERS = 4
 THRESHOLD = 0.8
 HASHES, BANDS = 48, 16
 AGREEING = 26
@@ -89,7 +88,7 @@ def bands(drawn: np.ndarray) -> np.ndarray:
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """1 + ln((n+1)/(df+1)) / ln(n+1) of each hashed shingle over all texts; partial counts are merged block by block."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros(IDF_BUCKETS, np.uint32), 0
         for part in slices(batches, 0):
             for hashes, _ in shingles(part.column(0).to_pylist()):
@@ -110,7 +109,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
     schema = "block int, n long, counts binary"
     n, df = 0, np.zeros(IDF_BUCKETS, np.int64)
-    for row in texts.mapInArrow(count, schema).repartition(16, "block").mapInArrow(merge, schema).toLocalIterator():
+    for row in texts.mapInArrow(partial, schema).repartition(16, "block").mapInArrow(merge, schema).toLocalIterator():
         n += row.n
         df[row.block * IDF_BLOCK : (row.block + 1) * IDF_BLOCK] = np.frombuffer(row.counts, np.int64)
     return (1 + np.log((n + 1) / (df + 1)) / max(np.log(n + 1), 1e-9)).astype(np.float32)
@@ -191,18 +190,17 @@ def linked(texts: DataFrame, threshold: float) -> DataFrame:
     found = components(links)
     larger = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band")
     buckets = written(buckets.join(larger, "band", "left_semi"), "buckets")  # of two, both have been compared
-    for turn in range(1, LEADERS):
+    for turn in count(1):
         placed = buckets.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
         lead = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("by"), "key", "component"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), lead.alias("lead")).where("x <> y")
         pairs = placed.join(mixed.select("band", F.col("lead.key").alias("b"), F.col("lead.component").alias("other")), "band").where("component <> other").select(F.col("key").alias("a"), "b")
         pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        similar = alike(pairs, sampled)
-        if not similar.isEmpty():
-            links = links.unionByName(verified(similar, texts, idf, threshold))
-            found = components(links)
-        tested = tested.unionByName(pairs)
-    return found
+        new = verified(alike(pairs, sampled), texts, idf, threshold)
+        if new.isEmpty():
+            return found
+        links, tested = links.unionByName(new), tested.unionByName(pairs)
+        found = components(links)
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
