@@ -3,9 +3,9 @@
 A text is the set of its five-word shingles (letters and digits, A-Z lower-cased), each weighted by its count times an idf between 1 and 2 taken over
 all documents. Samples are drawn on shingles folded into fixed tables of random variates; folding never lowers a similarity, so it only adds
 candidates. Bands of samples name buckets. In a bucket texts are compared with one leader; while texts of a bucket are not all connected, they meet
-further leaders, chosen by another hash each turn, until a turn links nothing new. The pairs of a turn are linear in the rows, whatever the size of a bucket. Pairs whose samples hardly agree
-are not read. A link is a weighted Jaccard similarity of at least 0.8 of
-the unfolded shingles. Equal texts are one key throughout.
+further leaders, chosen by another hash each turn, until a turn links nothing new. The pairs of a turn are linear in the rows, whatever the size of
+a bucket. Pairs whose samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts
+are one key throughout.
 """
 
 from __future__ import annotations
