@@ -115,8 +115,9 @@ class Codec:
         first, *rest = segments(text)
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        for new in set(rest) - self.known.keys():
-            self.known[new] = self.encode_segment(" " + new)
+        for new in set(rest):
+            if new not in self.known:
+                self.known[new] = self.encode_segment(" " + new)
         return [*self.encode_segment(first), *chain.from_iterable(map(self.known.__getitem__, rest))]
 
     def decode(self, ids: list[int]) -> bytes:
