@@ -42,7 +42,7 @@ class SegmentCounter:
             self.known.clear()
         cut = [segments(t) for t in texts]
         heads = self.encode([c[0] for c in cut])
-        new = list(set().union(*(c[1:] for c in cut)) - self.known.keys())
+        new = [s for s in set().union(*(c[1:] for c in cut)) if s not in self.known]
         self.known.update(zip(new, self.encode([" " + s for s in new]), strict=True))
         lookup = self.known.__getitem__
         return [h + sum(map(lookup, c[1:])) for h, c in zip(heads, cut, strict=True)]
