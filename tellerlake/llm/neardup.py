@@ -109,7 +109,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
     schema = "block int, n long, counts binary"
     n, df = 0, np.zeros(IDF_BUCKETS, np.int64)
-    for row in texts.mapInArrow(partial, schema).repartition(16, "block").mapInArrow(merge, schema).toLocalIterator():
+    for row in texts.mapInArrow(partial, schema).repartition(16, "block").mapInArrow(merge, schema).collect():  # IDF_BUCKETS counts
         n += row.n
         df[row.block * IDF_BLOCK : (row.block + 1) * IDF_BLOCK] = np.frombuffer(row.counts, np.int64)
     return (1 + np.log((n + 1) / (df + 1)) / max(np.log(n + 1), 1e-9)).astype(np.float32)
