@@ -27,3 +27,13 @@ def components(links: DataFrame) -> DataFrame:
         if ends.groupBy("key").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty():  # only stars are left
             return after.select(F.col("a").alias("key"), F.col("b").alias("component")).unionByName(after.select(F.col("b").alias("key"), F.col("b").alias("component")).distinct())
         links = after
+
+
+def regrouped(found: DataFrame, links: DataFrame) -> DataFrame:
+    """`found` (key, component) after more links (a, b): only links between components are followed."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    every = written(found.unionByName(ends.join(found, "key", "left_anti").select("key", F.col("key").alias("component"))), "components")
+    named = [every.select(F.col("key").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab"]
+    joined = components(links.join(named[0], "a").join(named[1], "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    joined = joined.select(F.col("key").alias("component"), F.col("component").alias("whole"))
+    return written(every.join(joined, "component", "left").select("key", F.coalesce("whole", "component").alias("component")), "components")

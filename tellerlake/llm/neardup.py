@@ -2,10 +2,11 @@
 
 A text is the set of its five-word shingles (letters and digits, A-Z lower-cased), each weighted by its count times an idf between 1 and 2 taken over
 all documents. Samples are drawn on shingles folded into fixed tables of random variates; folding never lowers a similarity, so it only adds
-candidates. Bands of samples name buckets. In a bucket texts are compared with one leader; while texts of a bucket are not all connected, they meet
-further leaders, chosen by another hash each turn, until a turn links nothing new. The pairs of a turn are linear in the rows, whatever the size of
-a bucket. Pairs whose samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts
-are one key throughout.
+candidates. Bands of samples name buckets. In a bucket texts are compared with one leader, the text that shares most buckets with others (near copies
+agree most with the copy nearest to their common source). While texts of a bucket are not all connected, they meet its next `HUBS` by that rank
+and `OTHERS` by hash, other ones each turn, until a turn links nothing new. A bucket with no more texts than leaders is compared in full; the pairs of
+a turn are linear in the rows, whatever the size of a bucket. Pairs whose samples hardly agree are
+not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts are one key throughout.
 """
 
 from __future__ import annotations
@@ -17,17 +18,18 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tellerlake.llm.common import BASE, FOLD, grams, scramble, slices, word_hashes, written
-from tellerlake.llm.components import components
+from tellerlake.llm.components import components, regrouped
 from tellerlake.llm.sketches import gathered, width_for
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES, BANDS = 48, 16
 AGREEING = 26
+HUBS, OTHERS = 4, 4
 FOLDED, CHUNK = 1 << 15, 4096
 IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 14
 SEED = 20260
@@ -141,16 +143,21 @@ def first_half(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[n
         yield np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint64)[::2]
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts reach the threshold. Texts that no pair names are left out before they are shuffled."""
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    named = pairs.sparkSession.sparkContext.broadcast(gathered(wanted, first_half, width_for(2 * pairs.count()), 1))
+def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """`key`, `text` of the keys. Texts that no key names are left out before they are shuffled."""
+    wanted = written(keys.distinct(), "wanted")
+    named = keys.sparkSession.sparkContext.broadcast(gathered(wanted, first_half, width_for(wanted.count()), 1))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(named.value.has(next(first_half(iter([batch]), 1)))))
 
-    held = written(texts.where("text is not null").mapInArrow(some, "text binary, key binary").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    held = texts.where("text is not null").mapInArrow(some, "text binary, key binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return written(held.select("key", "text"), "texts")
+
+
+def verified(pairs: DataFrame, held: DataFrame, idf, threshold: float) -> DataFrame:
+    """The pairs (a, b) of keys whose texts reach the threshold."""
     joined = pairs.join(held.select(F.col("key").alias("a"), F.col("text").alias("left")), "a").join(held.select(F.col("key").alias("b"), F.col("text").alias("right")), "b").select("left", "right", "a", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,24 +190,30 @@ def linked(texts: DataFrame, threshold: float) -> DataFrame:
 
     sampled = written(texts.mapInArrow(sample, "key binary, drawn binary, bands array<long>").dropDuplicates(["key"]), "samples")
     members = sampled.select("key", F.explode("bands").alias("band"))
-    edges = members.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
-    buckets = written(members.join(edges, "band"), "buckets")
-    tested = written(buckets.where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct(), "pairs")
-    links = verified(alike(tested, sampled), texts, idf, threshold)
-    found = components(links)
-    larger = buckets.groupBy("band").agg(F.count("*").alias("n")).where("n > 2").select("band")
-    buckets = written(buckets.join(larger, "band", "left_semi"), "buckets")  # of two, both have been compared
+    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = written(members.join(shared, "band"), "buckets")
+    buckets = written(buckets.join(buckets.groupBy("key").agg(F.sum("n").alias("hub")), "key").select("band", "key", "hub"), "buckets")
+    first = buckets.groupBy("band").agg(F.max(F.struct("hub", "key")).alias("first")).select("band", F.col("first.key").alias("first"))
+    tested = written(buckets.join(first, "band").where("key <> first").select(F.greatest("key", "first").alias("a"), F.least("key", "first").alias("b")).distinct(), "pairs")
+    near = alike(tested, sampled)
+    found = components(verified(near, texts_of(near.select(F.explode(F.array("a", "b")).alias("key")), texts), idf, threshold))
+    held = None
     for turn in count(1):
-        placed = buckets.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        lead = F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("by"), "key", "component"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), lead.alias("lead")).where("x <> y")
-        pairs = placed.join(mixed.select("band", F.col("lead.key").alias("b"), F.col("lead.component").alias("other")), "band").where("component <> other").select(F.col("key").alias("a"), "b")
-        pairs = written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = verified(alike(pairs, sampled), texts, idf, threshold)
+        placed = buckets.select("band", "key", "hub").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+        mixed = mixed.where("x <> y and n > 2").select("band")  # of two, both have been compared
+        buckets = written(placed.join(mixed, "band", "left_semi"), "buckets")
+        if held is None:
+            held = texts_of(buckets.select("key"), texts)
+        ranks = (F.desc("hub"), F.desc("key")), (F.xxhash64("key", "band", F.lit(turn)), F.col("key"))
+        lead = [buckets.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(*by))).where(F.col("place") <= most) for by, most in zip(ranks, (1 + turn * HUBS, OTHERS), strict=True)]
+        lead = lead[0].where(F.col("place") > 1 + (turn - 1) * HUBS).unionByName(lead[1]).select("band", F.col("key").alias("b"), F.col("component").alias("other"))
+        pairs = buckets.join(lead, "band").where("component <> other").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        new = verified(alike(pairs, sampled), held, idf, threshold)
         if new.isEmpty():
             return found
-        links, tested = links.unionByName(new), tested.unionByName(pairs)
-        found = components(links)
+        tested, found = tested.unionByName(pairs), regrouped(found, new)
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:
