@@ -1,8 +1,7 @@
 """Running totals that never put a hot key's whole history into one task.
 
-Most keys are short and are handled as one ordered run. A key that holds more than its share of the rows is cut
-into time slices: slice totals are combined before any shuffle, their running sum gives each slice an opening
-balance, and only the rows of one (key, slice) share a task, so such a key is spread over (time span / width)
+Every key is cut into time slices: slice totals are combined before any shuffle, their running sum gives each slice
+an opening balance, and only the rows of one (key, slice) share a task, so a key is spread over (time span / width)
 tasks. Every count or sum over `[T - d, T)` is a difference of two running totals: linear work, whatever the
 number of rows inside a frame.
 """
@@ -21,11 +20,6 @@ MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
-# A key is hot when it has this many rows and more than 1 / HOT_KEYS of all rows; so there are fewer than
-# HOT_KEYS hot keys, which bounds the broadcast list of them.
-HOT_ROWS = 1_000_000
-HOT_KEYS = 100_000
-
 
 def epoch_us(ts: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone (the session zone is UTC)."""
@@ -37,47 +31,28 @@ def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one_row", F.lit(1)).join(F.broadcast(one.withColumn("_one_row", F.lit(1))), "_one_row").drop("_one_row")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, total: DataFrame | None = None) -> DataFrame:
-    """The keys that need splitting: at most HOT_KEYS rows, by counting."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows)
-    total = (df if total is None else total).agg(F.count(F.lit(1)).alias("_all"))
-    return attach_one_row(counts, total).where(F.col("_rows") * HOT_KEYS > F.col("_all")).select(*keys)
-
-
-def mark_hot(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
-    """Add `_hot`; `hot` comes from `hot_keys`, so the broadcast side is bounded by HOT_KEYS rows."""
-    hot = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot"))
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    marked = df.join(F.broadcast(hot), on, "left")
-    return marked.select(*df.columns, F.coalesce("_hot", F.lit(False)).alias("_hot"))
-
-
 def accumulate_before(timeline: DataFrame, keys: Sequence[str], at: str, sums: Sequence[str] = (), maxes: Sequence[str] = (),
-                      width: int | str = HOUR, hot_rows: int | None = None, hot: DataFrame | None = None) -> DataFrame:
+                      width: int | str = HOUR) -> DataFrame:
     """Replace each measure by its sum (or max) over the rows of the same key with a strictly smaller `at`.
 
-    `at` is a non-null BIGINT; `width` is the slice width of hot keys, or the name of a key column that holds it.
-    Rows with equal `at` never see each other. Empty history gives NULL. `hot` names the keys to split when the
-    caller has counted them already.
+    `at` is a non-null BIGINT; `width` is the slice width, or the name of a key column that holds it.
+    Rows with equal `at` never see each other. Empty history gives NULL.
     """
     keys = list(keys)
-    if hot is None:
-        hot = hot_keys(timeline, keys, HOT_ROWS if hot_rows is None else hot_rows)
     measures = [*[(m, F.sum) for m in sums], *[(m, F.max) for m in maxes]]
     size = F.col(width) if isinstance(width, str) else F.lit(width).cast("bigint")
     position = F.col(at)
-    sliced = mark_hot(timeline, keys, hot).withColumn(
-        "_slice", F.when(F.col("_hot"), F.call_function("div", position - F.pmod(position, size), size)).otherwise(F.lit(0)))
-    totals = sliced.where("_hot").groupBy(*keys, "_slice").agg(*[f(m).alias(m) for m, f in measures])
+    sliced = timeline.withColumn("_slice", F.call_function("div", position - F.pmod(position, size), size))
+    totals = sliced.groupBy(*keys, "_slice").agg(*[f(m).alias(m) for m, f in measures])
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     opening = totals.select(
-        *keys, "_slice", (F.col("_slice") * size - 1).alias(at), F.lit(True).alias("_opening"),
-        *[f(m).over(earlier).alias(m) for m, f in measures])
+        *keys, "_slice", (F.col("_slice") * size - 1).alias(at), F.count(F.lit(1)).over(earlier).alias("_opening"),
+        *[f(m).over(earlier).alias(m) for m, f in measures]).where("_opening > 0")  # a key's first slice opens with nothing
     within = Window.partitionBy(*keys, "_slice").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    rows = sliced.drop("_hot").withColumn("_opening", F.lit(False)).unionByName(opening, allowMissingColumns=True)
+    rows = sliced.unionByName(opening, allowMissingColumns=True)
     payload = [c for c in timeline.columns if c not in {m for m, _ in measures}]
     return (rows.select(*payload, "_opening", *[f(m).over(within).alias(m) for m, f in measures])
-            .where(~F.col("_opening")).drop("_opening"))
+            .where(F.col("_opening").isNull()).drop("_opening"))
 
 
 @dataclass(frozen=True)
@@ -145,11 +120,11 @@ def _entries_sql(histories: Sequence[History], named: dict, slots: dict, at: str
 
 def _spread(df: DataFrame, *by: str) -> DataFrame:
     """Even out narrow rows before they are multiplied; each measure is then computed once, not per frame."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return df.repartition(*by)
 
 
 def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[History],
-                  facts: DataFrame | None = None, hot_rows: int | None = None) -> DataFrame:
+                  facts: DataFrame | None = None) -> DataFrame:
     """Totals over `[T - d, T)` for every row of `probes`; one output row per `row_id` (unique in `probes`).
 
     Without `facts` a row's history is the other rows of `probes`. Rows at exactly T and later rows never count.
@@ -157,25 +132,20 @@ def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[H
     All histories share one timeline, so the number of shuffles does not grow with the number of features.
     """
     depth = max(len(h.keys) for h in histories)
-    named_keys = F.expr(f"inline(array({', '.join(f'struct({_keys_sql(h, i, depth)})' for i, h in enumerate(histories))}))")
     if facts is None:
         source, named = _prepared(probes, histories, [row_id, at])
         slots = _slots(histories, named)
         timeline = _spread(source, row_id).select(row_id, F.expr(_entries_sql(histories, named, slots, at, probing=True)))
-        counted = source.select(named_keys)
     else:
         source, named = _prepared(facts, histories, [at])
         slots = _slots(histories, named)
         columns = dict.fromkeys([row_id, at, *[k for h in histories for k in h.keys]])
         asked = _spread(probes.select(*columns), row_id).select(row_id, F.expr(_entries_sql(histories, {}, {}, at, probing=True)))
         timeline = source.select(F.expr(_entries_sql(histories, named, slots, at, probing=False))).unionByName(asked, allowMissingColumns=True)
-        counted = source.select(named_keys).unionByName(probes.select(named_keys))
     keys = ["_h", "_w", *[f"_k{i}" for i in range(depth)]]
     sums = sorted(set(slots.values()))
     maxes = [f"_l_{h.name}_{n}" for h in histories for n in h.latest]
-    # Hot keys are counted on the input rows, before frames multiply them.
-    hot = hot_keys(counted, keys, HOT_ROWS if hot_rows is None else hot_rows, total=source)
-    done = accumulate_before(timeline, keys, "_at", sums, maxes, "_w", hot=hot).where("_f IS NOT NULL")
+    done = accumulate_before(timeline, keys, "_at", sums, maxes, "_w").where("_f IS NOT NULL")
     # Narrow rows are moved to their row id once; the wide aggregate then needs no further shuffle.
     long = done.select(row_id, "_h", "_f", *sums, *maxes).repartition(row_id)
     aggs = []
@@ -246,7 +216,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     return out
 
 
-def global_rank(df: DataFrame, score: str, row_id: str, score_grain: float, id_width: int = 1_000_000, hot_rows: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, score: str, row_id: str, score_grain: float, id_width: int = 1_000_000) -> DataFrame:
     """Add `rank`: position by (score descending, row_id ascending) over the whole table, without a global sort.
 
     Rows above a score come from the score groups; rows ahead inside a tie come from sliced id order, so a
@@ -256,7 +226,7 @@ def global_rank(df: DataFrame, score: str, row_id: str, score_grain: float, id_w
     above = cumulate_groups(groups, [], "_s", ["_n"], score_grain, descending=True).select(
         "_s", (F.col("cum__n") - F.col("_n")).alias("_above"))
     ahead = accumulate_before(df.withColumn("_one", F.lit(1)).withColumn("_id", F.col(row_id).cast("bigint")),
-                              [score], "_id", ["_one"], width=id_width, hot_rows=hot_rows)
+                              [score], "_id", ["_one"], width=id_width)
     return (ahead.join(above, F.col(score).eqNullSafe(F.col("_s")))
             .withColumn("rank", F.col("_above") + F.coalesce(F.col("_one"), F.lit(0)) + 1)
             .drop("_s", "_id", "_one", "_above", "_slice"))

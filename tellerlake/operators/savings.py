@@ -24,7 +24,7 @@ def window_start(now: str) -> Column:
     return F.add_months(F.trunc(F.lit(now).cast("date"), "month"), -(MONTHS - 1))
 
 
-def savings_history(accounts: DataFrame, movements: DataFrame, now: str, hot_rows: int | None = None) -> DataFrame:
+def savings_history(accounts: DataFrame, movements: DataFrame, now: str) -> DataFrame:
     """(customer, currency, month, balance) for currencies whose balance never was negative inside the window.
 
     `accounts`: customer_id, currency, current_balance. `movements`: customer_id, currency, transaction_date,
@@ -34,7 +34,7 @@ def savings_history(accounts: DataFrame, movements: DataFrame, now: str, hot_row
     current = accounts.groupBy(*keys).agg(F.coalesce(F.sum(cents("current_balance")), F.lit(0)).alias("_current"))
     inside = movements.where(F.to_date("transaction_date") >= window_start(now))
     steps = inside.groupBy(*keys, epoch_us("transaction_date").alias("_t")).agg(F.sum(signed_cents()).alias("_net")).withColumn("_back", -F.col("_t")).withColumn("_later", F.col("_net"))
-    undone = accumulate_before(steps, keys, "_back", ["_later"], width=30 * DAY, hot_rows=hot_rows)
+    undone = accumulate_before(steps, keys, "_back", ["_later"], width=30 * DAY)
     lowest = undone.groupBy(*keys).agg(F.max(F.coalesce("_later", F.lit(0)) + F.col("_net")).alias("_deepest"))
     sound = current.join(lowest, keys, "left").where((F.col("_current") >= 0) & (F.coalesce("_deepest", F.lit(0)) <= F.col("_current"))).select(*keys, "_current")
     month = F.trunc(F.to_date("transaction_date"), "month")

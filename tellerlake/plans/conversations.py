@@ -23,13 +23,13 @@ def words(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""))
 
 
-def with_context(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", hot_rows: int | None = None) -> DataFrame:
+def with_context(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Adds the previous message's role and text, and the language of the customer's last earlier long message."""
     spoken = T.language(F.col("text"))
     long = (F.col("role") == "user") & (words(F.col("text")) >= MIN_WORDS) & spoken.isin("es", "pt")
     line = messages.withColumn("_previous", F.struct(F.col(turn).alias("t"), "role", "text")).withColumn(
         "_long", F.when(long, F.struct(F.col(turn).alias("t"), spoken.alias("language"))))
-    done = accumulate_before(line, [conv], turn, maxes=["_previous", "_long"], width=SLICE, hot_rows=hot_rows)
+    done = accumulate_before(line, [conv], turn, maxes=["_previous", "_long"], width=SLICE)
     return done.select(*messages.columns, F.col("_previous.role").alias("previous_role"), F.col("_previous.text").alias("previous_text"),
                        F.col("_long.language").alias("earlier_language"))
 

@@ -103,11 +103,12 @@ def conversation(conv, *lines):
     return [(conv, i, {"u": "user", "a": "assistant"}[r], t) for i, (r, t) in enumerate(lines)]
 
 
-def test_context_is_the_same_on_the_sliced_path(spark):
+def test_context_is_the_same_in_slices_of_one_turn(spark, monkeypatch):
     rows = conversation(1, ("u", "quiero ver mi saldo"), ("a", "¿Cuál?"), ("u", "sí"), ("u", "no"), ("a", "ok")) + conversation(2, ("a", "hola"), ("u", "a"))
     df = spark.createDataFrame(rows, MSG)
     plain = sorted(C.with_context(df).collect(), key=str)
-    assert plain == sorted(C.with_context(df, hot_rows=1).collect(), key=str)
+    monkeypatch.setattr(C, "SLICE", 1)
+    assert plain == sorted(C.with_context(df).collect(), key=str)
     third = next(r for r in plain if (r["conv_id"], r["turn"]) == (1, 2))
     assert third["previous_text"] == "¿Cuál?" and third["earlier_language"] == "es"
 
@@ -177,9 +178,8 @@ def savings(spark, accounts, movements, **kw):
     return {(r["currency"], r["month"]): r["balance"] for r in savings_history(a, m, "2026-09-15", **kw).collect()}
 
 
-@pytest.mark.parametrize("hot_rows", [None, 1])
-def test_savings_walk_backwards(spark, hot_rows):
-    got = savings(spark, [("USD", 2508.39)], [("USD", "2026-05-10", "Withdrawal", 1000), ("USD", "2026-04-02", "Deposit", 200.5), ("USD", "2025-11-20", "Payment", 10)], hot_rows=hot_rows)
+def test_savings_walk_backwards(spark):
+    got = savings(spark, [("USD", 2508.39)], [("USD", "2026-05-10", "Withdrawal", 1000), ("USD", "2026-04-02", "Deposit", 200.5), ("USD", "2025-11-20", "Payment", 10)])
     assert len(got) == 12 and got["USD", "2026-09"] == 2508.39 and got["USD", "2026-05"] == 2508.39
     assert got["USD", "2026-04"] == 3508.39 and got["USD", "2026-03"] == 3307.89 and got["USD", "2025-10"] == 3317.89
 

@@ -1,4 +1,4 @@
-"""Running totals against brute force, on the plain and on the sliced path."""
+"""Running totals against brute force, with narrow slices and with one slice for all."""
 
 import random
 
@@ -11,7 +11,7 @@ from tellerlake.operators.running import (
     History, accumulate_before, cumulate_groups, exact_percentiles, global_rank, prior_windows,
 )
 
-HOT = [None, 1, 40]
+WIDTHS = [1, 100, 1_000_000]
 
 
 def rows(seed, n=300, keys=("a", "b", None), span=5_000):
@@ -20,25 +20,25 @@ def rows(seed, n=300, keys=("a", "b", None), span=5_000):
     return [(i, "a" if r.random() < 0.7 else r.choice(keys), r.randrange(-200, span) // 7 * 7, r.randrange(1, 100)) for i in range(n)]
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_accumulate_before(spark, hot_rows):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_accumulate_before(spark, width):
     data = rows(1)
     df = spark.createDataFrame(data, "id int, k string, t bigint, v bigint").withColumn("m", F.col("v"))
-    out = accumulate_before(df, ["k"], "t", ["v"], ["m"], width=100, hot_rows=hot_rows)
+    out = accumulate_before(df, ["k"], "t", ["v"], ["m"], width=width)
     for r in out.collect():
         earlier = [d[3] for d in data if d[1] == r["k"] and d[2] < r["t"]]
         assert (r["v"], r["m"]) == (sum(earlier) if earlier else None, max(earlier, default=None))
     assert out.count() == len(data)
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_prior_windows_own_history(spark, hot_rows):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_prior_windows_own_history(spark, width):
     data = rows(2)
     df = spark.createDataFrame(data, "id int, k string, t bigint, v bigint")
     h = History("k", ["k"], {"short": 50, "long": 700, "all": None}, {"n": F.lit(1).cast("bigint"), "v": F.col("v")},
-                {"last": F.struct("t", "id")}, width=64)
-    other = History("o", ["k", "v"], {"long": 700}, {"n": F.lit(1).cast("bigint"), "d": (F.col("v") * F.col("v")).cast("decimal(10,0)")}, width=64)
-    out = {r["id"]: r for r in prior_windows(df, "id", "t", [h, other], hot_rows=hot_rows).collect()}
+                {"last": F.struct("t", "id")}, width=width)
+    other = History("o", ["k", "v"], {"long": 700}, {"n": F.lit(1).cast("bigint"), "d": (F.col("v") * F.col("v")).cast("decimal(10,0)")}, width=width)
+    out = {r["id"]: r for r in prior_windows(df, "id", "t", [h, other]).collect()}
     assert len(out) == len(data)
     for i, k, t, v in data:
         past = [d for d in data if d[1] == k and d[2] < t]
@@ -53,13 +53,13 @@ def test_prior_windows_own_history(spark, hot_rows):
         assert int(out[i]["o_d_long"]) == sum(x[3] ** 2 for x in same)
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_prior_windows_other_stream(spark, hot_rows):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_prior_windows_other_stream(spark, width):
     facts, probes = rows(3, 400), rows(4, 120, keys=("a", "c"))
     f = spark.createDataFrame(facts, "e int, k string, t bigint, v bigint")
     p = spark.createDataFrame(probes, "id int, k string, t bigint, v bigint")
-    h = History("x", ["k"], {"w": 300}, {"n": F.lit(1).cast("bigint")}, {"last": F.struct("t", "e")}, width=128)
-    out = {r["id"]: r for r in prior_windows(p, "id", "t", [h], facts=f, hot_rows=hot_rows).collect()}
+    h = History("x", ["k"], {"w": 300}, {"n": F.lit(1).cast("bigint")}, {"last": F.struct("t", "e")}, width=width)
+    out = {r["id"]: r for r in prior_windows(p, "id", "t", [h], facts=f).collect()}
     assert len(out) == len(probes)
     for i, k, t, _ in probes:
         past = [d for d in facts if d[1] == k and d[2] < t]
@@ -71,7 +71,7 @@ def test_lower_bound_in_same_time_out(spark):
     data = [(1, "c", 0), (2, "c", 3600), (3, "c", 3600), (4, "d", 3599)]
     df = spark.createDataFrame(data, "id int, k string, t bigint")
     h = History("k", ["k"], {"1h": 3600}, {"n": F.lit(1).cast("bigint")}, width=1000)
-    got = {r["id"]: r["k_n_1h"] for r in prior_windows(df, "id", "t", [h], hot_rows=1).collect()}
+    got = {r["id"]: r["k_n_1h"] for r in prior_windows(df, "id", "t", [h]).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
@@ -91,12 +91,12 @@ def test_percentiles(spark, grain):
         assert cont[k]["n_values"] == len(values)
 
 
-@pytest.mark.parametrize("hot_rows", HOT)
-def test_global_rank(spark, hot_rows):
+@pytest.mark.parametrize("width", WIDTHS)
+def test_global_rank(spark, width):
     r = random.Random(6)
     data = [(i, r.choice([0.9, 0.5, 0.5, 0.123])) for i in r.sample(range(10_000), 400)]
     df = spark.createDataFrame(data, "id bigint, score double")
-    got = {x["id"]: x["rank"] for x in global_rank(df, "score", "id", 0.01, id_width=500, hot_rows=hot_rows).collect()}
+    got = {x["id"]: x["rank"] for x in global_rank(df, "score", "id", 0.01, id_width=width).collect()}
     assert got == {i: n for n, (i, _) in enumerate(sorted(data, key=lambda x: (-x[1], x[0])), 1)}
 
 
