@@ -5,8 +5,9 @@ all documents. Samples are drawn on shingles folded into fixed tables of random
 candidates. Bands of samples name buckets. In a bucket texts are compared with one leader, the text that shares most buckets with others (near copies
 agree most with the copy nearest to their common source). While texts of a bucket are not all connected, they meet its next `HUBS` by that rank
 and `OTHERS` by hash, other ones each turn, until a turn links nothing new. A bucket with no more texts than leaders is compared in full; the pairs of
-a turn are linear in the rows, whatever the size of a bucket. Pairs whose samples hardly agree are
-not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts are one key throughout.
+a turn are linear in the rows, whatever the size of a bucket; in larger ones a link can be missed if neither of its texts ever leads. Pairs whose
+samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts are one key
+throughout.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tellerlake.llm import neardup, substrings
 from tellerlake.llm.common import folded_words
-from tellerlake.llm.components import components
+from tellerlake.llm.components import components, regrouped
 from tellerlake.llm.sketches import gathered
 
 
@@ -61,6 +61,13 @@ def test_components(spark):
     assert got == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
 
 
+def test_components_after_more_links(spark):
+    links = lambda *pairs: spark.createDataFrame(pairs, "a long, b long")
+    found = components(links((2, 1), (3, 1), (11, 10), (21, 20)))
+    got = {r.key: r.component for r in regrouped(found, links((11, 3), (31, 30), (30, 21))).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 20, 31: 20}
+
+
 def edited(words, rng, n):
     words = list(words)
     for i in rng.sample(range(len(words)), n):
