@@ -4,9 +4,10 @@ A text is the set of its five-word shingles (letters and digits, A-Z lower-cased
 all documents. Samples are drawn on shingles folded into fixed tables of random variates; folding never lowers a similarity, so it only adds
 candidates. Bands of samples name buckets. In a bucket texts are compared with one leader, the text that shares most buckets with others (near copies
 agree most with the copy nearest to their common source). While texts of a bucket are not all connected, they meet its next `HUBS` by that rank
-and `OTHERS` by hash, other ones each turn, until a turn links nothing new. A bucket with no more texts than leaders is compared in full; the pairs of
-a turn are linear in the rows, whatever the size of a bucket; in larger ones a link can be missed if neither of its texts ever leads. Pairs whose
-samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts are one key
+and `OTHERS` by hash, other ones each turn, until a turn links nothing new; the pairs of a turn are linear in the rows, whatever the size of a bucket.
+Texts of buckets that are still mixed are then joined exactly: two texts that reach the threshold share a shingle among the rarest fifth of each,
+in a place that leaves enough weight behind it, so every pair of them that is not yet connected is compared or cannot be a link. Pairs of leaders
+whose samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts are one key
 throughout.
 """
 
@@ -34,6 +35,7 @@ HUBS, OTHERS = 4, 4
 FOLDED, CHUNK = 1 << 15, 4096
 IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 14
 SEED = 20260
+SLACK = 1 + 1e-6  # of bounds on sums of weights, which are not added in one order
 
 
 def shingles(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -175,6 +177,48 @@ def verified(pairs: DataFrame, held: DataFrame, idf, threshold: float) -> DataFr
     return written(joined.mapInArrow(compare, "a binary, b binary"), "links")
 
 
+def prefixes(held: DataFrame, idf, threshold: float) -> DataFrame:
+    """`element`, `place`, `total` beside `key`, `component`: the rarest shingles of each text, each occurrence by itself, with the weight before them
+    and that of the text, as far as the weight before them is what a link may leave unshared. The order (idf, then hash) is the same in all texts."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 0):
+            out: list[tuple[np.ndarray, ...]] = []
+            for i, (h, n) in enumerate(shingles(part.column(0).to_pylist())):
+                each = weights(h, np.ones_like(n), idf.value)
+                order = np.lexsort((h, -each))
+                h, n, each = h[order], n[order], each[order]
+                before, total = np.cumsum(n * each) - n * each, float((n * each).sum())
+                limit = (1 - threshold) * total * SLACK
+                most = np.where(before <= limit, np.minimum(n, ((limit - before) // each).astype(np.int64) + 1), 0)
+                at = np.repeat(np.arange(len(h)), most)
+                nth = np.arange(len(at)) - np.repeat(np.cumsum(most) - most, most)
+                element = scramble(h[at] + nth.astype(np.uint64) * np.uint64(BASE))
+                out.append((np.full(len(at), i), element.view(np.int64), before[at] + nth * each[at], np.full(len(at), total)))
+            row, element, place, total = (np.concatenate(c) for c in zip(*out, strict=True))
+            kept = [part.column(c).take(pa.array(row)) for c in (1, 2)]
+            yield pa.record_batch([pa.array(element), pa.array(place), pa.array(total), *kept], names=["element", "place", "total", "key", "component"])
+
+    return held.select("text", "key", "component").mapInArrow(work, "element long, place double, total double, key binary, component binary")
+
+
+def unconnected(held: DataFrame, idf, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different components among the texts (text, key, component) that may reach the threshold, and few others.
+
+    Before the first element that two linked texts share lies only what one of them has alone: in both together at most (1 - t) of their union, in one
+    of them at most half of that. So one side is found by its first elements, and a pair whose remaining weights are too small is no link."""
+    marks = written(prefixes(held, idf, threshold), "marks")
+    several = marks.groupBy("element").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("element")
+    marks = written(marks.join(several, "element", "left_semi"), "marks")
+    early = marks.where(F.col("place") <= F.col("total") * ((1 - threshold) / (2 * threshold) * SLACK))
+    sides = early.select("element", "component").distinct().join(marks.select("element", F.col("component").alias("other")).distinct(), "element").where("component <> other")
+    left = early.select("element", "component", F.col("key").alias("a"), (F.col("total") - F.col("place")).alias("rest_a"), F.col("total").alias("total_a"))
+    right = marks.select("element", F.col("component").alias("other"), F.col("key").alias("b"), (F.col("total") - F.col("place")).alias("rest_b"), F.col("total").alias("total_b"))
+    enough = F.least("rest_a", "rest_b") * ((1 + threshold) * SLACK) >= (F.col("total_a") + F.col("total_b")) * threshold
+    met = sides.join(left, ["element", "component"]).join(right, ["element", "other"]).where(enough)
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def linked(texts: DataFrame, threshold: float) -> DataFrame:
     """`key`, `component` of the texts (columns text, key; equal texts have one key) that are linked to others."""
     idf = texts.sparkSession.sparkContext.broadcast(inverse_frequencies(texts.select("text")))
@@ -198,7 +242,7 @@ def linked(texts: DataFrame, threshold: float) -> DataFrame:
     tested = written(buckets.join(first, "band").where("key <> first").select(F.greatest("key", "first").alias("a"), F.least("key", "first").alias("b")).distinct(), "pairs")
     near = alike(tested, sampled)
     found = components(verified(near, texts_of(near.select(F.explode(F.array("a", "b")).alias("key")), texts), idf, threshold))
-    held = None
+    held, compared = None, near
     for turn in count(1):
         placed = buckets.select("band", "key", "hub").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
@@ -211,10 +255,16 @@ def linked(texts: DataFrame, threshold: float) -> DataFrame:
         lead = lead[0].where(F.col("place") > 1 + (turn - 1) * HUBS).unionByName(lead[1]).select("band", F.col("key").alias("b"), F.col("component").alias("other"))
         pairs = buckets.join(lead, "band").where("component <> other").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
         pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        new = verified(alike(pairs, sampled), held, idf, threshold)
+        near = alike(pairs, sampled)
+        new = verified(near, held, idf, threshold)
+        tested, compared = tested.unionByName(pairs), compared.unionByName(near)
         if new.isEmpty():
-            return found
-        tested, found = tested.unionByName(pairs), regrouped(found, new)
+            break
+        found = regrouped(found, new)
+    rest = held.join(buckets.select("key", "component").distinct(), "key")
+    pairs = written(unconnected(rest, idf, threshold).join(compared, ["a", "b"], "left_anti"), "pairs")
+    new = verified(pairs, held, idf, threshold)
+    return found if new.isEmpty() else regrouped(found, new)
 
 
 def keyed(docs: DataFrame, text: str) -> DataFrame:

@@ -115,6 +115,28 @@ def test_classes_equal_brute_force(spark, documents):
     assert len(idf) == neardup.IDF_BUCKETS
 
 
+def test_links_of_texts_on_one_template_equal_brute_force(spark, documents):
+    """Hundreds of different texts share buckets without being linked; near copies among them need not lead any bucket."""
+    rng, template = random.Random(12), [f"t{i}" for i in range(170)]
+    own = [[f"o{i}x{j}" for j in range(18)] for i in range(500)]
+    own += [edited(own[i], rng, 1) for i in range(0, 400, 5)]
+    texts = [" ".join(template + o) for o in own]
+    docs = documents(*enumerate(texts))
+    idf = neardup.inverse_frequencies(docs.select(F.col("text").cast("binary").alias("text")))
+    found = [neardup.weights(h, n, idf) for h, n in neardup.shingles([t.encode() for t in texts])]
+    names = [h for h, _ in neardup.shingles([t.encode() for t in texts])]
+    every = np.unique(np.concatenate(names))
+    dense = np.zeros((len(texts), len(every)))
+    for row, h, w in zip(dense, names, found, strict=True):
+        row[np.searchsorted(every, h)] = np.sqrt(w)  # every shingle stands once in a text
+    low, total = dense @ dense.T, np.array([w.sum() for w in found])
+    alike = low / (total[:, None] + total - low)
+    links = {(a, b) for a, b in np.argwhere(alike >= 0.8).tolist() if a < b}
+    assert links == {(5 * i, 500 + i) for i in range(80)} and np.median(alike) > 0.6
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert {(c, d) for d, c in got.items() if c != d} == links
+
+
 def test_one_of_each(spark, documents, prose):
     docs = documents((5, prose(1, 90)), (3, prose(1, 90).upper()), (3, prose(1, 90).upper()), (None, prose(1, 90)), (8, None), (8, None), (9, prose(2, 40)), (None, prose(4, 30)), (None, prose(5, 30)))
     kept = neardup.one_of_each(docs.withColumnRenamed("lang", "key"))
