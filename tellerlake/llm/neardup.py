@@ -1,13 +1,13 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF weighted word shingles.
 
 A text is the set of its five-word shingles (letters and digits, A-Z lower-cased), each weighted by its count times an idf between 1 and 2 taken over
-all documents. Samples are drawn on shingles folded into fixed tables of random variates; folding never lowers a similarity, so it only adds
-candidates. Bands of samples name buckets. In a bucket texts are compared with one leader, the text that shares most buckets with others (near copies
+all documents. Each of a shingle's three random variates is looked up by bits of its hash of their own, so two shingles share samples only if 45 bits
+agree, and unrelated texts stay unlike at any length. Bands of samples name buckets. In a bucket texts are compared with one leader, the text that shares most buckets with others (near copies
 agree most with the copy nearest to their common source). While texts of a bucket are not all connected, they meet its next `HUBS` by that rank
 and `OTHERS` by hash, other ones each turn, until a turn links nothing new; the pairs of a turn are linear in the rows, whatever the size of a bucket.
 Texts of buckets that are still mixed are then joined exactly: two texts that reach the threshold share a shingle among the rarest fifth of each,
 in a place that leaves enough weight behind it, so every pair of them that is not yet connected is compared or cannot be a link. Pairs of leaders
-whose samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8 of the unfolded shingles. Equal texts are one key
+whose samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8. Equal texts are one key
 throughout.
 """
 
@@ -32,7 +32,7 @@ THRESHOLD = 0.8
 HASHES, BANDS = 48, 16
 AGREEING = 26
 HUBS, OTHERS = 4, 4
-FOLDED, CHUNK = 1 << 15, 4096
+PLACES, CHUNK = 1 << 15, 4096
 IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 14
 SEED = 20260
 SLACK = 1 + 1e-6  # of bounds on sums of weights, which are not added in one order
@@ -53,29 +53,30 @@ def weights(hashes: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 
 @lru_cache(maxsize=1)
 def variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each folded shingle and hash: r and beta, and ln c - r + r beta."""
+    """Tables of r, 1 - beta and ln c, for each place and hash."""
     rng = np.random.default_rng(SEED)
-    shape = (FOLDED, HASHES)
+    shape = (PLACES, HASHES)
     r, c = (-np.log(1 - rng.random(shape, np.float32)) - np.log(1 - rng.random(shape, np.float32)) + np.float32(1e-6) for _ in range(2))
     beta = rng.random(shape, np.float32)
-    return r, beta, np.log(c) - r + r * beta
+    return r, 1 - beta, np.log(c)
 
 
 def samples(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Samples of texts (shingles and weights, none empty). The smallest value of ln a names its sample (shingle and level), so values are compared,
     not shingles."""
-    r, beta, rest = variates()
+    r, low, least_c = variates()
     hashes, weight = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-    at, level = ((hashes >> np.uint64(40)) & np.uint64(FOLDED - 1)).astype(np.int64), np.log(weight).astype(np.float32)
+    at, level = [((hashes >> np.uint64(b)) & np.uint64(PLACES - 1)).astype(np.int64) for b in (49, 34, 19)], np.log(weight).astype(np.float32)
     ends = np.cumsum([len(f[0]) for f in found])
     least = np.full((len(found), HASHES), np.inf, np.float32)
-    for i in range(0, len(at), CHUNK):
-        part = at[i : i + CHUNK]
-        step = r[part]
-        value = np.floor(level[i : i + CHUNK, None] / step + beta[part])
+    for i in range(0, len(hashes), CHUNK):
+        x, y, z = (a[i : i + CHUNK] for a in at)
+        step, above = r[x], low[y]
+        value = np.floor(level[i : i + CHUNK, None] / step + (1 - above))
+        value += above
         value *= step
-        np.subtract(rest[part], value, out=value)
-        first, last = np.searchsorted(ends, (i, i + len(part) - 1), "right")  # texts that the chunk touches
+        np.subtract(least_c[z], value, out=value)
+        first, last = np.searchsorted(ends, (i, i + len(x) - 1), "right")  # texts that the chunk touches
         begins = np.maximum(np.r_[0, ends][first : last + 1] - i, 0)
         least[first : last + 1] = np.minimum(least[first : last + 1], np.minimum.reduceat(value, begins, axis=0))
     return least

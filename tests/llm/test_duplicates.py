@@ -137,6 +137,24 @@ def test_links_of_texts_on_one_template_equal_brute_force(spark, documents):
     assert {(c, d) for d, c in got.items() if c != d} == links
 
 
+def test_samples_agree_as_texts_do():
+    """Unrelated long texts share no bucket; alike ones agree in as many samples as they share weight."""
+    rng = np.random.default_rng(15)
+    drawn = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    plain = lambda hashes: (hashes, np.ones(len(hashes)))
+    long = neardup.samples([plain(drawn(40_000)) for _ in range(300)])
+    names = neardup.bands(long)
+    assert len(np.unique(names)) == names.size
+    assert max((long[i] == long[i + 1 :]).sum(axis=1).max() for i in range(299)) <= 3
+    for n in (300, 80_000):
+        pairs = []
+        for _ in range(40 if n == 300 else 6):
+            both, a, b = drawn(n * 8 // 10), drawn(n // 10), drawn(n // 10)
+            pairs += [plain(np.concatenate([both, a])), plain(np.concatenate([both, b]))]
+        some = neardup.samples(pairs)
+        assert abs((some[::2] == some[1::2]).mean() - 0.8) < 0.08
+
+
 def test_one_of_each(spark, documents, prose):
     docs = documents((5, prose(1, 90)), (3, prose(1, 90).upper()), (3, prose(1, 90).upper()), (None, prose(1, 90)), (8, None), (8, None), (9, prose(2, 40)), (None, prose(4, 30)), (None, prose(5, 30)))
     kept = neardup.one_of_each(docs.withColumnRenamed("lang", "key"))
