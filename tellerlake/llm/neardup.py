@@ -211,12 +211,12 @@ def unconnected(held: DataFrame, idf, threshold: float) -> DataFrame:
     marks = written(prefixes(held, idf, threshold), "marks")
     several = marks.groupBy("element").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("element")
     marks = written(marks.join(several, "element", "left_semi"), "marks")
+    marks = marks.withColumn("reach", (F.col("total") - F.col("place")) * ((1 + threshold) / threshold * SLACK) - F.col("total"))  # largest total it can be linked to here
     early = marks.where(F.col("place") <= F.col("total") * ((1 - threshold) / (2 * threshold) * SLACK))
-    sides = early.select("element", "component").distinct().join(marks.select("element", F.col("component").alias("other")).distinct(), "element").where("component <> other")
-    left = early.select("element", "component", F.col("key").alias("a"), (F.col("total") - F.col("place")).alias("rest_a"), F.col("total").alias("total_a"))
-    right = marks.select("element", F.col("component").alias("other"), F.col("key").alias("b"), (F.col("total") - F.col("place")).alias("rest_b"), F.col("total").alias("total_b"))
-    enough = F.least("rest_a", "rest_b") * ((1 + threshold) * SLACK) >= (F.col("total_a") + F.col("total_b")) * threshold
-    met = sides.join(left, ["element", "component"]).join(right, ["element", "other"]).where(enough)
+    sides = [m.groupBy("element", F.col("component").alias(c)).agg(F.max("reach").alias(f"reach_{c}"), F.min("total").alias(f"total_{c}")) for m, c in ((early, "x"), (marks, "y"))]
+    sides = sides[0].join(sides[1], "element").where("x <> y and reach_x >= total_y and reach_y >= total_x")
+    left, right = (m.select("element", F.col("component").alias(c), F.col("key").alias(k), F.col("reach").alias(f"reach_{k}"), F.col("total").alias(f"total_{k}")) for m, c, k in ((early, "x", "a"), (marks, "y", "b")))
+    met = sides.join(left, ["element", "x"]).where("reach_a >= total_y and reach_y >= total_a").join(right, ["element", "y"]).where("reach_a >= total_b and reach_b >= total_a")
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
