@@ -193,6 +193,18 @@ def _(b):
     d AS (PARTITION BY k ORDER BY transaction_date RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING),
     w AS (PARTITION BY k ORDER BY transaction_date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"""))
 def _(b):
+    return live_features(b).select("transaction_id", "customer_tx_count_1h", "customer_tx_count_24h", "customer_tx_count_7d")
+
+
+@query("t04_live_previous", oracle("card_events", """
+  SELECT transaction_id, (epoch_us(transaction_date) - epoch_us(max(transaction_date) OVER p)) / CAST(1000000 AS DOUBLE) AS seconds_since_prev_tx
+  FROM (SELECT *, coalesce(customer_id, '__missing__' || transaction_id) AS k FROM card_events)
+  WINDOW p AS (PARTITION BY k ORDER BY transaction_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"""))
+def _(b):
+    return live_features(b).select("transaction_id", "seconds_since_prev_tx")
+
+
+def live_features(b):
     folder, root = scratch(b.spark, "t04"), scratch(b.spark, "t04")
     rows = b.card_events
     for n, (start, end) in enumerate((("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-03-01"))):
@@ -200,7 +212,7 @@ def _(b):
         rows.where((at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz"))).coalesce(1).write.parquet(f"{folder}/d{n}")
     stream = b.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
     L.live_velocity(stream, root, f"{root}/checkpoint")
-    return b.spark.read.parquet(f"{root}/features").select("transaction_id", "customer_tx_count_1h", "customer_tx_count_24h", "customer_tx_count_7d")
+    return b.spark.read.parquet(f"{root}/features")
 
 
 @query("t05_tumbling_windows", oracle("digital_events", """SELECT time_bucket(INTERVAL 1 HOUR, event_date) AS start, time_bucket(INTERVAL 1 HOUR, event_date) + INTERVAL 1 HOUR AS "end", channel, count(*) AS events,

@@ -9,7 +9,7 @@ from tellerlake.contract import Table
 from tellerlake.operators.history import timeline, velocity, velocity_features
 from tellerlake.operators.latest import keep_latest
 from tellerlake.operators.quality import count_if, quality_report
-from tellerlake.operators.running import DAY, prior_windows
+from tellerlake.operators.running import prior_windows
 from tellerlake.sources.versioned import append_report, latest_version, read_version, write_version
 
 LONGEST_DAYS = 7
@@ -34,9 +34,18 @@ def merge_corrections(stream: DataFrame, root: str, table: str, keys: list[str],
 def live_velocity(stream: DataFrame, root: str, checkpoint: str, row_id: str = "transaction_id") -> None:
     """Prior counts for each arriving transaction from the stored last days and its own batch.
 
-    History is kept as one folder per batch and day, so a batch reads only the days its frames reach. The rows of a
-    batch are written under its id: a retry replaces them. Equal to the batch features for rows in time order.
+    History is kept as one folder per batch and day, so a batch reads only the days its frames reach. The newest time of
+    each customer is kept beside it, a row for each customer merged in every batch, so the time since the previous
+    transaction has no such bound. The rows of a batch are written under its id: a retry replaces them. Equal to the
+    batch features for rows in time order.
     """
+    def newest_before(spark: SparkSession, batch_id: int) -> DataFrame:
+        schema = "_customer_id string, last long"
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/last/_batch=-1")
+        states = spark.read.schema(f"{schema}, _batch long").parquet(f"{root}/last").where(F.col("_batch") < batch_id)
+        newest = states.agg(F.max("_batch")).first()[0]
+        return states.where(F.col("_batch") == F.lit(-1 if newest is None else newest)).drop("_batch")
+
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = batch.agg(F.date_sub(F.to_date(F.min("transaction_date")), LONGEST_DAYS)).first()[0]
@@ -46,10 +55,13 @@ def live_velocity(stream: DataFrame, root: str, checkpoint: str, row_id: str = "
         stored = spark.read.parquet(f"{root}/history").where((F.col("_day") >= F.lit(first)) & (F.col("_batch") <= batch_id))
         facts, probes = timeline(stored.drop("_batch", "_day")), timeline(batch)
         totals = prior_windows(probes, row_id, "_t", [velocity()], facts=facts)
-        out = probes.join(totals, row_id).select(row_id, *[c.alias(n) for n, c in velocity_features().items()])
-        # Anything older than the stored days is unknown to the live job.
-        recent = F.when(F.col("seconds_since_prev_tx") <= LONGEST_DAYS * DAY / 1_000_000, F.col("seconds_since_prev_tx"))
-        out.withColumn("seconds_since_prev_tx", recent).write.mode("overwrite").parquet(f"{root}/features/_batch={batch_id}")
+        # A transaction before the stored days is known by its customer's newest time alone.
+        before = newest_before(spark, batch_id)
+        previous = F.coalesce("customer_previous", F.when(F.col("last") < F.col("_t"), F.col("last")))
+        out = probes.join(totals, row_id).join(before, "_customer_id", "left").withColumn("customer_previous", previous)
+        out.select(row_id, *[c.alias(n) for n, c in velocity_features().items()]).write.mode("overwrite").parquet(f"{root}/features/_batch={batch_id}")
+        newest = before.unionByName(probes.where("customer_id IS NOT NULL").select("_customer_id", F.col("_t").alias("last")))
+        newest.groupBy("_customer_id").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{root}/last/_batch={batch_id}")
     run_once(stream, write, checkpoint)
 
 

@@ -146,3 +146,16 @@ def test_bounded_export_fails_instead_of_truncating(spark):
 def test_evidence_has_no_nan(spark):
     df = spark.createDataFrame([("a", float("nan")), ("b", float("inf")), ("c", 1.5)], "k string, v double")
     assert [r["payload"] for r in evidence_json(df, ["v"]).orderBy("payload").collect()] == ['{"k":"a","v":null}', '{"k":"b","v":null}', '{"k":"c","v":1.5}']
+
+
+def test_live_previous_transaction_has_no_bound(spark, tmp_path):
+    """A gap of more than the stored days, in later batches, over batches without the customer, and within a batch."""
+    at = lambda day, hour=0: dt.datetime(2024, 1, 1, hour) + dt.timedelta(days=day)
+    deliveries = [[(1, "a", at(0)), (2, "b", at(1)), (3, None, at(1))], [(4, "b", at(12)), (5, None, at(13))], [(6, "a", at(30)), (7, "a", at(30, 5)), (8, "b", at(45)), (9, "c", at(45))]]
+    schema = "transaction_id long, customer_id string, transaction_date timestamp_ntz"
+    for n, rows in enumerate(deliveries):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        L.live_velocity(L.replay(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    day = 86400.0
+    got = {r.transaction_id: (r.seconds_since_prev_tx, r.customer_tx_count_7d) for r in spark.read.parquet(str(tmp_path / "out/features")).collect()}
+    assert got == {1: (None, 0), 2: (None, 0), 3: (None, 0), 4: (11 * day, 0), 5: (None, 0), 6: (30 * day, 0), 7: (5 * 3600.0, 1), 8: (33 * day, 0), 9: (None, 0)}
