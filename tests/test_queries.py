@@ -35,3 +35,13 @@ def test_against_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     cur = con.execute(entry.oracle_sql()[name])
     assert compare(df.columns, df.collect(), [d[0] for d in cur.description], cur.fetchall()) == "ok"
+
+
+def test_orphans_of_every_mapped_link(spark):
+    """Interactions and digital events whose customer is unknown are in the report."""
+    rows = {(r.table_name, r.column_name): r for r in entry.queries()["q10_all_links"](spark, SF).collect()}
+    customers = {str(r[0]) for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()}
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id").collect()
+    assert len(rows) == 8
+    assert rows["interactions", "customer_id"].failed_rows == sum(str(r.user_id) not in customers for r in events)
+    assert rows["digital_events", "customer_id"].failed_rows == sum(str(r.user_id) not in customers for r in events if r.event_id % 97)
