@@ -90,6 +90,25 @@ def folded_words(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+class Remembered(dict):
+    """Results by key within a bound of bytes (by the caller's estimates): when half is used, what was not asked for since is forgotten."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.half, self.held, self.old = limit // 2, 0, {}
+
+    def keep(self, key, value, size: int) -> None:
+        if self.held + size > self.half:
+            self.old, self.held = dict(self), 0
+            self.clear()
+        self.held += size
+        self[key] = value
+
+    def recall(self, key):
+        """The result of an earlier half, or None."""
+        return self.old.get(key)
+
+
 @lru_cache(maxsize=1)
 def byte_values() -> np.ndarray:
     return np.random.default_rng(101).integers(1, 1 << 64, 256, dtype=np.uint64)
