@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tellerlake import standin_gold as G
 from tellerlake.operators import profile as P
-from tellerlake.operators.running import exact_percentiles
+from tellerlake.operators.ordering import exact_percentiles
 from tellerlake.plans import overview, retention
 from tellerlake.registry import query
 from tellerlake.standin import oracle
@@ -148,7 +148,7 @@ PROBS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
 @query("a10_exact_percentiles", "SELECT l_returnflag, count(*) AS n_values, " + ", ".join(
     f"percentile_disc({p}) WITHIN GROUP (ORDER BY l_extendedprice) AS {n}" for n, p in PROBS.items()) + " FROM lineitem GROUP BY 1")
 def _(b):
-    return exact_percentiles(b.lineitem, ["l_returnflag"], "l_extendedprice", PROBS, grain=1000, method="disc")
+    return exact_percentiles(b.lineitem, ["l_returnflag"], "l_extendedprice", PROBS, method="disc")
 
 
 @query("a11_approximate_percentiles")
@@ -160,7 +160,7 @@ def _(b):
   SELECT use_case, count(duration_ms) AS n_values, quantile_cont(duration_ms::DOUBLE, 0.5) AS p50, quantile_cont(duration_ms::DOUBLE, 0.95) AS p95
   FROM turn_metrics WHERE source = 'live' GROUP BY 1"""))
 def _(b):
-    return exact_percentiles(b.turn_metrics.where("source = 'live'"), ["use_case"], "duration_ms", {"p50": 0.5, "p95": 0.95}, grain=500)
+    return exact_percentiles(b.turn_metrics.where("source = 'live'"), ["use_case"], "duration_ms", {"p50": 0.5, "p95": 0.95})
 
 
 @query("a13_ratio_stats", oracle("transactions", """

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tellerlake.operators import evaluation as E
-from tellerlake.operators.running import exact_percentiles, global_rank
+from tellerlake.operators.ordering import exact_percentiles, global_rank
 from tellerlake.registry import query
 from tellerlake.standin import oracle
 
@@ -38,12 +38,33 @@ def _(b):
 
 @query("w17_global_rank", oracle("scored", "SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored"))
 def _(b):
-    return global_rank(b.scored.select("id", "score"), "score", "id", E.GRAIN)
+    return global_rank(b.scored.select("id", "score"), "score", "id")
 
 
 @query("w17_global_rank_orders", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
 def _(b):
-    return global_rank(b.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", 1000.0)
+    return global_rank(b.orders.select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
+
+
+@query("w17_rank_bunched_scores", """SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (
+  SELECT l_orderkey * 8 + l_linenumber AS id, CASE WHEN l_linenumber <= 5 THEN 0 ELSE CAST(l_extendedprice AS DOUBLE) / 1e6 END AS score FROM lineitem)""")
+def _(b):
+    """Most scores are 0, the others continuous."""
+    score = F.when(F.col("l_linenumber") <= 5, 0.0).otherwise(F.col("l_extendedprice").cast("double") / 1e6)
+    return global_rank(b.lineitem.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), score.alias("score")), "score", "id")
+
+
+@query("w17_rank_equal_scores", "SELECT o_orderkey, 0.5::DOUBLE AS score, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders")
+def _(b):
+    return global_rank(b.orders.select("o_orderkey", F.lit(0.5).alias("score")), "score", "o_orderkey")
+
+
+@query("w16_continuous_score_curve", """SELECT score, rows, positives, sum(rows) OVER (ORDER BY score DESC)::BIGINT AS cum_rows, sum(positives) OVER (ORDER BY score DESC)::BIGINT AS cum_positives
+  FROM (SELECT CASE WHEN l_linenumber <= 3 THEN 0 ELSE CAST(l_extendedprice AS DOUBLE) / 1e6 END AS score, count(*) AS rows, count(*) FILTER (WHERE l_returnflag = 'R') AS positives FROM lineitem GROUP BY 1)""")
+def _(b):
+    score = F.when(F.col("l_linenumber") <= 3, 0.0).otherwise(F.col("l_extendedprice").cast("double") / 1e6)
+    rows = b.lineitem.select(score.alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    return E.score_groups(rows).drop("n", "positives_all")
 
 
 RANKED = f"""r AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank, count(*) OVER () AS n, sum(label) OVER ()::BIGINT AS p FROM scored),
@@ -244,7 +265,7 @@ def _(b):
 def _(b):
     from tellerlake.plans.models import impute_medians
     tx = b.transactions.withColumn("period", periods()).withColumn("amount_usd", F.col("amount_usd").cast("double"))
-    return impute_medians(tx, F.col("period") == "fit", {"amount_usd": 1000.0}).select("transaction_id", "amount_usd", "amount_usd_missing")
+    return impute_medians(tx, F.col("period") == "fit", ["amount_usd"]).select("transaction_id", "amount_usd", "amount_usd_missing")
 
 
 @query("m08_class_weights", oracle("scored", """SELECT id, label, CASE WHEN label = 1 THEN n / (2.0::DOUBLE * p) ELSE n / (2.0::DOUBLE * (n - p)) END AS class_weight

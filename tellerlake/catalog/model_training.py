@@ -64,7 +64,7 @@ NOVELTY = """WITH p AS (SELECT o_orderkey AS id, o_totalprice AS a, ln(o_totalpr
 def _(b):
     rows = b.orders.select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("a"), F.log("o_totalprice").alias("l"), "o_orderdate")
     fitted = F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp_ntz")
-    return M.novelty_score(rows, fitted, {"a": 1000.0, "l": 0.01}).select("id", F.round("novelty", 6).alias("novelty"))
+    return M.novelty_score(rows, fitted, ["a", "l"]).select("id", F.round("novelty", 6).alias("novelty"))
 
 
 @query("m15_spark_areas")

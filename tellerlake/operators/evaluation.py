@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellerlake.operators.latest import newest_per_group
-from tellerlake.operators.running import attach_one_row, cumulate_groups, global_rank
+from tellerlake.operators.ordering import cumulate_groups, positions, running_sums
+from tellerlake.operators.running import attach_one_row
 
 # Fixed protocol values.
 REVIEW_BUDGETS = (0.001, 0.005, 0.01, 0.02, 0.05, 0.10, 0.20)
-GRAIN = 0.001
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -33,10 +33,10 @@ def attach_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> Data
     return df.join(renamed, on).drop(*[f"_t_{k}" for k in keys])
 
 
-def score_groups(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label", grain: float = GRAIN) -> DataFrame:
+def score_groups(df: DataFrame, keys: Sequence[str] = (), score: str = "score", label: str = "label") -> DataFrame:
     """Rows and positives per score, their running totals from the highest score, and the totals `n` and `positives_all`."""
     groups = df.groupBy(*keys, F.col(score).alias("score")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(label).cast("bigint")).alias("positives"))
-    cum = cumulate_groups(groups, keys, "score", ["rows", "positives"], grain, descending=True)
+    cum = cumulate_groups(groups, keys, "score", ["rows", "positives"], descending=True)
     totals = groups.groupBy(*keys).agg(F.sum("rows").alias("n"), F.sum("positives").alias("positives_all"))
     return attach_totals(cum, totals, keys)
 
@@ -94,8 +94,9 @@ def precision_targets(groups: DataFrame, targets: Sequence[float], max_alert_rat
             .select(*keys, "target_precision", F.col("g").isNotNull().alias("feasible"), "g.*"))
 
 
-def topk_bounds(groups: DataFrame, fractions: Sequence[float] = REVIEW_BUDGETS, keys: Sequence[str] = ()) -> DataFrame:
-    """Best and worst true positives when the top ceil(n * fraction) rows cut through a tie group."""
+def topk_bounds(groups: DataFrame, fractions: Sequence[float] = REVIEW_BUDGETS, keys: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
+    """Best and worst true positives when the top ceil(n * fraction) rows cut through a tie group. `extra`: columns of the groups to keep, and
+    `higher_tp`, the true positives above that group."""
     spread = _per_value(groups, "fraction", fractions).withColumn("capacity", F.ceil(F.col("n") * F.col("fraction")))
     cut = spread.where((F.col("cum_rows") >= F.col("capacity")) & (F.col("cum_rows") - F.col("rows") < F.col("capacity")))
     higher_rows, higher_tp = F.col("cum_rows") - F.col("rows"), F.col("cum_positives") - F.col("positives")
@@ -104,18 +105,20 @@ def topk_bounds(groups: DataFrame, fractions: Sequence[float] = REVIEW_BUDGETS,
     high = higher_tp + F.least(slots, F.col("positives"))
     return cut.select(*keys, "fraction", "capacity", F.col("score").alias("boundary_score"), slots.alias("slots"), F.col("rows").alias("tie_rows"),
                       F.col("positives").alias("tie_positives"), low.alias("tp_worst"), high.alias("tp_best"),
-                      (low / F.col("capacity")).alias("precision_worst"), (high / F.col("capacity")).alias("precision_best"), (slots < F.col("rows")).alias("tie_split"))
+                      (low / F.col("capacity")).alias("precision_worst"), (high / F.col("capacity")).alias("precision_best"), (slots < F.col("rows")).alias("tie_split"),
+                      *[higher_tp.alias(c) if c == "higher_tp" else F.col(c) for c in extra])
 
 
 def topk_by_rank(df: DataFrame, fractions: Sequence[float] = REVIEW_BUDGETS, score: str = "score", row_id: str = "id", label: str = "label") -> DataFrame:
-    """Reviewed rows, true positives, recall and lift for each budget under the deterministic rank (score, then id)."""
-    ranked = global_rank(df.select(row_id, score, label), score, row_id, GRAIN)
-    n = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("bigint")).alias("positives_all"))
-    spread = attach_one_row(ranked, n).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-    spread = spread.withColumn("capacity", F.ceil(F.col("n") * F.col("fraction")))
-    inside = F.col("rank") <= F.col("capacity")
-    out = spread.groupBy("fraction").agg(F.max("capacity").alias("capacity"), F.count(F.when(inside, 1)).alias("reviewed"),
-                                         F.count(F.when(inside & (F.col(label) == 1), 1)).alias("tp"), F.max("n").alias("n"), F.max("positives_all").alias("positives_all"))
+    """Reviewed rows, true positives, recall and lift for each budget under the deterministic rank (score, then id).
+
+    Whole groups of equal scores above the capacity count as they are; only the rows of the group that the capacity cuts are put in order."""
+    cut = topk_bounds(score_groups(df, (), score, label), fractions, extra=("n", "positives_all", "higher_tp"))
+    edges = cut.select(F.col("boundary_score").alias("_edge")).distinct()  # no more rows than fractions
+    tied = df.select(F.col(score).alias("_edge"), row_id, F.col(label).cast("bigint").alias("_positive"), F.lit(1).alias("_row")).join(F.broadcast(edges), "_edge")
+    tied = running_sums(tied, ["_edge"], [F.asc(row_id)], ["_row", "_positive"]).select("_edge", "cum__row", "cum__positive")
+    out = tied.join(F.broadcast(cut), (F.col("_edge") == F.col("boundary_score")) & (F.col("cum__row") == F.col("slots")))
+    out = out.withColumn("reviewed", F.col("capacity")).withColumn("tp", F.col("higher_tp") + F.col("cum__positive"))
     precision = ratio(F.col("tp"), F.col("reviewed"))
     return out.select("fraction", "capacity", "reviewed", "tp", ratio(F.col("tp"), F.col("positives_all")).alias("recall"), precision.alias("precision"),
                       ratio(precision, F.col("positives_all") / F.col("n")).alias("lift"))
@@ -135,20 +138,20 @@ def frozen_evaluation(df: DataFrame, thresholds: DataFrame, slices: dict[str, Co
     return out.select("*", *[c.alias(n) for n, c in confusion().items()])
 
 
-def empirical_rank(reference: DataFrame, scored: DataFrame, score: str, name: str, row_id: str = "id", grain: float = GRAIN) -> DataFrame:
+def empirical_rank(reference: DataFrame, scored: DataFrame, score: str, name: str) -> DataFrame:
     """Fraction of reference scores at or below each row's score; equal scores get equal ranks."""
     points = reference.select(F.col(score).alias("_s"), F.lit(1).alias("_n")).unionByName(scored.select(F.col(score).alias("_s"), F.lit(0).alias("_n")))
     groups = points.groupBy("_s").agg(F.sum("_n").alias("_n"))
-    cum = attach_one_row(cumulate_groups(groups, [], "_s", ["_n"], grain), groups.agg(F.sum("_n").alias("_all")))
+    cum = attach_one_row(cumulate_groups(groups, [], "_s", ["_n"]), groups.agg(F.sum("_n").alias("_all")))
     ranks = cum.select("_s", (F.col("cum__n") / F.col("_all")).alias(name))
     return scored.join(ranks, F.col(score) == F.col("_s")).drop("_s")
 
 
 def permuted_labels(df: DataFrame, row_id: str, pairs: Sequence[str], seed: int = 42) -> DataFrame:
     """Control data: label and weight stay together but move to another row, by rank of a seeded hash."""
-    by_id = global_rank(df.withColumn("_same", F.lit(0.0)), "_same", row_id, 1.0).drop("_same", *pairs)
-    hashed = df.select(row_id, *pairs, F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(1 << 52)).cast("double").alias("_hash"))
-    by_hash = global_rank(hashed, "_hash", row_id, float(1 << 40)).select("rank", *pairs)
+    by_id = positions(df.drop(*pairs), [F.asc(row_id)])
+    hashed = df.select(row_id, *pairs, F.xxhash64(F.col(row_id), F.lit(seed)).alias("_hash"))
+    by_hash = positions(hashed, [F.desc("_hash"), F.asc(row_id)]).select("rank", *pairs)
     return by_id.join(by_hash, "rank").drop("rank")
 
 

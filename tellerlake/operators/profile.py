@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellerlake.operators.ordering import exact_percentiles
 from tellerlake.operators.quality import count_if
-from tellerlake.operators.running import attach_one_row, cumulate_groups
+from tellerlake.operators.running import attach_one_row
 
 BANDS = {"<30": 30, "30-49": 50, "50-69": 70}
 
@@ -91,22 +92,15 @@ def evidence_json(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
 
 def demand_baseline(interactions: DataFrame, reason: str) -> DataFrame:
     """Share of contacts, resolution, follow-up and handling time by reason; medians are exact."""
-    from tellerlake.operators.running import exact_percentiles
-
     total = interactions.agg(F.count(F.lit(1)).alias("_all"))
     base = interactions.groupBy(reason).agg(
         F.count(F.lit(1)).alias("contacts"), count_if(F.col("was_resolved")).alias("resolved"), count_if(F.col("requires_followup")).alias("follow_up"),
         F.sum("duration_seconds").alias("seconds"))
-    for name, column in (("median_duration", "duration_seconds"), ("median_wait", "wait_time_seconds")):
-        medians = exact_percentiles(interactions, [reason], column, {name: 0.5}, grain=60).select(F.col(reason).alias("_reason"), name)
-        base = base.join(medians, F.col(reason).eqNullSafe(F.col("_reason")), "left").drop("_reason")
+    measured = {"median_duration": "duration_seconds", "median_wait": "wait_time_seconds"}
+    long = interactions.select(reason, F.explode(F.array(*[F.struct(F.lit(n).alias("_measure"), F.col(c).cast("double").alias("_value")) for n, c in measured.items()])).alias("_p")).select(reason, "_p.*")
+    medians = exact_percentiles(long, [reason, "_measure"], "_value", {"_median": 0.5}).groupBy(F.col(reason).alias("_reason")).agg(
+        *[F.max(F.when(F.col("_measure") == n, F.col("_median"))).alias(n) for n in measured])
+    base = base.join(medians, F.col(reason).eqNullSafe(F.col("_reason")), "left").drop("_reason")
     return attach_one_row(base, total).select(
         reason, "contacts", (F.col("contacts") / F.col("_all")).alias("share"), (F.col("resolved") / F.col("contacts")).alias("resolved_rate"),
         (F.col("follow_up") / F.col("contacts")).alias("follow_up_rate"), "median_duration", "median_wait", (F.col("seconds") / 3600).alias("advisor_hours"))
-
-
-def cumulative_share(df: DataFrame, value: str, grain: float) -> DataFrame:
-    """Share of rows at or below each distinct value."""
-    groups = df.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return attach_one_row(cumulate_groups(groups, [], "value", ["n"], grain), groups.agg(F.sum("n").alias("_all"))).select(
-        "value", "n", (F.col("cum_n") / F.col("_all")).alias("share"))

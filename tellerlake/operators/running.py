@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,75 +157,3 @@ def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[H
                 aggs.append(F.expr(f"sum(CASE WHEN {now} THEN {total}{before} END) AS `{h.name}_{m}_{label}`"))
         aggs += [F.expr(f"max(CASE WHEN {now} THEN _l_{h.name}_{n} END) AS `{h.name}_{n}`") for n in h.latest]
     return long.groupBy(row_id).agg(*aggs)
-
-
-def cumulate_groups(groups: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str], grain: float,
-                    descending: bool = False) -> DataFrame:
-    """Add `cum_<s>`: running sum in `value` order, the row itself included, for groups unique per (keys, value).
-
-    Groups are cut into ranges of `grain` value units; only range totals meet in one task per key.
-    """
-    keys = list(keys)
-    sliced = groups.withColumn("_slice", F.floor(F.col(value).cast("double") / F.lit(float(grain))))
-    direction = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    outer = Window.partitionBy(*keys).orderBy(direction("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    opening = (sliced.groupBy(*keys, "_slice").agg(*[F.sum(s).alias(s) for s in sums])
-               .select(*keys, "_slice", F.lit(True).alias("_opening"), *[F.coalesce(F.sum(s).over(outer), F.lit(0)).alias(s) for s in sums]))
-    inner = (Window.partitionBy(*keys, "_slice").orderBy(F.desc("_opening"), direction(value))
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = sliced.withColumn("_opening", F.lit(False)).unionByName(opening, allowMissingColumns=True)
-    return (rows.select(*groups.columns, "_opening", *[F.sum(s).over(inner).alias(f"cum_{s}") for s in sums])
-            .where(~F.col("_opening")).drop("_opening"))
-
-
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], grain: float,
-                      method: str = "cont") -> DataFrame:
-    """Exact percentiles per key without collecting a group: count equal values, accumulate, look up the ranks.
-
-    `cont` interpolates between the two closest ranks, `disc` returns an existing value. Adds `n_values`.
-    """
-    keys = list(keys)
-    groups = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    cum = cumulate_groups(groups, keys, "_v", ["_n"], grain).withColumn("_before", F.col("cum__n") - F.col("_n"))
-    # An attached total turns ranks into per-row tests, so one combinable aggregation finishes the job.
-    totals = groups.groupBy(*keys).agg(F.sum("_n").alias("n_values"))
-    if keys:
-        on = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
-        joined = cum.alias("c").join(totals.alias("t"), on).select("c.*", "t.n_values")
-    else:
-        joined = attach_one_row(cum, totals)
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("cum__n")), F.col("_v")))
-
-    aggs = [F.max("n_values").alias("n_values")]
-    for name, p in probs.items():
-        if method == "disc":
-            aggs.append(at_rank(F.greatest(F.ceil(F.lit(p) * F.col("n_values")) - 1, F.lit(0))).alias(name))
-        else:
-            rank = F.lit(p) * (F.col("n_values") - 1)
-            aggs += [at_rank(F.floor(rank)).alias(f"_lo_{name}"), at_rank(F.ceil(rank)).alias(f"_hi_{name}")]
-    out = joined.groupBy(*keys).agg(*aggs)
-    if method == "cont":
-        for name, p in probs.items():
-            rank = F.lit(p) * (F.col("n_values") - 1)
-            lo, hi = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
-            out = out.withColumn(name, lo + (hi - lo) * (rank - F.floor(rank)))
-        out = out.drop(*[c for c in out.columns if c.startswith(("_lo_", "_hi_"))])
-    return out
-
-
-def global_rank(df: DataFrame, score: str, row_id: str, score_grain: float, id_width: int = 1_000_000) -> DataFrame:
-    """Add `rank`: position by (score descending, row_id ascending) over the whole table, without a global sort.
-
-    Rows above a score come from the score groups; rows ahead inside a tie come from sliced id order, so a
-    tie holding a third of the rows is split over many tasks. `row_id` is an integer.
-    """
-    groups = df.groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    above = cumulate_groups(groups, [], "_s", ["_n"], score_grain, descending=True).select(
-        "_s", (F.col("cum__n") - F.col("_n")).alias("_above"))
-    ahead = accumulate_before(df.withColumn("_one", F.lit(1)).withColumn("_id", F.col(row_id).cast("bigint")),
-                              [score], "_id", ["_one"], width=id_width)
-    return (ahead.join(above, F.col(score).eqNullSafe(F.col("_s")))
-            .withColumn("rank", F.col("_above") + F.coalesce(F.col("_one"), F.lit(0)) + 1)
-            .drop("_s", "_id", "_one", "_above", "_slice"))

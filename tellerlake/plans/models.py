@@ -12,7 +12,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellerlake.operators.running import attach_one_row, exact_percentiles
+from tellerlake.operators.ordering import column_percentiles
+from tellerlake.operators.running import attach_one_row
 from tellerlake.session import cut_lineage
 
 # Fixed protocol values.
@@ -21,13 +22,11 @@ NEGATIVE_FRACTION = 0.1
 MIN_PRIOR_AMOUNTS = 5
 
 
-def impute_medians(df: DataFrame, fitted_on: Column, grains: dict[str, float]) -> DataFrame:
+def impute_medians(df: DataFrame, fitted_on: Column, columns: Sequence[str]) -> DataFrame:
     """Exact medians of the fit rows replace missing values everywhere; `<c>_missing` flags keep the fact."""
-    out = df
-    for c, grain in grains.items():
-        median = exact_percentiles(df.where(fitted_on), [], c, {f"_m_{c}": 0.5}, grain).drop("n_values")
-        out = attach_one_row(out, median).withColumn(f"{c}_missing", F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).withColumn(
-            c, F.coalesce(F.col(c), F.col(f"_m_{c}"))).drop(f"_m_{c}")
+    out = attach_one_row(df, column_percentiles(df.where(fitted_on), columns, {"_m": 0.5}))
+    for c in columns:
+        out = out.withColumn(f"{c}_missing", F.when(F.col(c).isNull(), 1.0).otherwise(0.0)).withColumn(c, F.coalesce(F.col(c), F.col(f"{c}__m"))).drop(f"{c}__m")
     return out
 
 
@@ -89,18 +88,14 @@ def balanced_forest(train: DataFrame, ratio: float = 0.2, trees: int = 20, seed:
     return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=8, minInstancesPerNode=5, seed=seed).fit(balanced)
 
 
-def novelty_score(df: DataFrame, fitted_on: Column, grains: dict[str, float]) -> DataFrame:
+def novelty_score(df: DataFrame, fitted_on: Column, columns: Sequence[str]) -> DataFrame:
     """Mean distance from the fit median in units of the interquartile range; missing values count as typical."""
-    scored, parts = df, []
-    for c, grain in grains.items():
-        q = exact_percentiles(df.where(fitted_on), [], c, {f"_a_{c}": 0.25, f"_b_{c}": 0.5, f"_c_{c}": 0.75}, grain).drop("n_values")
-        scored = attach_one_row(scored, q)
-        spread = F.col(f"_c_{c}") - F.col(f"_a_{c}")
-        parts.append(F.coalesce(F.when(spread > 0, F.abs(F.col(c) - F.col(f"_b_{c}")) / spread), F.lit(0.0)))
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return scored.withColumn("novelty", total / len(parts)).select(*df.columns, "novelty")
+    scored = attach_one_row(df, column_percentiles(df.where(fitted_on), columns, {"_a": 0.25, "_b": 0.5, "_c": 0.75}))
+    total = F.lit(0.0)
+    for c in columns:
+        spread = F.col(f"{c}__c") - F.col(f"{c}__a")
+        total = total + F.coalesce(F.when(spread > 0, F.abs(F.col(c) - F.col(f"{c}__b")) / spread), F.lit(0.0))
+    return scored.withColumn("novelty", total / len(columns)).select(*df.columns, "novelty")
 
 
 def with_scores(model, df: DataFrame) -> DataFrame:

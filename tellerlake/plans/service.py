@@ -11,7 +11,8 @@ from tellerlake.functions.calendar import check_window, check_zone, local_day, w
 from tellerlake.functions.money import cost_usd
 from tellerlake.operators.latest import newest_per_group, page_after
 from tellerlake.operators.quality import count_if
-from tellerlake.operators.running import attach_one_row, exact_percentiles
+from tellerlake.operators.ordering import exact_percentiles
+from tellerlake.operators.running import attach_one_row
 
 HUMAN = ("human_queue", "human_agent")
 HANDOFF_REASONS = ("complaint", "retention", "case_status")
@@ -148,7 +149,7 @@ def turn_metrics(turns: DataFrame, zone: str, first: str, last: str) -> DataFram
     usage = inside.agg(count_if(F.col("source") == "live").alias("live_turns"), count_if(used).alias("turns_with_usage"),
                        total("input_tokens"), total("output_tokens"), total("duration_ms"))
     chats = inside.agg(F.count_distinct("chat_id").alias("conversations"))
-    latency = exact_percentiles(inside.where("source = 'live'"), [], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}, grain=500).drop("n_values")
+    latency = exact_percentiles(inside.where("source = 'live'"), [], "duration_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).drop("n_values")
     out = attach_one_row(attach_one_row(usage, chats), latency)
     known = F.col("turns_with_usage") > 0
     cost = cost_usd(F.when(known, F.col("input_tokens")), F.when(known, F.col("output_tokens")), F.col("duration_ms"))
@@ -217,7 +218,7 @@ def run_summary(turns: DataFrame, chats: DataFrame, handoffs: DataFrame) -> Data
     state = chats.join(handed, "chat_id", "left").groupBy("use_case").agg(
         F.count(F.lit(1)).alias("conversations"), count_if(F.col("_handed")).alias("handed_off"),
         count_if(F.col("closed_at").isNotNull() & F.col("_handed").isNull()).alias("resolved_by_ai"))
-    latency = exact_percentiles(turns, ["use_case"], "duration_ms", {"p50": 0.5, "p95": 0.95}, grain=500).drop("n_values")
+    latency = exact_percentiles(turns, ["use_case"], "duration_ms", {"p50": 0.5, "p95": 0.95}).drop("n_values")
     # Integer sums first: the cost of the summed usage is the same whatever the order of the rows.
     used = F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull()
     usage = turns.groupBy("use_case").agg(*[F.sum(F.when(used, F.col(c))).alias(f"_{c}") for c in ("input_tokens", "output_tokens", "duration_ms")])

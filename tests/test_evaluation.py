@@ -88,5 +88,5 @@ def test_weights_and_medians(spark):
     w = {r["label"]: r["class_weight"] for r in class_weights(scored(spark, [(0.5, 10, 2)])).collect()}
     assert w == {1: 2.5, 0: 0.625}
     df = spark.createDataFrame([(1, True, 1.0), (2, True, 3.0), (3, False, 100.0), (4, False, None)], "id int, fit boolean, v double")
-    got = {r["id"]: (r["v"], r["v_missing"]) for r in impute_medians(df, df["fit"], {"v": 1.0}).collect()}
+    got = {r["id"]: (r["v"], r["v_missing"]) for r in impute_medians(df, df["fit"], ["v"]).collect()}
     assert got[4] == (2.0, 1.0) and got[3] == (100.0, 0.0)

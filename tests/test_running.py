@@ -2,14 +2,11 @@
 
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tellerlake.operators.history import open_interval_distinct
-from tellerlake.operators.running import (
-    History, accumulate_before, cumulate_groups, exact_percentiles, global_rank, prior_windows,
-)
+from tellerlake.operators.running import History, accumulate_before, prior_windows
 
 WIDTHS = [1, 100, 1_000_000]
 
@@ -75,37 +72,6 @@ def test_lower_bound_in_same_time_out(spark):
     assert got == {1: 0, 2: 1, 3: 1, 4: 0}
 
 
-@pytest.mark.parametrize("grain", [1.0, 13.0, 10_000.0])
-def test_percentiles(spark, grain):
-    r = random.Random(5)
-    data = [(r.choice("ab"), r.randrange(0, 200) / 4) for _ in range(500)] + [("c", 7.0)]
-    df = spark.createDataFrame(data, "k string, v double")
-    probs = {"p1": 0.01, "p50": 0.5, "p95": 0.95}
-    cont = {x["k"]: x for x in exact_percentiles(df, ["k"], "v", probs, grain).collect()}
-    disc = {x["k"]: x for x in exact_percentiles(df, ["k"], "v", probs, grain, "disc").collect()}
-    for k in "abc":
-        values = [v for g, v in data if g == k]
-        for name, p in probs.items():
-            assert cont[k][name] == pytest.approx(np.percentile(values, p * 100))
-            assert disc[k][name] == np.percentile(values, p * 100, method="inverted_cdf")
-        assert cont[k]["n_values"] == len(values)
-
-
-@pytest.mark.parametrize("width", WIDTHS)
-def test_global_rank(spark, width):
-    r = random.Random(6)
-    data = [(i, r.choice([0.9, 0.5, 0.5, 0.123])) for i in r.sample(range(10_000), 400)]
-    df = spark.createDataFrame(data, "id bigint, score double")
-    got = {x["id"]: x["rank"] for x in global_rank(df, "score", "id", 0.01, id_width=width).collect()}
-    assert got == {i: n for n, (i, _) in enumerate(sorted(data, key=lambda x: (-x[1], x[0])), 1)}
-
-
-def test_cumulate_groups_descending(spark):
-    df = spark.createDataFrame([(float(v), v) for v in range(1, 60)], "s double, n bigint")
-    got = {r["s"]: r["cum_n"] for r in cumulate_groups(df, [], "s", ["n"], 7.0, descending=True).collect()}
-    assert got == {float(v): sum(range(v, 60)) for v in range(1, 60)}
-
-
 def test_distinct_members_in_frame(spark):
     r = random.Random(7)
     facts = [(r.choice("ab"), r.choice("xyz"), r.randrange(0, 2000)) for _ in range(300)]
