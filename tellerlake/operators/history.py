@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tellerlake.operators.running import DAY, HOUR, MINUTE, SECOND, History, epoch_us, prior_windows
+from tellerlake.operators.running import DAY, HOUR, MINUTE, SECOND, History, accumulate_before, epoch_us, prior_windows
 
 THIRTY_DAYS = 30 * DAY
 KM_PER_DEGREE = 111.1
@@ -91,12 +91,11 @@ def geo_bin() -> History:
 
 
 def product_velocity() -> History:
-    return History("product", ["_product_id"], {"5m": 5 * MINUTE, "1h": HOUR}, {"n": _one()}, width=10 * MINUTE)
+    return History("product", ["_product_id"], {"5m": 5 * MINUTE, "1h": HOUR}, {"n": _one()})
 
 
 def product_amounts() -> History:
-    return History("spend", ["_product_id", "currency"], {"1h": HOUR}, {"n": F.when(F.col("amount").isNotNull(), 1).cast("bigint"), "cents": cents("amount")},
-                   width=10 * MINUTE)
+    return History("spend", ["_product_id", "currency"], {"1h": HOUR}, {"n": F.when(F.col("amount").isNotNull(), 1).cast("bigint"), "cents": cents("amount")})
 
 
 # ---- named features from those totals
@@ -174,8 +173,7 @@ def with_history(df: DataFrame, histories: list[History], features: dict[str, Co
     return joined.select(*df.columns, *[c.alias(name) for name, c in features.items()])
 
 
-def open_interval_distinct(facts: DataFrame, keys: list[str], member: str, at: str, probes: DataFrame, row_id: str, length: int,
-                           width: int = HOUR) -> DataFrame:
+def open_interval_distinct(facts: DataFrame, keys: list[str], member: str, at: str, probes: DataFrame, row_id: str, length: int) -> DataFrame:
     """Distinct `member` values seen in `[T - length, T)` for every probe, without collecting a set per row.
 
     A sighting at e covers the probe times (e, e + length]. The covered times of one member form disjoint
@@ -183,14 +181,12 @@ def open_interval_distinct(facts: DataFrame, keys: list[str], member: str, at: s
     A sighting starts an interval when no earlier one of the same member lies within `length`; it ends one when
     no later one does, and "no later one" is the same question on the mirrored timeline.
     """
-    from tellerlake.operators.running import accumulate_before
-
     seen = facts.select(*keys, member, F.col(at).alias("_e")).where(F.col(member).isNotNull()).distinct()
     group = [*keys, member]
-    back = accumulate_before(seen.withColumn("_last", F.col("_e")), group, "_e", maxes=["_last"], width=width)
+    back = accumulate_before(seen.withColumn("_last", F.col("_e")), group, "_e", latest=["_last"])
     starts = back.where(F.col("_last").isNull() | (F.col("_e") - F.col("_last") > length)).select(*keys, F.col("_e").alias("_at"), F.lit(1).alias("_delta"))
-    ahead = accumulate_before(seen.withColumn("_m", -F.col("_e")).withColumn("_next", -F.col("_e")), group, "_m", maxes=["_next"], width=width)
+    ahead = accumulate_before(seen.withColumn("_m", -F.col("_e")).withColumn("_next", -F.col("_e")), group, "_m", latest=["_next"])
     ends = ahead.where(F.col("_next").isNull() | (-F.col("_next") - F.col("_e") > length)).select(*keys, (F.col("_e") + length).alias("_at"), F.lit(-1).alias("_delta"))
     line = starts.unionByName(ends).unionByName(probes.select(*keys, row_id, F.col(at).alias("_at")), allowMissingColumns=True)
-    done = accumulate_before(line, keys, "_at", ["_delta"], width=width)
+    done = accumulate_before(line, keys, "_at", ["_delta"])
     return done.where(F.col(row_id).isNotNull()).select(row_id, F.coalesce(F.col("_delta"), F.lit(0)).alias("distinct_members"))

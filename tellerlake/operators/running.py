@@ -1,24 +1,33 @@
-"""Running totals that never put a hot key's whole history into one task.
+"""Sums over `[T - d, T)` and running totals that never put a hot key's whole history into one task.
 
-Every key is cut into time slices: slice totals are combined before any shuffle, their running sum gives each slice
-an opening balance, and only the rows of one (key, slice) share a task, so a key is spread over (time span / width)
-tasks. Every count or sum over `[T - d, T)` is a difference of two running totals: linear work, whatever the
-number of rows inside a frame.
+Rows are dealt by ranges of (history, key, time), so partitions hold about the same number of rows whatever the keys. Inside a partition, which is in
+order, every frame is the difference of two places of one running sum: no row is multiplied, whatever the number of frames. Only the key a partition
+begins with may have earlier rows elsewhere. Its sum so far is an opening balance (at most one row per partition, broadcast); only where a frame of such
+a row begins before the partition does, its begin is looked up in a second pass over the keys that cross partitions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tellerlake.operators.ordering import changes, running_sums
+from tellerlake.session import written
 
 SECOND = 1_000_000
 MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
+LIMB_BITS = 30
+ORDER = ("_h", "_k", "_at")
+
 
 def epoch_us(ts: str | Column) -> Column:
     """Microseconds since 1970 of a timestamp with or without zone (the session zone is UTC)."""
@@ -30,28 +39,120 @@ def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one_row", F.lit(1)).join(F.broadcast(one.withColumn("_one_row", F.lit(1))), "_one_row").drop("_one_row")
 
 
-def accumulate_before(timeline: DataFrame, keys: Sequence[str], at: str, sums: Sequence[str] = (), maxes: Sequence[str] = (),
-                      width: int | str = HOUR) -> DataFrame:
-    """Replace each measure by its sum (or max) over the rows of the same key with a strictly smaller `at`.
+def key_text(keys: Sequence[Column]) -> Column:
+    """One text for several keys; nulls are equal to each other and to nothing else."""
+    texts = [c.cast("string") for c in keys]
+    return F.concat(F.lit(""), *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts])
+
+
+def no_history(value: Column) -> Column:
+    return F.coalesce(value, F.lit(0)).cast("bigint")
+
+
+def frames_within(cells: Sequence[Sequence[tuple[int, int | None]]], n_sums: int, n_latest: int):
+    """Arrow function over one partition in order: (h, k, at, read, sums, latest, payload).
+
+    For every row that reads: its cells (sum of a slot over `[at - back, at)`, or over everything before `at`) and the last values of `latest` before
+    `at`, as far as the partition knows them; `_start` is the first `at` of the key that the partition begins with. One more row per partition, with
+    `_read` null, holds the totals and last values of the key that it ends with, and the key that it begins with."""
+    width = max((len(c) for c in cells), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+        h, at, read = columns[0].to_numpy(), columns[2].to_numpy(), columns[3].to_numpy(zero_copy_only=False).astype(bool)
+        n, place = len(h), np.arange(len(h))
+        new = changes(columns[:2], None)
+        begin = np.maximum.accumulate(np.where(new, place, 0))
+        tie = new.copy()
+        tie[1:] |= at[1:] != at[:-1]
+        now = np.maximum.accumulate(np.where(tie, place, 0))  # the first row of the key at this time
+        times = np.unique(at)
+        group = (np.cumsum(new) - 1) * (len(times) + 1)
+        line = group + np.searchsorted(times, at)
+        totals = [np.concatenate(([0], np.cumsum(c.to_numpy()))) for c in columns[4 : 4 + n_sums]]
+        out = np.zeros((width, n), np.int64)
+        for number, own in enumerate(cells):
+            a, b = np.searchsorted(h, [number, number + 1])
+            low = {}
+            for j, (slot, back) in enumerate(own):
+                if back not in low:
+                    low[back] = begin[a:b] if back is None else np.searchsorted(line, group[a:b] + np.searchsorted(times, at[a:b] - back))
+                out[j, a:b] = totals[slot][now[a:b]] - totals[slot][low[back]]
+        latest, ends = [], []
+        for c in columns[4 + n_sums : 4 + n_sums + n_latest]:
+            filled = np.maximum.accumulate(np.where(c.is_valid().to_numpy(zero_copy_only=False), place, -1))
+            before = np.where(now > 0, filled[now - 1], -1)
+            latest.append(c.take(pa.array(before, mask=before < begin)))
+            ends.append(c.take(pa.array([filled[-1] if filled[-1] >= begin[-1] else None], pa.int64())))
+        rows = pa.array(np.flatnonzero(read))
+        none = lambda kind, size: pa.nulls(size, kind)
+        payload = columns[4 + n_sums + n_latest :]
+        listed, names = pa.list_(pa.int64()), [*table.column_names[:4], "_start", *(f"c{j}" for j in range(width)), *table.column_names[4 + n_sums : 4 + n_sums + n_latest],
+                                               "_totals", "_fh", "_fk", *table.column_names[4 + n_sums + n_latest :]]
+        start = pa.array(np.full(n, at[0]), mask=begin > 0)
+        made = [*(c.take(rows) for c in (*columns[:4], start, *(pa.array(x) for x in out), *latest)), none(listed, len(rows)), none(pa.int32(), len(rows)),
+                none(pa.string(), len(rows)), *(c.take(rows) for c in payload)]
+        yield from pa.table(made, names=names).to_batches(max_chunksize=1 << 16)
+        last = n - 1
+        sums = [int(t[n] - t[begin[last]]) for t in totals]
+        tail = [columns[0].slice(last), columns[1].slice(last), none(pa.int64(), 1), none(pa.bool_(), 1), none(pa.int64(), 1), *(none(pa.int64(), 1) for _ in range(width)), *ends,
+                pa.array([sums], listed), columns[0].slice(0, 1), columns[1].slice(0, 1), *(none(c.type, 1) for c in payload)]
+        yield from pa.table(tail, names=names).to_batches()
+
+    return run
+
+
+def laid_out(timeline: DataFrame, cells: Sequence[Sequence[tuple[int, int | None]]], sums: Sequence[str], latest: Sequence[str], payload: Sequence[str]) -> DataFrame:
+    """What `frames_within` makes of a timeline (`_h`, `_k`, `_at`, `_read`, sums, latest, payload), written, with `_part`."""
+    source = timeline.select(F.col("_h").cast("int"), "_k", F.col("_at").cast("bigint"), "_read", *[no_history(F.col(s)).alias(s) for s in sums], *latest, *payload)
+    width = max((len(c) for c in cells), default=0)
+    number = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([T.StructField("_h", T.IntegerType()), T.StructField("_k", T.StringType()), number("_at"), T.StructField("_read", T.BooleanType()), number("_start"),
+                           *(number(f"c{j}") for j in range(width)), *(source.schema[c] for c in latest), T.StructField("_totals", T.ArrayType(T.LongType())),
+                           T.StructField("_fh", T.IntegerType()), T.StructField("_fk", T.StringType()), *(source.schema[c] for c in payload)])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
+    ranged = source.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER, *latest)
+    return written(ranged.mapInArrow(frames_within(cells, len(sums), len(latest)), schema).withColumn("_part", F.spark_partition_id()), "timeline")
 
-    `at` is a non-null BIGINT; `width` is the slice width, or the name of a key column that holds it.
-    Rows with equal `at` never see each other. Empty history gives NULL.
-    """
-    keys = list(keys)
-    measures = [*[(m, F.sum) for m in sums], *[(m, F.max) for m in maxes]]
-    size = F.col(width) if isinstance(width, str) else F.lit(width).cast("bigint")
-    position = F.col(at)
-    sliced = timeline.withColumn("_slice", F.call_function("div", position - F.pmod(position, size), size))
-    totals = sliced.groupBy(*keys, "_slice").agg(*[f(m).alias(m) for m, f in measures])
-    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    opening = totals.select(
-        *keys, "_slice", (F.col("_slice") * size - 1).alias(at), F.count(F.lit(1)).over(earlier).alias("_opening"),
-        *[f(m).over(earlier).alias(m) for m, f in measures]).where("_opening > 0")  # a key's first slice opens with nothing
-    within = Window.partitionBy(*keys, "_slice").orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    rows = sliced.unionByName(opening, allowMissingColumns=True)
-    payload = [c for c in timeline.columns if c not in {m for m, _ in measures}]
-    return (rows.select(*payload, "_opening", *[f(m).over(within).alias(m) for m, f in measures])
-            .where(F.col("_opening").isNull()).drop("_opening"))
+
+def opening_balances(laid: DataFrame, n_sums: int, latest: Sequence[str]) -> DataFrame:
+    """`_opart`, the sums `_o*` and last values `_l*` before the partition of the key it begins with, and `_oh`, `_ok`; only where there are any."""
+    ends = laid.where("_read IS NULL")
+    totals = ends.select("_part", "_h", "_k", F.lit(1).alias("_kind"), *[F.col("_totals")[i].alias(f"_o{i}") for i in range(n_sums)], *[F.col(c).alias(f"_l{i}") for i, c in enumerate(latest)])
+    asked = ends.select("_part", F.col("_fh").alias("_h"), F.col("_fk").alias("_k"), F.lit(0).alias("_kind"))
+    earlier = Window.partitionBy("_h", "_k").orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    both = totals.unionByName(asked, allowMissingColumns=True)
+    return both.select(F.col("_part").alias("_opart"), F.col("_h").alias("_oh"), F.col("_k").alias("_ok"), "_kind", F.count(F.when(F.col("_kind") == 1, 1)).over(earlier).alias("_n"),
+                       *[F.sum(f"_o{i}").over(earlier).alias(f"_o{i}") for i in range(n_sums)],
+                       *[F.max(f"_l{i}").over(earlier).alias(f"_l{i}") for i in range(len(latest))]).where("_kind = 0 AND _n > 0").drop("_kind", "_n")
+
+
+def with_opening(laid: DataFrame, opening: DataFrame) -> DataFrame:
+    return laid.where("_read").join(F.broadcast(opening), (F.col("_part") == F.col("_opart")) & F.col("_start").isNotNull(), "left")
+
+
+def accumulate_before(timeline: DataFrame, keys: Sequence[str], at: str, sums: Sequence[str] = (), latest: Sequence[str] = ()) -> DataFrame:
+    """Replace each of `sums` by its sum, and each of `latest` by its last value, over the rows of the same key with a strictly smaller `at`.
+
+    `at` is a non-null BIGINT; sums are integers; a `latest` value grows with `at` (say, a struct that begins with it), and of those at one time the
+    greatest is last. Rows with equal `at` never see each other. Without earlier values the result is NULL."""
+    sums, latest = list(sums), list(latest)
+    payload = [c for c in timeline.columns if c not in {*sums, *latest}]
+    line = timeline.select(F.lit(0).alias("_h"), key_text([F.col(k) for k in keys]).alias("_k"), F.col(at).alias("_at"), F.lit(True).alias("_read"),
+                           *[F.col(s).alias(f"s{i}") for i, s in enumerate(sums)], *[F.col(s).isNotNull().cast("bigint").alias(f"n{i}") for i, s in enumerate(sums)],
+                           *[F.col(c).alias(f"l{i}") for i, c in enumerate(latest)], *[F.col(c).alias(f"p{i}") for i, c in enumerate(payload)])
+    slots = [*[f"s{i}" for i in range(len(sums))], *[f"n{i}" for i in range(len(sums))]]
+    last = [f"l{i}" for i in range(len(latest))]
+    laid = laid_out(line, [[(i, None) for i in range(len(slots))]], slots, last, [f"p{i}" for i in range(len(payload))])
+    done = with_opening(laid, opening_balances(laid, len(slots), last))
+    total = lambda i: F.col(f"c{i}") + no_history(F.col(f"_o{i}"))
+    made = {s: F.when(total(len(sums) + i) > 0, total(i)) for i, s in enumerate(sums)}
+    made |= {c: F.coalesce(F.col(f"l{i}"), F.col(f"_l{i}")) for i, c in enumerate(latest)}
+    return done.select(*[F.col(f"p{payload.index(c)}").alias(c) if c in payload else made[c].alias(c) for c in timeline.columns])
 
 
 @dataclass(frozen=True)
@@ -59,8 +160,8 @@ class History:
     """What to total over one key's past. Output columns are `{name}_{measure}_{frame}` and `{name}_{latest}`.
 
     `frames` maps a label to its length (None = everything before). `sums` maps a measure to a numeric column
-    expression, exact when it is an integer or decimal. `latest` maps a name to a struct whose leading field is
-    the ordering; the newest one strictly before T is returned, and the caller applies its own lower bound.
+    expression, exact when it is an integer or a decimal without fraction. `latest` maps a name to a struct whose leading field is
+    the time; the newest one strictly before T is returned, and the caller applies its own lower bound.
     """
 
     name: str
@@ -68,92 +169,131 @@ class History:
     frames: dict[str, int | None]
     sums: dict[str, Column] = field(default_factory=dict)
     latest: dict[str, Column] = field(default_factory=dict)
-    width: int = HOUR
 
 
-def _prepared(df: DataFrame, histories: Sequence[History], others: Sequence[str]) -> tuple[DataFrame, dict[tuple[str, str], tuple[str, str]]]:
-    """`others`, the key columns and every measure under a short name; (history, measure) to (name, type)."""
-    measures = [(h.name, m, c) for h in histories for m, c in {**h.sums, **h.latest}.items()]
-    keys = dict.fromkeys(k for h in histories for k in h.keys)
-    out = df.select(*dict.fromkeys([*others, *keys]), *[c.alias(f"_x{i}") for i, (_, _, c) in enumerate(measures)])
-    types = {f.name: f.dataType.simpleString() for f in out.schema.fields}
-    return out, {(h, m): (f"_x{i}", types[f"_x{i}"]) for i, (h, m, _) in enumerate(measures)}
+def limbs(value: Column) -> list[Column]:
+    """A whole decimal in three integers, so that running sums stay in 64 bits."""
+    rest, out = value.cast("decimal(38,0)"), []
+    base = F.lit(1 << LIMB_BITS).cast("decimal(10,0)")
+    for _ in range(2):
+        low = F.pmod(rest, base)
+        out.append(low.cast("bigint"))
+        rest = ((rest - low) / base).cast("decimal(38,0)")
+    return [*out, rest.cast("bigint")]
 
 
-def _slots(histories: Sequence[History], named: dict[tuple[str, str], tuple[str, str]]) -> dict[tuple[str, str], str]:
-    """(history, measure) to the timeline column that carries it: `_i*` integers, `_d*` decimals, shared by all histories."""
-    out, used = {}, {}
-    for h in histories:
-        for m in h.sums:
-            kind = "d" if named[h.name, m][1].startswith("decimal") else "i"
-            out[h.name, m] = f"_{kind}{used.setdefault((h.name, kind), 0)}"
-            used[h.name, kind] += 1
-    return out
+def from_limbs(parts: Sequence[Column]) -> Column:
+    total = parts[0].cast("decimal(38,0)")
+    for i, p in enumerate(parts[1:], 1):
+        total = (total + p.cast("decimal(19,0)") * F.lit(1 << LIMB_BITS * i).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return total
 
 
-def _keys_sql(h: History, number: int, depth: int) -> str:
-    names = [f"CAST(`{h.keys[i]}` AS STRING)" if i < len(h.keys) else "CAST(NULL AS STRING)" for i in range(depth)]
-    return ", ".join([f"{number} AS _h", f"{h.width}L AS _w", *[f"{k} AS _k{i}" for i, k in enumerate(names)]])
+class _Plan:
+    """Where each measure of each history stands: slots are columns of the timeline, cells are columns of the result of a row and history."""
 
+    def __init__(self, source: DataFrame, histories: Sequence[History]):
+        kinds = {f.name: f.dataType for f in source.select(*[c.alias(f"{n}.{m}") for n, h in enumerate(histories) for m, c in {**h.sums, **h.latest}.items()]).schema.fields}
+        self.columns: list[Column] = []
+        self.slots: list[list[int]] = []
+        self.cells: list[list[tuple[int, int | None]]] = []
+        self.of: dict[tuple[int, str, str], list[int]] = {}
+        self.latest = [(n, m, c, kinds[f"{n}.{m}"].simpleString()) for n, h in enumerate(histories) for m, c in h.latest.items()]
+        for n, h in enumerate(histories):
+            own, cells = [], []
+            for m, c in h.sums.items():
+                parts = limbs(c) if isinstance(kinds[f"{n}.{m}"], T.DecimalType) else [c.cast("bigint")]
+                at = range(len(own), len(own) + len(parts))
+                own += [len(self.columns) + i for i in range(len(parts))]
+                self.columns += parts
+                for label, back in h.frames.items():
+                    self.of[n, m, label] = list(range(len(cells), len(cells) + len(parts)))
+                    cells += [(i, back) for i in at]
+            self.slots.append(own)
+            self.cells.append(cells)
+        self.n_slots = max((len(s) for s in self.slots), default=0)
+        self.n_cells = max((len(c) for c in self.cells), default=0)
 
-def _entries_sql(histories: Sequence[History], named: dict, slots: dict, at: str, probing: bool) -> str:
-    """The timeline rows one input row stands for, over all histories, in one shape.
+    def timeline(self, df: DataFrame, row_id: str | None, at: str, histories: Sequence[History], reads: bool, counts: bool) -> DataFrame:
+        """A row for each history of each row with a time: `_row`, `_h`, `_k`, `_at`, `_read`, slots `s*`, latest `l*`."""
+        named = df.select(*([F.col(row_id).alias("_row")] if row_id else []), F.col(at).cast("bigint").alias("_at"), *[key_text([F.col(k) for k in h.keys]).alias(f"_k{n}") for n, h in enumerate(histories)],
+                          *([c.alias(f"_x{i}") for i, c in enumerate(self.columns)] + [c.alias(f"_y{i}") for i, (_, _, c, _) in enumerate(self.latest)] if counts else []))
+        spots = []
+        for n in range(len(histories)):
+            values = [f"_x{self.slots[n][j]}" if counts and j < len(self.slots[n]) else "CAST(0 AS BIGINT)" for j in range(self.n_slots)]
+            last = [f"_y{i}" if counts and own == n else f"CAST(NULL AS {kind})" for i, (own, _, _, kind) in enumerate(self.latest)]
+            carried = [f"{v} AS s{j}" for j, v in enumerate(values)] + [f"{v} AS l{i}" for i, v in enumerate(last)]
+            spots.append(f"struct({', '.join([f'{n} AS _h', f'_k{n} AS _k', *carried])})")
+        out = named.where("_at IS NOT NULL").select(*(["_row"] if row_id else []), "_at", F.lit(reads).alias("_read"), F.expr(f"inline(array({', '.join(spots)}))"))
+        return out
 
-    Each bounded frame adds a row at T - d that only reads; the row at T reads, and contributes what is `named`.
-    """
-    depth = max(len(h.keys) for h in histories)
-    kinds = {slot: "DECIMAL(38,0)" if slot.startswith("_d") else "BIGINT" for slot in sorted(set(slots.values()))}
-    latest = {f"_l_{h.name}_{n}": named[h.name, n] for h in histories for n in h.latest if (h.name, n) in named}
-    nothing = {slot: f"CAST(NULL AS {kind})" for slot, kind in kinds.items()} | {c: f"CAST(NULL AS {t})" for c, (_, t) in latest.items()}
-    out = []
-    for number, h in enumerate(histories):
-        own = {slots[h.name, m]: f"CAST({named[h.name, m][0]} AS {kinds[slots[h.name, m]]})" for m in h.sums if (h.name, m) in named}
-        own |= {f"_l_{h.name}_{n}": named[h.name, n][0] for n in h.latest if (h.name, n) in named}
-        spots = [("CAST('now' AS STRING)" if probing else "CAST(NULL AS STRING)", 0, {**nothing, **own})]
-        spots += [(f"'{label}'", back, nothing) for label, back in h.frames.items() if probing and back is not None]
-        for label, back, values in spots:
-            carried = "".join(f", {v} AS {n}" for n, v in values.items())
-            out.append(f"struct({_keys_sql(h, number, depth)}, {label} AS _f, `{at}` - {back}L AS _at{carried})")
-    return f"inline(array({', '.join(out)}))"
-
-
-def _spread(df: DataFrame, *by: str) -> DataFrame:
-    """Even out narrow rows before they are multiplied; each measure is then computed once, not per frame."""
-    return df.repartition(*by)
-
-
-def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[History],
-                  facts: DataFrame | None = None) -> DataFrame:
+
+def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[History], facts: DataFrame | None = None) -> DataFrame:
     """Totals over `[T - d, T)` for every row of `probes`; one output row per `row_id` (unique in `probes`).
 
-    Without `facts` a row's history is the other rows of `probes`. Rows at exactly T and later rows never count.
+    Without `facts` a row's history is the other rows of `probes`. Rows at exactly T and later rows never count, nor do rows without a time.
     Empty frames give 0 for every measure: keep a count among the measures to tell "none" from "zero".
     All histories share one timeline, so the number of shuffles does not grow with the number of features.
     """
-    depth = max(len(h.keys) for h in histories)
+    plan = _Plan(probes if facts is None else facts, histories)
+    slots, last = [f"s{j}" for j in range(plan.n_slots)], [f"l{i}" for i in range(len(plan.latest))]
     if facts is None:
-        source, named = _prepared(probes, histories, [row_id, at])
-        slots = _slots(histories, named)
-        timeline = _spread(source, row_id).select(row_id, F.expr(_entries_sql(histories, named, slots, at, probing=True)))
+        timeline = plan.timeline(probes, row_id, at, histories, reads=True, counts=True)
+        past = timeline.drop("_row", "_read")
     else:
-        source, named = _prepared(facts, histories, [at])
-        slots = _slots(histories, named)
-        columns = dict.fromkeys([row_id, at, *[k for h in histories for k in h.keys]])
-        asked = _spread(probes.select(*columns), row_id).select(row_id, F.expr(_entries_sql(histories, {}, {}, at, probing=True)))
-        timeline = source.select(F.expr(_entries_sql(histories, named, slots, at, probing=False))).unionByName(asked, allowMissingColumns=True)
-    keys = ["_h", "_w", *[f"_k{i}" for i in range(depth)]]
-    sums = sorted(set(slots.values()))
-    maxes = [f"_l_{h.name}_{n}" for h in histories for n in h.latest]
-    done = accumulate_before(timeline, keys, "_at", sums, maxes, "_w").where("_f IS NOT NULL")
+        past = plan.timeline(facts, None, at, histories, reads=False, counts=True)
+        timeline = plan.timeline(probes, row_id, at, histories, reads=True, counts=False).unionByName(past, allowMissingColumns=True)
+        past = past.drop("_read")
+    laid = laid_out(timeline, plan.cells, slots, last, ["_row"])
+    opening = opening_balances(laid, plan.n_slots, last)
+    crossing = not opening.isEmpty()
+    cell_names = [f"c{j}" for j in range(plan.n_cells)]
+    if crossing:
+        opened = with_opening(laid, opening)
+        cells = []
+        for j in range(plan.n_cells):
+            extra = F.lit(0).cast("bigint")
+            for n, own in enumerate(plan.cells):
+                if j < len(own):
+                    slot, back = own[j]
+                    reaches = F.lit(True) if back is None else F.col("_at") - back < F.col("_start")
+                    extra = F.when((F.col("_h") == n) & F.col("_opart").isNotNull() & reaches, F.col(f"_o{slot}")).otherwise(extra)
+            cells.append((F.col(f"c{j}") + extra).alias(f"c{j}"))
+        rows = opened.select("_row", "_h", *cells, *[F.coalesce(c, f"_l{i}").alias(c) for i, c in enumerate(last)])
+        rows = rows.unionByName(_begins(opened, opening, past, plan, slots), allowMissingColumns=True)
+    else:
+        rows = laid.where("_read").select("_row", "_h", *cell_names, *last)
+    rows = rows.unionByName(probes.where(F.col(at).isNull()).select(F.col(row_id).alias("_row")), allowMissingColumns=True)
     # Narrow rows are moved to their row id once; the wide aggregate then needs no further shuffle.
-    long = done.select(row_id, "_h", "_f", *sums, *maxes).repartition(row_id)
+    own = lambda n, c: F.when(F.col("_h") == n, F.col(c))
     aggs = []
-    for number, h in enumerate(histories):
-        now = f"_h = {number} AND _f = 'now'"
+    for n, h in enumerate(histories):
         for m in h.sums:
-            total = f"coalesce({slots[h.name, m]}, 0)"
-            for label, d in h.frames.items():
-                before = f" WHEN _h = {number} AND _f = '{label}' THEN -{total}" if d is not None else ""
-                aggs.append(F.expr(f"sum(CASE WHEN {now} THEN {total}{before} END) AS `{h.name}_{m}_{label}`"))
-        aggs += [F.expr(f"max(CASE WHEN {now} THEN _l_{h.name}_{n} END) AS `{h.name}_{n}`") for n in h.latest]
-    return long.groupBy(row_id).agg(*aggs)
+            for label in h.frames:
+                parts = [F.coalesce(F.sum(own(n, f"c{j}")), F.lit(0)) for j in plan.of[n, m, label]]
+                aggs.append((from_limbs(parts) if len(parts) > 1 else parts[0]).alias(f"{h.name}_{m}_{label}"))
+        aggs += [F.max(own(n, f"l{i}")).alias(f"{h.name}_{m}") for i, (k, m, _, _) in enumerate(plan.latest) if k == n]
+    return rows.repartition("_row").groupBy(F.col("_row").alias(row_id)).agg(*aggs)
+
+
+def _begins(opened: DataFrame, opening: DataFrame, past: DataFrame, plan: _Plan, slots: Sequence[str]) -> DataFrame:
+    """What to take off again: for rows whose frames begin before their partition does, the key's sum before the begin of the frame."""
+    backs = [sorted({back for _, back in own if back is not None}) for own in plan.cells]
+    of_row = F.array().cast("array<bigint>")
+    for n, own in enumerate(backs):
+        if own:
+            of_row = F.when(F.col("_h") == n, F.filter(F.array(*[F.lit(b).cast("bigint") for b in own]), lambda b: F.col("_at") - b < F.col("_start"))).otherwise(of_row)
+    asked = opened.where("_opart IS NOT NULL").select("_row", "_h", "_k", "_at", F.explode(of_row).alias("_back"))
+    asked = asked.withColumn("_at", F.col("_at") - F.col("_back")).withColumn("_kind", F.lit(0))
+    keys = F.broadcast(opening.select(F.col("_oh").alias("_h"), F.col("_ok").alias("_k")).distinct())  # no more rows than partitions
+    known = past.join(keys, ["_h", "_k"], "left_semi").withColumn("_kind", F.lit(1))
+    both = asked.unionByName(known.select("_h", "_k", "_at", "_kind", *slots), allowMissingColumns=True)
+    found = running_sums(both, ["_h", "_k"], [F.asc("_at"), F.asc("_kind")], slots).where("_kind = 0")
+    cells = []
+    for j in range(plan.n_cells):
+        value = F.lit(0).cast("bigint")
+        for n, own in enumerate(plan.cells):
+            if j < len(own) and own[j][1] is not None:
+                value = F.when((F.col("_h") == n) & (F.col("_back") == own[j][1]), -F.col(f"cum_s{own[j][0]}")).otherwise(value)
+        cells.append(value.alias(f"c{j}"))
+    return found.select("_row", "_h", *cells)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellerlake.operators.running import DAY, accumulate_before, epoch_us
+from tellerlake.operators.running import accumulate_before, epoch_us
 
 MONTHS = 12
 
@@ -34,7 +34,7 @@ def savings_history(accounts: DataFrame, movements: DataFrame, now: str) -> Data
     current = accounts.groupBy(*keys).agg(F.coalesce(F.sum(cents("current_balance")), F.lit(0)).alias("_current"))
     inside = movements.where(F.to_date("transaction_date") >= window_start(now))
     steps = inside.groupBy(*keys, epoch_us("transaction_date").alias("_t")).agg(F.sum(signed_cents()).alias("_net")).withColumn("_back", -F.col("_t")).withColumn("_later", F.col("_net"))
-    undone = accumulate_before(steps, keys, "_back", ["_later"], width=30 * DAY)
+    undone = accumulate_before(steps, keys, "_back", ["_later"])
     lowest = undone.groupBy(*keys).agg(F.max(F.coalesce("_later", F.lit(0)) + F.col("_net")).alias("_deepest"))
     sound = current.join(lowest, keys, "left").where((F.col("_current") >= 0) & (F.coalesce("_deepest", F.lit(0)) <= F.col("_current"))).select(*keys, "_current")
     month = F.trunc(F.to_date("transaction_date"), "month")

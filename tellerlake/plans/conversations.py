@@ -15,7 +15,6 @@ from tellerlake.operators.quality import count_if
 from tellerlake.operators.running import accumulate_before
 
 MIN_WORDS = 3
-SLICE = 10_000  # turns of one hot conversation that share a task
 NEEDS_CONFIRMATION = "reason IS DISTINCT FROM 'retention'"
 
 
@@ -29,7 +28,7 @@ def with_context(messages: DataFrame, conv: str = "conv_id", turn: str = "turn")
     long = (F.col("role") == "user") & (words(F.col("text")) >= MIN_WORDS) & spoken.isin("es", "pt")
     line = messages.withColumn("_previous", F.struct(F.col(turn).alias("t"), "role", "text")).withColumn(
         "_long", F.when(long, F.struct(F.col(turn).alias("t"), spoken.alias("language"))))
-    done = accumulate_before(line, [conv], turn, maxes=["_previous", "_long"], width=SLICE)
+    done = accumulate_before(line, [conv], turn, latest=["_previous", "_long"])
     return done.select(*messages.columns, F.col("_previous.role").alias("previous_role"), F.col("_previous.text").alias("previous_text"),
                        F.col("_long.language").alias("earlier_language"))
 

@@ -102,16 +102,18 @@ def test_digital_history_long_lookback(spark):
     assert got["u"]["digital_available"] == 0.0 and got["u"]["digital_count_90d"] == 0
 
 
-def test_histories_agree_with_one_slice_for_all(spark, monkeypatch):
+def test_histories_agree_over_one_and_many_partitions(spark):
     import random
 
-    import tellerlake.operators.running as running
     r = random.Random(8)
     data = [tx(str(i), T + dt.timedelta(minutes=r.randrange(0, 60 * 24 * 40)), r.randrange(1, 50), r.choice(["USD", "COP", None]), r.choice(["c1", "c1", "c2", None]), r.choice(["p1", "p2"]),
                r.choice(["AR", None]), r.choice(["m1", "m2", None]), r.choice([1, 2, None]), r.choice([2, 3])) for i in range(200)]
-    sliced, whole = frame(spark, data), running.accumulate_before
-    monkeypatch.setattr(running, "accumulate_before", lambda *args: whole(*args[:-1], 1 << 60))
-    assert frame(spark, data) == sliced
+    whole = frame(spark, data)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert frame(spark, data) == whole
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_coarse_position_is_exact(spark):
