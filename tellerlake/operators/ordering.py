@@ -23,10 +23,15 @@ from tellerlake.session import written
 PLACE_BITS = 33
 
 
+def range_count(df: DataFrame) -> int:
+    """As many ranges as the session shuffles to: ranges that are joined for being small would be sorted by fewer cores."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The rows by ranges, in order within each partition, with `_part` and `_place` (from 0 in the partition)."""
     by = [*(F.col(k).asc() for k in keys), *order]
-    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(range_count(df), *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
     return placed.select(*df.columns, F.shiftright("_at", PLACE_BITS).alias("_part"), F.col("_at").bitwiseAND((1 << PLACE_BITS) - 1).alias("_place"))
 
 

@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellerlake.operators.ordering import changes, running_sums
+from tellerlake.operators.ordering import changes, range_count, running_sums
 from tellerlake.session import written
 
 SECOND = 1_000_000
@@ -53,8 +53,9 @@ def frames_within(cells: Sequence[Sequence[tuple[int, int | None]]], n_sums: int
     """Arrow function over one partition in order: (h, k, at, read, sums, latest, payload).
 
     For every row that reads: its cells (sum of a slot over `[at - back, at)`, or over everything before `at`) and the last values of `latest` before
-    `at`, as far as the partition knows them; `_start` is the first `at` of the key that the partition begins with. One more row per partition, with
-    `_read` null, holds the totals and last values of the key that it ends with, and the key that it begins with."""
+    `at`, as far as the partition knows them; `_start` is the first `at` of the key that the partition begins with. Rows of the keys it begins and ends
+    with, which may go on elsewhere, keep their own sums in `_own`, whether they read or not. One more row per partition, with `_read` null, holds the
+    totals and last values of the key that it ends with, and the key that it begins with."""
     width = max((len(c) for c in cells), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,19 +89,24 @@ def frames_within(cells: Sequence[Sequence[tuple[int, int | None]]], n_sums: int
             before = np.where(now > 0, filled[now - 1], -1)
             latest.append(c.take(pa.array(before, mask=before < begin)))
             ends.append(c.take(pa.array([filled[-1] if filled[-1] >= begin[-1] else None], pa.int64())))
-        rows = pa.array(np.flatnonzero(read))
+        edge = (begin == 0) | (begin == begin[-1])
+        kept = np.flatnonzero(read | edge)
+        rows = pa.array(kept)
         none = lambda kind, size: pa.nulls(size, kind)
         payload = columns[4 + n_sums + n_latest :]
         listed, names = pa.list_(pa.int64()), [*table.column_names[:4], "_start", *(f"c{j}" for j in range(width)), *table.column_names[4 + n_sums : 4 + n_sums + n_latest],
-                                               "_totals", "_fh", "_fk", *table.column_names[4 + n_sums + n_latest :]]
+                                               "_own", "_totals", "_fh", "_fk", *table.column_names[4 + n_sums + n_latest :]]
+        counts = np.where(edge[kept], n_sums, 0)
+        flat = np.stack([c.to_numpy()[kept] for c in columns[4 : 4 + n_sums]], axis=1)[edge[kept]].ravel() if n_sums else np.zeros(0, np.int64)
+        own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat, pa.int64()), mask=pa.array(~edge[kept]))
         start = pa.array(np.full(n, at[0]), mask=begin > 0)
-        made = [*(c.take(rows) for c in (*columns[:4], start, *(pa.array(x) for x in out), *latest)), none(listed, len(rows)), none(pa.int32(), len(rows)),
+        made = [*(c.take(rows) for c in (*columns[:4], start, *(pa.array(x) for x in out), *latest)), own, none(listed, len(rows)), none(pa.int32(), len(rows)),
                 none(pa.string(), len(rows)), *(c.take(rows) for c in payload)]
         yield from pa.table(made, names=names).to_batches(max_chunksize=1 << 16)
         last = n - 1
         sums = [int(t[n] - t[begin[last]]) for t in totals]
         tail = [columns[0].slice(last), columns[1].slice(last), none(pa.int64(), 1), none(pa.bool_(), 1), none(pa.int64(), 1), *(none(pa.int64(), 1) for _ in range(width)), *ends,
-                pa.array([sums], listed), columns[0].slice(0, 1), columns[1].slice(0, 1), *(none(c.type, 1) for c in payload)]
+                none(listed, 1), pa.array([sums], listed), columns[0].slice(0, 1), columns[1].slice(0, 1), *(none(c.type, 1) for c in payload)]
         yield from pa.table(tail, names=names).to_batches()
 
     return run
@@ -112,23 +118,29 @@ def laid_out(timeline: DataFrame, cells: Sequence[Sequence[tuple[int, int | None
     width = max((len(c) for c in cells), default=0)
     number = lambda name: T.StructField(name, T.LongType())
     schema = T.StructType([T.StructField("_h", T.IntegerType()), T.StructField("_k", T.StringType()), number("_at"), T.StructField("_read", T.BooleanType()), number("_start"),
-                           *(number(f"c{j}") for j in range(width)), *(source.schema[c] for c in latest), T.StructField("_totals", T.ArrayType(T.LongType())),
+                           *(number(f"c{j}") for j in range(width)), *(source.schema[c] for c in latest), T.StructField("_own", T.ArrayType(T.LongType())), T.StructField("_totals", T.ArrayType(T.LongType())),
                            T.StructField("_fh", T.IntegerType()), T.StructField("_fk", T.StringType()), *(source.schema[c] for c in payload)])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
-    ranged = source.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER, *latest)
+    ranged = source.repartitionByRange(range_count(source), *ORDER).sortWithinPartitions(*ORDER, *latest)
     return written(ranged.mapInArrow(frames_within(cells, len(sums), len(latest)), schema).withColumn("_part", F.spark_partition_id()), "timeline")
 
 
-def opening_balances(laid: DataFrame, n_sums: int, latest: Sequence[str]) -> DataFrame:
-    """`_opart`, the sums `_o*` and last values `_l*` before the partition of the key it begins with, and `_oh`, `_ok`; only where there are any."""
-    ends = laid.where("_read IS NULL")
-    totals = ends.select("_part", "_h", "_k", F.lit(1).alias("_kind"), *[F.col("_totals")[i].alias(f"_o{i}") for i in range(n_sums)], *[F.col(c).alias(f"_l{i}") for i, c in enumerate(latest)])
-    asked = ends.select("_part", F.col("_fh").alias("_h"), F.col("_fk").alias("_k"), F.lit(0).alias("_kind"))
-    earlier = Window.partitionBy("_h", "_k").orderBy("_part", "_kind").rowsBetween(Window.unboundedPreceding, -1)
-    both = totals.unionByName(asked, allowMissingColumns=True)
-    return both.select(F.col("_part").alias("_opart"), F.col("_h").alias("_oh"), F.col("_k").alias("_ok"), "_kind", F.count(F.when(F.col("_kind") == 1, 1)).over(earlier).alias("_n"),
-                       *[F.sum(f"_o{i}").over(earlier).alias(f"_o{i}") for i in range(n_sums)],
-                       *[F.max(f"_l{i}").over(earlier).alias(f"_l{i}") for i in range(len(latest))]).where("_kind = 0 AND _n > 0").drop("_kind", "_n")
+def opening_balances(laid: DataFrame, n_sums: int, latest: Sequence[str]) -> DataFrame | None:
+    """`_opart`, the sums `_o*` and last values `_l*` before the partition of the key it begins with, and `_oh`, `_ok`; None if no key goes over a border.
+
+    One row per partition comes to the driver, whatever the number of rows; keys are in order, so a key's partitions follow each other."""
+    out, key, sums, last = [], None, [0] * n_sums, [None] * len(latest)
+    for end in sorted(laid.where("_read IS NULL").select("_part", "_h", "_k", "_fh", "_fk", "_totals", *latest).collect(), key=lambda r: r["_part"]):
+        first, ends, values = (end["_fh"], end["_fk"]), (end["_h"], end["_k"]), [end[c] for c in latest]
+        if first == key:
+            out.append((end["_part"], *key, *sums, *last))
+        if first != key or ends != key:
+            sums, last = [0] * n_sums, [None] * len(latest)
+        key, sums = ends, [a + b for a, b in zip(sums, end["_totals"], strict=True)]
+        last = [b if b is not None else a for a, b in zip(last, values, strict=True)]
+    schema = T.StructType([T.StructField("_opart", T.IntegerType()), T.StructField("_oh", T.IntegerType()), T.StructField("_ok", T.StringType()),
+                           *(T.StructField(f"_o{i}", T.LongType()) for i in range(n_sums)), *(T.StructField(f"_l{i}", laid.schema[c].dataType) for i, c in enumerate(latest))])
+    return laid.sparkSession.createDataFrame(out, schema) if out else None
 
 
 def with_opening(laid: DataFrame, opening: DataFrame) -> DataFrame:
@@ -148,10 +160,11 @@ def accumulate_before(timeline: DataFrame, keys: Sequence[str], at: str, sums: S
     slots = [*[f"s{i}" for i in range(len(sums))], *[f"n{i}" for i in range(len(sums))]]
     last = [f"l{i}" for i in range(len(latest))]
     laid = laid_out(line, [[(i, None) for i in range(len(slots))]], slots, last, [f"p{i}" for i in range(len(payload))])
-    done = with_opening(laid, opening_balances(laid, len(slots), last))
-    total = lambda i: F.col(f"c{i}") + no_history(F.col(f"_o{i}"))
+    opening = opening_balances(laid, len(slots), last)
+    done = laid.where("_read") if opening is None else with_opening(laid, opening)
+    total = lambda i: F.col(f"c{i}") if opening is None else F.col(f"c{i}") + no_history(F.col(f"_o{i}"))
     made = {s: F.when(total(len(sums) + i) > 0, total(i)) for i, s in enumerate(sums)}
-    made |= {c: F.coalesce(F.col(f"l{i}"), F.col(f"_l{i}")) for i, c in enumerate(latest)}
+    made |= {c: F.col(f"l{i}") if opening is None else F.coalesce(F.col(f"l{i}"), F.col(f"_l{i}")) for i, c in enumerate(latest)}
     return done.select(*[F.col(f"p{payload.index(c)}").alias(c) if c in payload else made[c].alias(c) for c in timeline.columns])
 
 
@@ -239,16 +252,13 @@ def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[H
     slots, last = [f"s{j}" for j in range(plan.n_slots)], [f"l{i}" for i in range(len(plan.latest))]
     if facts is None:
         timeline = plan.timeline(probes, row_id, at, histories, reads=True, counts=True)
-        past = timeline.drop("_row", "_read")
     else:
         past = plan.timeline(facts, None, at, histories, reads=False, counts=True)
         timeline = plan.timeline(probes, row_id, at, histories, reads=True, counts=False).unionByName(past, allowMissingColumns=True)
-        past = past.drop("_read")
     laid = laid_out(timeline, plan.cells, slots, last, ["_row"])
     opening = opening_balances(laid, plan.n_slots, last)
-    crossing = not opening.isEmpty()
     cell_names = [f"c{j}" for j in range(plan.n_cells)]
-    if crossing:
+    if opening is not None:
         opened = with_opening(laid, opening)
         cells = []
         for j in range(plan.n_cells):
@@ -260,7 +270,7 @@ def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[H
                     extra = F.when((F.col("_h") == n) & F.col("_opart").isNotNull() & reaches, F.col(f"_o{slot}")).otherwise(extra)
             cells.append((F.col(f"c{j}") + extra).alias(f"c{j}"))
         rows = opened.select("_row", "_h", *cells, *[F.coalesce(c, f"_l{i}").alias(c) for i, c in enumerate(last)])
-        rows = rows.unionByName(_begins(opened, opening, past, plan, slots), allowMissingColumns=True)
+        rows = rows.unionByName(_begins(laid, opened, opening, plan, slots), allowMissingColumns=True)
     else:
         rows = laid.where("_read").select("_row", "_h", *cell_names, *last)
     rows = rows.unionByName(probes.where(F.col(at).isNull()).select(F.col(row_id).alias("_row")), allowMissingColumns=True)
@@ -276,7 +286,7 @@ def prior_windows(probes: DataFrame, row_id: str, at: str, histories: Sequence[H
     return rows.repartition("_row").groupBy(F.col("_row").alias(row_id)).agg(*aggs)
 
 
-def _begins(opened: DataFrame, opening: DataFrame, past: DataFrame, plan: _Plan, slots: Sequence[str]) -> DataFrame:
+def _begins(laid: DataFrame, opened: DataFrame, opening: DataFrame, plan: _Plan, slots: Sequence[str]) -> DataFrame:
     """What to take off again: for rows whose frames begin before their partition does, the key's sum before the begin of the frame."""
     backs = [sorted({back for _, back in own if back is not None}) for own in plan.cells]
     of_row = F.array().cast("array<bigint>")
@@ -286,8 +296,8 @@ def _begins(opened: DataFrame, opening: DataFrame, past: DataFrame, plan: _Plan,
     asked = opened.where("_opart IS NOT NULL").select("_row", "_h", "_k", "_at", F.explode(of_row).alias("_back"))
     asked = asked.withColumn("_at", F.col("_at") - F.col("_back")).withColumn("_kind", F.lit(0))
     keys = F.broadcast(opening.select(F.col("_oh").alias("_h"), F.col("_ok").alias("_k")).distinct())  # no more rows than partitions
-    known = past.join(keys, ["_h", "_k"], "left_semi").withColumn("_kind", F.lit(1))
-    both = asked.unionByName(known.select("_h", "_k", "_at", "_kind", *slots), allowMissingColumns=True)
+    known = laid.where("_own IS NOT NULL").join(keys, ["_h", "_k"], "left_semi").select("_h", "_k", "_at", F.lit(1).alias("_kind"), *[F.col("_own")[i].alias(c) for i, c in enumerate(slots)])
+    both = asked.unionByName(known, allowMissingColumns=True)
     found = running_sums(both, ["_h", "_k"], [F.asc("_at"), F.asc("_kind")], slots).where("_kind = 0")
     cells = []
     for j in range(plan.n_cells):
