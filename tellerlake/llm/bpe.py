@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tellerlake.llm.common import CACHE_ENTRIES, map_texts
+from tellerlake.llm.common import Remembered, map_texts
 
 #: White space as the Rust library behind tiktoken knows it.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -29,6 +29,9 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts below this character are split by `re` with its letters, numbers and white space spelled out; others by `regex`, which takes twice the time.
 WIDE = 0x250
 
+#: What one worker remembers of pieces and of pairs, and the longest piece that is remembered.
+PIECE_BYTES, PAIR_BYTES, PIECE_LENGTH = 40 << 20, 12 << 20, 64
+
 
 def spelled(pattern: str, letters: str, numbers: str) -> str:
     """The pattern with its classes spelled out: libraries differ on the separators 1C to 1F."""
@@ -88,16 +91,18 @@ class Codec:
         for token in reachable:
             self.shorter[self.ranks[token]] = next((self.ranks[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in reachable), -1)
         self.digits = [str(i) for i in range(size)]
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.fits: Remembered = Remembered(PAIR_BYTES)
+        self.known: Remembered = Remembered(PIECE_BYTES)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging leaves these neighbours as they are: no merge across their border comes before the ones that made them."""
-        seen = self.fits.get((left, right))
+        pair = left, right
+        seen = self.fits.get(pair)
         if seen is None:
-            if len(self.fits) >= CACHE_ENTRIES:
-                self.fits.clear()
-            seen = self.fits[left, right] = self._compatible(left, right, len(self.token))
+            seen = self.fits.recall(pair)
+            if seen is None:
+                seen = self._compatible(left, right, len(self.token))
+            self.fits.keep(pair, seen, 220)
         return seen
 
     def _compatible(self, left: int, right: int, bound: int) -> bool:
@@ -144,14 +149,16 @@ class Codec:
                 at -= size[token]
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text, piece by piece; pieces are remembered."""
-        pieces, known = self.pieces(text), self.known
-        if len(known) >= CACHE_ENTRIES:
-            known.clear()
+        """Ids of a whole text, piece by piece; pieces up to a length are remembered, as many as fit in a number of bytes."""
+        pieces, known, own = self.pieces(text), self.known, {}
         for piece in set(pieces):
-            if piece not in known:
-                known[piece] = self.encode_piece(piece.encode())
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+            ids = known.get(piece)
+            if ids is None:
+                ids = known.recall(piece) or self.encode_piece(piece.encode())
+                if len(piece) <= PIECE_LENGTH:
+                    known.keep(piece, ids, 220 + len(piece) + 8 * len(ids))
+            own[piece] = ids
+        return list(chain.from_iterable(map(own.__getitem__, pieces)))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))

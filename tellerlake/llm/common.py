@@ -15,7 +15,6 @@ from pyspark.sql import types as T
 from tellerlake.session import scratch
 
 SLICE_BYTES = 1 << 20
-CACHE_ENTRIES = 400_000
 
 #: A-Z to a-z; everything that is neither a letter, a digit nor beyond ASCII to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

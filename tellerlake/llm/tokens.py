@@ -13,38 +13,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellerlake.llm.common import CACHE_ENTRIES, map_texts, segments
+from tellerlake.llm.common import Remembered, map_texts, segments
 
 BATCH_BYTES = 256 << 10
+#: What one worker remembers of segments, and the longest segment that is remembered.
+SEGMENT_BYTES, SEGMENT_LENGTH = 40 << 20, 64
 
 
 class SegmentCounter:
-    """Tokens of ` segment` by segment, remembered up to a bound."""
+    """Tokens of ` segment` by segment, remembered within a bound of bytes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core already
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Remembered(SEGMENT_BYTES)
 
     def encode(self, texts: list[str]) -> list[int]:
         out, batch, held = [], [], 0
         for i, text in enumerate(texts):
             batch.append(text)
-            held += len(text)
+            held += len(text.encode())
             if held >= BATCH_BYTES or i + 1 == len(texts):
                 out += [len(e) for e in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False)]
                 batch, held = [], 0
         return out
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        cut = [segments(t) for t in texts]
+        cut, known, own, new = [segments(t) for t in texts], self.known, {}, []
         heads = self.encode([c[0] for c in cut])
-        new = [s for s in set().union(*(c[1:] for c in cut)) if s not in self.known]
-        self.known.update(zip(new, self.encode([" " + s for s in new]), strict=True))
-        lookup = self.known.__getitem__
+        for segment in set().union(*(c[1:] for c in cut)):
+            n = known.get(segment)
+            if n is None and (n := known.recall(segment)) is None:
+                new.append(segment)
+            else:
+                own[segment] = n
+        own.update(zip(new, self.encode([" " + s for s in new]), strict=True))
+        for segment in new:
+            if len(segment) <= SEGMENT_LENGTH:
+                known.keep(segment, own[segment], 180 + len(segment))
+        lookup = own.__getitem__
         return [h + sum(map(lookup, c[1:])) for h, c in zip(heads, cut, strict=True)]
 
 

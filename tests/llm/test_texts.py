@@ -42,6 +42,24 @@ def test_byte_bpe_equals_the_library(odd):
         assert own.decode(ids) == text.encode()
 
 
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    """A word of 5 MB is not remembered, and many words are forgotten again; the answers stay those of the libraries."""
+    monkeypatch.setattr(bpe, "PIECE_BYTES", 100_000)
+    monkeypatch.setattr(bpe, "PAIR_BYTES", 20_000)
+    monkeypatch.setattr(tokens, "SEGMENT_BYTES", 100_000)
+    rng, counter, own = random.Random(3), tokens.SegmentCounter(JSON), bpe.Codec(RANKS, P.PATTERN)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    theirs, library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(JSON)
+    for _ in range(6):
+        text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 12))) for _ in range(2000))
+        assert own.encode(text) == theirs.encode_ordinary(text)
+        assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False))]
+        assert len(own.known) + len(own.known.old) <= 450 and len(own.fits) + len(own.fits.old) <= 90 and len(counter.known) + len(counter.known.old) <= 560
+    long = "ab" * 2_500_000
+    assert own.decode(own.encode(long)) == long.encode() and counter.count(["x " + long])[0] > 1_000_000
+    assert max(map(len, [*own.known, *own.known.old])) <= 64 and max(map(len, [*counter.known, *counter.known.old])) <= 64
+
+
 def test_byte_bpe_rows(spark, documents):
     docs = documents((1, None), (2, "The thing\n\nthat is"), (2, "The thing\n\nthat is")).withColumnRenamed("lang", "n_tokens")
     rows = bpe.round_trip(docs, RANKS, P.PATTERN).collect()
