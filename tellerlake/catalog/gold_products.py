@@ -39,7 +39,7 @@ def _(b):
 
 @query("j02_latest_rate_per_currency", oracle("daily_exchange_rates products", """
   SELECT product_id, p.currency, CAST(exchange_rate AS DOUBLE) AS exchange_rate FROM products p LEFT JOIN (
-    SELECT source_currency, exchange_rate FROM daily_exchange_rates QUALIFY row_number() OVER (PARTITION BY source_currency ORDER BY date DESC) = 1) r ON r.source_currency = p.currency"""))
+    SELECT source_currency, exchange_rate FROM daily_exchange_rates WHERE target_currency = 'USD' QUALIFY row_number() OVER (PARTITION BY source_currency ORDER BY date DESC) = 1) r ON r.source_currency = p.currency"""))
 def _(b):
     return b.products.select("product_id", "currency").join(gold.latest_rates(b.daily_exchange_rates), "currency", "left").select(
         "product_id", "currency", F.col("exchange_rate").cast("double").alias("exchange_rate"))

@@ -1,5 +1,8 @@
 """Deliveries, versions, publication and streaming jobs run over whole tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tellerlake.catalog.quality_checks import RAW, typed_oracle
@@ -9,8 +12,12 @@ from tellerlake.registry import query
 from tellerlake.session import scratch
 from tellerlake.sources import bronze as B
 from tellerlake.sources import versioned as V
+from tellerlake.sources.bucketed import read_buckets
+from tellerlake.sources.publication import SERVED, publish_set, read_published
 from tellerlake.standin import oracle
+from tellerlake.standin_gold import gold_oracle
 from tellerlake.streaming import live as L
+from tellerlake.streaming.velocity import live_velocity
 
 
 def delivered(b, name, parts=3):
@@ -153,6 +160,32 @@ def _(b):
         F.count(F.lit(1)).alias("n"), F.count_distinct("customer_id").alias("customers"), F.count_distinct("transaction_id").alias("ids"))
 
 
+def served(b):
+    from tellerlake import standin_gold as G
+    calls = b.transcripts.join(b.interactions.select("interaction_id", "customer_id"), "interaction_id").select("customer_id", "transcript_id", "interaction_id", "full_text")
+    tables = {"customer_360": G.customer_360(b), "customers": b.customers, "customer_cases": G.cases(b), "call_transcripts": calls, "customer_products": G.products(b),
+              "interaction_history": G.interactions(b).where("customer_id IS NOT NULL"), "customer_transactions": G.transactions(b)}
+    return {name: (tables[name], keys) for name, keys in SERVED.items()}
+
+
+@query("s12_publish_set", gold_oracle("g_360 g_cases g_products g_interactions g_transactions", """SELECT 1::BIGINT AS edition, table_name, row_count, customers FROM (
+  SELECT 'customer_360' AS table_name, count(*) AS row_count, count(DISTINCT customer_id) AS customers FROM g_360
+  UNION ALL SELECT 'customers', count(*), count(DISTINCT customer_id) FROM customers
+  UNION ALL SELECT 'customer_cases', count(*), count(DISTINCT customer_id) FROM g_cases
+  UNION ALL SELECT 'call_transcripts', count(*), count(DISTINCT customer_id) FROM transcripts JOIN interactions USING (interaction_id)
+  UNION ALL SELECT 'customer_products', count(*), count(DISTINCT customer_id) FROM g_products
+  UNION ALL SELECT 'interaction_history', count(*), count(DISTINCT customer_id) FROM g_interactions WHERE customer_id IS NOT NULL
+  UNION ALL SELECT 'customer_transactions', count(*), count(DISTINCT customer_id) FROM g_transactions)"""))
+def _(b):
+    """All served tables become one edition; a second set with repeated keys is refused, so the first one stays readable."""
+    root, tables = scratch(b.spark, "s12"), served(b)
+    edition, _ = publish_set(tables, root)
+    refused, _ = publish_set({"customers": (b.customers.unionByName(b.customers), ("customer_id",))}, root)
+    parts = [read_published(b.spark, root, name).agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("customer_id").alias("customers")).select(
+        F.lit(edition if refused is None else -1).cast("bigint").alias("edition"), F.lit(name).alias("table_name"), "row_count", "customers") for name in tables]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("s14_publication_freshness", "SELECT count(*) AS n, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1999-01-01') AS updated, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1999-01-01') AS inserted FROM orders")
 def _(b):
     root, early = scratch(b.spark, "s14"), F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz")
@@ -168,11 +201,15 @@ def _(b):
     folder, root = scratch(b.spark, "t02"), scratch(b.spark, "t02")
     raw = b.bronze_transactions
     for n, source in enumerate(("delivery-1.csv", "delivery-0.csv", "delivery-1.csv")):  # corrections first, then originals, then a resend
-        raw.where(F.col("_source_file") == source).coalesce(1).write.parquet(f"{folder}/d{n}")
-    stream = b.spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
-    typed = silver_typed(stream)
-    L.merge_corrections(typed, root, "transactions", ["transaction_id"], ["process_date", "_ingested_at", "_source_file"], f"{root}/checkpoint")
-    return V.read_version(b.spark, root, "transactions").select("transaction_id", "process_date", F.col("amount").cast("double").alias("amount"))
+        raw.where(F.col("_source_file") == source).write.parquet(f"{folder}/d{n}")
+        typed = silver_typed(arriving(b, raw, folder))
+        L.merge_corrections(typed, root, "transactions", ["transaction_id"], ["process_date", "_ingested_at", "_source_file"], f"{root}/checkpoint", buckets=16)
+    return read_buckets(b.spark, root, "transactions").select("transaction_id", "process_date", F.col("amount").cast("double").alias("amount"))
+
+
+def arriving(b, rows, folder):
+    """Each run of a stream over the folder takes what was written since the last one as a batch."""
+    return b.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(folder)
 
 
 def silver_typed(stream):
@@ -204,14 +241,25 @@ def _(b):
     return live_features(b).select("transaction_id", "seconds_since_prev_tx")
 
 
+@query("t04_live_features", oracle("card_events", """
+  SELECT transaction_id, CAST(count(*) OVER h AS DOUBLE) AS customer_tx_count_1h, CAST(count(*) OVER d AS DOUBLE) AS customer_tx_count_24h, CAST(count(*) OVER w AS DOUBLE) AS customer_tx_count_7d,
+    (epoch_us(transaction_date) - epoch_us(max(transaction_date) OVER p)) / CAST(1000000 AS DOUBLE) AS seconds_since_prev_tx, false AS late
+  FROM (SELECT *, coalesce(customer_id, '__missing__' || transaction_id) AS k FROM card_events)
+  WINDOW h AS (PARTITION BY k ORDER BY transaction_date RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING),
+    d AS (PARTITION BY k ORDER BY transaction_date RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING),
+    w AS (PARTITION BY k ORDER BY transaction_date RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING),
+    p AS (PARTITION BY k ORDER BY transaction_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"""))
+def _(b):
+    """All four columns from keyed state, over three deliveries in time order, equal to the batch features."""
+    return live_features(b).drop("_batch")
+
+
 def live_features(b):
     folder, root = scratch(b.spark, "t04"), scratch(b.spark, "t04")
-    rows = b.card_events
+    rows, at = b.card_events, F.col("transaction_date")
     for n, (start, end) in enumerate((("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-03-01"))):
-        at = F.col("transaction_date")
-        rows.where((at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz"))).coalesce(1).write.parquet(f"{folder}/d{n}")
-    stream = b.spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
-    L.live_velocity(stream, root, f"{root}/checkpoint")
+        rows.where((at >= F.lit(start).cast("timestamp_ntz")) & (at < F.lit(end).cast("timestamp_ntz"))).write.parquet(f"{folder}/d{n}")
+        live_velocity(arriving(b, rows, folder), root, f"{root}/checkpoint")
     return b.spark.read.parquet(f"{root}/features")
 
 
@@ -239,9 +287,8 @@ def _(b):
     folder, root = scratch(b.spark, "t06"), scratch(b.spark, "t06")
     raw = b.bronze_transactions
     for n in (0, 1):
-        raw.where(F.col("_source_file") == f"delivery-{n}.csv").coalesce(1).write.parquet(f"{folder}/d{n}")
-    stream = b.spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(folder)
-    L.quality_per_batch(stream, RAW, root, f"{root}/checkpoint")
+        raw.where(F.col("_source_file") == f"delivery-{n}.csv").write.parquet(f"{folder}/d{n}")
+        L.quality_per_batch(arriving(b, raw, folder), RAW, root, f"{root}/checkpoint")
     report = V.read_report(b.spark, root)
 
     def failed(check, column):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -49,12 +50,13 @@ def read_version(spark: SparkSession, root: str, table: str, version: int | None
     return spark.read.parquet(found)
 
 
-def append_report(report: DataFrame, root: str) -> None:
-    report.withColumn("run_at", F.current_timestamp()).write.mode("append").parquet(f"{root}/_dq_report")
+def append_report(report: DataFrame, root: str, run: str | None = None) -> None:
+    """Add the rows of one run; a run of the same name replaces its rows."""
+    report.withColumn("run_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{root}/_dq_report/_run={run or uuid.uuid4().hex}")
 
 
 def read_report(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(f"{root}/_dq_report")
+    return spark.read.option("mergeSchema", "true").parquet(f"{root}/_dq_report").drop("_run")
 
 
 def publish(df: DataFrame, root: str, table: str, keys: Sequence[str]) -> int:

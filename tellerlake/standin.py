@@ -82,10 +82,10 @@ MAPPINGS = {
           {ts} '2002-01-01 00:00:00' + INTERVAL '1' DAY * copy AS _ingested_at
         FROM (SELECT *, 0 AS copy FROM <orders> UNION ALL SELECT *, 1 AS copy FROM <orders> WHERE o_orderkey % 16 = 0) o""",
     "daily_exchange_rates": """
-        SELECT date, source_currency, 'USD' AS target_currency,
+        SELECT date, source_currency, CASE WHEN day(date) % 9 = 0 THEN 'EUR' ELSE 'USD' END AS target_currency,
           CAST(CASE source_currency WHEN 'COP' THEN 0.000250 WHEN 'ARS' THEN 0.001200 ELSE 0.058000 END
             + day(date) * 0.000003 AS DECIMAL(12,6)) AS exchange_rate
-        FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM <orders> WHERE day(o_orderdate) % 9 <> 0) d {currencies}""",
+        FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM <orders>) d {currencies}""",
     "complaints": """
         SELECT 'C' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING)
             || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS STRING) AS complaint_id,
@@ -118,7 +118,7 @@ MAPPINGS = {
           CASE WHEN event_id % 2 = 0 THEN 'CSAT' ELSE 'NPS' END AS survey_type,
           CAST(CASE WHEN event_id % 2 = 0 THEN 1 + event_id % 5 ELSE event_id % 11 END AS INT) AS main_score,
           CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'comentario ' || event_type END AS open_comments
-        FROM <events> WHERE event_id % 3 = 0""",
+        FROM <events>""",
     "transcripts": """
         SELECT 'R' || CAST(doc_id AS STRING) AS transcript_id, 'I' || CAST(doc_id - doc_id % 2 AS STRING) AS interaction_id,
           CAST({ts} '2001-06-01 00:00:00' + INTERVAL '1' DAY * (doc_id % 60) AS DATE) AS process_date,
@@ -174,12 +174,12 @@ MAPPINGS = {
             || '","score_status":"experimental_prediction","score_type":"uncalibrated_model_output","automatic_decisions_enabled":false,"review_required":true,"fraud_prediction":'
             || CASE WHEN conv_id % 2 = 0 THEN 'true' ELSE 'false' END || ',"risk_score":'
             || CASE WHEN conv_id % 13 = 0 THEN '"high"' WHEN conv_id % 17 = 0 THEN '1.7' ELSE '0.' || CAST(length(text) % 10 AS STRING) || '5' END || '{rb}{rb}' AS facts
-        FROM <conversations> WHERE role = 'user' AND (conv_id + turn) % 2 = 0""",
+        FROM <conversations> WHERE role = 'user'""",
     "resolution_events": """
         SELECT conv_id AS chat_id, CASE WHEN length(text) % 3 = 0 THEN 'human' ELSE 'ai' END AS resolved_by,
           length(text) % 4 = 0 AS had_human, CASE conv_id % 4 WHEN 0 THEN 'UC-01' WHEN 1 THEN 'UC-02' WHEN 2 THEN 'UC-03' END AS use_case,
           {ts} '2024-03-01 00:00:00' + INTERVAL '1' HOUR * conv_id + INTERVAL '1' MINUTE * (turn * 20) AS resolved_at
-        FROM <conversations> WHERE role = 'assistant' AND (conv_id + turn) % 3 = 0""",
+        FROM <conversations> WHERE role = 'assistant'""",
     "turn_metrics": """
         SELECT 'm' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS message_id, conv_id AS chat_id,
           CASE WHEN turn % 5 = 4 THEN 'queue' ELSE 'live' END AS source,
@@ -192,9 +192,8 @@ MAPPINGS = {
           CASE WHEN length(text) % 6 = 0 AND turn % 2 = 0 THEN 'get_products' END AS guard_missing_tool,
           CASE WHEN length(text) % 12 = 0 THEN 'retried_ok' ELSE 'safe_reply' END AS guard_action
         FROM <conversations> WHERE role = 'assistant'""",
-    "spoken": """
-        SELECT conv_id, turn, role, CASE WHEN phrase IS NULL THEN text WHEN (conv_id + turn) % 3 = 0 THEN phrase || ' ' || text ELSE phrase END AS text
-        FROM (SELECT *, CASE WHEN role = 'user' THEN CASE (conv_id * 7 + turn * 3) % 32
+    "phrased": """
+        SELECT *, CASE WHEN role = 'user' THEN CASE (conv_id * 7 + turn * 3) % 32
             WHEN 0 THEN 'No reconozco un cargo de 1.234,56 del 15 de junio' WHEN 1 THEN 'Hola' WHEN 2 THEN '¿Cuál es mi saldo disponible?'
             WHEN 3 THEN 'Quiero cancelar mi tarjeta' WHEN 4 THEN 'cancelar' WHEN 5 THEN 'Quiero hablar con un asesor' WHEN 6 THEN 'sí' WHEN 7 THEN 'Sim, confirmo'
             WHEN 8 THEN 'menú' WHEN 9 THEN 'B' WHEN 10 THEN '2' WHEN 11 THEN 'opción 1' WHEN 12 THEN 'não reconheço uma cobrança de R$ 300 de ontem'
@@ -208,7 +207,10 @@ MAPPINGS = {
             WHEN 2 THEN 'Este es el resumen de tu caso.' || chr(10) || '¿Quieres pasar tu reclamo a un asesor?'
             WHEN 3 THEN '¿Qué producto quieres cancelar?' || chr(10) || '' || chr(10) || '- Tarjeta 1234' WHEN 4 THEN '¿Por qué quieres cancelarlo?'
             WHEN 5 THEN '¿Es por este reclamo?' WHEN 6 THEN 'Te comunico con un asesor, que ya tiene los datos de tu caso.'
-            WHEN 7 THEN 'Tu saldo es 1.234,56 USD al 2024-03-05' WHEN 8 THEN '[Asesor] Hola, soy Ana' WHEN 9 THEN 'Registré tu caso.' END END AS phrase FROM <conversations>) c""",
+            WHEN 7 THEN 'Tu saldo es 1.234,56 USD al 2024-03-05' WHEN 8 THEN '[Asesor] Hola, soy Ana' WHEN 9 THEN 'Registré tu caso.' END END AS phrase FROM <conversations>""",
+    "spoken": """
+        SELECT conv_id, turn * 2 + added AS turn, role, CASE WHEN added = 0 THEN text WHEN (conv_id + turn) % 3 = 0 THEN phrase || ' ' || text ELSE phrase END AS text
+        FROM (SELECT *, 0 AS added FROM <phrased> UNION ALL SELECT *, 1 AS added FROM <phrased> WHERE phrase IS NOT NULL) c""",
     "cases": """
         SELECT conv_id, 'case' || CAST(conv_id % 20 AS STRING) AS case_id, CASE conv_id % 3 WHEN 0 THEN 'es' WHEN 1 THEN 'pt' ELSE 'mixed' END AS language,
           CASE conv_id % 4 WHEN 0 THEN 'Basic' WHEN 1 THEN 'Plus' ELSE 'Premium' END AS segment,
@@ -270,7 +272,8 @@ class Bank:
 
 def oracle(tables: str, body: str) -> str:
     """Oracle SQL: the named mappings as CTEs in front of `body` (which may begin with further CTEs)."""
-    ctes = [f"{t} AS ({re.sub(r'<(\w+)>', r'\1', MAPPINGS[t]).format(**DIALECTS['duckdb'])})" for t in tables.split()]
+    wanted = [x for t in tables.split() for x in [*(n for n in re.findall(r"<(\w+)>", MAPPINGS[t]) if n in MAPPINGS), t]]
+    ctes = [f"{t} AS ({re.sub(r'<(\w+)>', r'\1', MAPPINGS[t]).format(**DIALECTS['duckdb'])})" for t in dict.fromkeys(wanted)]
     body = body.strip()
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]

@@ -54,7 +54,7 @@ GOLD = {
         CAST(CASE WHEN p.currency = 'USD' THEN current_balance ELSE round(current_balance * r.exchange_rate, 2) END AS DECIMAL(18,2)) AS current_balance_usd,
         CASE WHEN credit_limit > 0 THEN sign(current_balance) * CAST((CAST(abs(current_balance) * 100 AS BIGINT) * 20000 + CAST(credit_limit * 100 AS BIGINT)) // (2 * CAST(credit_limit * 100 AS BIGINT)) AS DOUBLE) / 10000 END AS credit_utilization,
         coalesce(days_past_due, 0) > 0 AS is_delinquent
-      FROM products p LEFT JOIN (SELECT source_currency, arg_max(exchange_rate, date) AS exchange_rate FROM daily_exchange_rates GROUP BY 1) r ON r.source_currency = p.currency""",
+      FROM products p LEFT JOIN (SELECT source_currency, arg_max(exchange_rate, date) AS exchange_rate FROM daily_exchange_rates WHERE target_currency = 'USD' GROUP BY 1) r ON r.source_currency = p.currency""",
     "g_cases": """SELECT c.*, status IN ('Open', 'In Process', 'Escalated') AS is_open,
         date_diff('day', CAST(creation_date AS DATE), coalesce(CAST(resolution_date AS DATE), as_of)) AS age_days FROM complaints c, as_of""",
     "g_interactions": """SELECT i.*, cu.country, cu.segment, t.transcript_id, t.full_text AS transcript, t.main_topics, t.detected_language, s.csat, s.nps, s.survey_comment

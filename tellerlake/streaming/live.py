@@ -1,4 +1,4 @@
-"""Structured Streaming jobs: corrections, live velocity, windowed activity and per-batch quality."""
+"""Structured Streaming jobs: corrections, windowed activity and per-batch quality."""
 
 from __future__ import annotations
 
@@ -6,13 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellerlake.contract import Table
-from tellerlake.operators.history import timeline, velocity, velocity_features
-from tellerlake.operators.latest import keep_latest
 from tellerlake.operators.quality import count_if, quality_report
-from tellerlake.operators.running import prior_windows
-from tellerlake.sources.versioned import append_report, latest_version, read_version, write_version
-
-LONGEST_DAYS = 7
+from tellerlake.sources.bucketed import BUCKETS, merge_change
+from tellerlake.sources.versioned import append_report
 
 
 def run_once(stream: DataFrame, write, checkpoint: str) -> None:
@@ -20,48 +16,11 @@ def run_once(stream: DataFrame, write, checkpoint: str) -> None:
     stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def merge_corrections(stream: DataFrame, root: str, table: str, keys: list[str], order: list[str], checkpoint: str) -> None:
-    """Keep the newest version of every key: late corrections win, exact resends and repeated batches change nothing."""
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if latest_version(spark, root, table):
-            rows = read_version(spark, root, table).unionByName(batch, allowMissingColumns=True)
-        write_version(keep_latest(rows, keys, order), root, table)
-    run_once(stream, write, checkpoint)
-
-
-def live_velocity(stream: DataFrame, root: str, checkpoint: str, row_id: str = "transaction_id") -> None:
-    """Prior counts for each arriving transaction from the stored last days and its own batch.
-
-    History is kept as one folder per batch and day, so a batch reads only the days its frames reach. The newest time of
-    each customer is kept beside it, a row for each customer merged in every batch, so the time since the previous
-    transaction has no such bound. The rows of a batch are written under its id: a retry replaces them. Equal to the
-    batch features for rows in time order.
-    """
-    def newest_before(spark: SparkSession, batch_id: int) -> DataFrame:
-        schema = "_customer_id string, last long"
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{root}/last/_batch=-1")
-        states = spark.read.schema(f"{schema}, _batch long").parquet(f"{root}/last").where(F.col("_batch") < batch_id)
-        newest = states.agg(F.max("_batch")).first()[0]
-        return states.where(F.col("_batch") == F.lit(-1 if newest is None else newest)).drop("_batch")
-
+def merge_corrections(stream: DataFrame, root: str, table: str, keys: list[str], order: list[str], checkpoint: str, buckets: int = BUCKETS) -> None:
+    """Keep the newest version of every key: late corrections win, exact resends and repeated batches change nothing, and only the buckets of the keys
+    that arrive are written."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        first = batch.agg(F.date_sub(F.to_date(F.min("transaction_date")), LONGEST_DAYS)).first()[0]
-        if first is None:
-            return
-        batch.withColumn("_day", F.to_date("transaction_date")).write.mode("overwrite").partitionBy("_day").parquet(f"{root}/history/_batch={batch_id}")
-        stored = spark.read.parquet(f"{root}/history").where((F.col("_day") >= F.lit(first)) & (F.col("_batch") <= batch_id))
-        facts, probes = timeline(stored.drop("_batch", "_day")), timeline(batch)
-        totals = prior_windows(probes, row_id, "_t", [velocity()], facts=facts)
-        # A transaction before the stored days is known by its customer's newest time alone.
-        before = newest_before(spark, batch_id)
-        previous = F.coalesce("customer_previous", F.when(F.col("last") < F.col("_t"), F.col("last")))
-        out = probes.join(totals, row_id).join(before, "_customer_id", "left").withColumn("customer_previous", previous)
-        out.select(row_id, *[c.alias(n) for n, c in velocity_features().items()]).write.mode("overwrite").parquet(f"{root}/features/_batch={batch_id}")
-        newest = before.unionByName(probes.where("customer_id IS NOT NULL").select("_customer_id", F.col("_t").alias("last")))
-        newest.groupBy("_customer_id").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(f"{root}/last/_batch={batch_id}")
+        merge_change(batch, root, table, keys, order, batch_id, buckets)
     run_once(stream, write, checkpoint)
 
 
@@ -83,9 +42,10 @@ def activity_sessions(events: DataFrame, at: str, gap: str, keys: tuple[str, ...
 
 
 def quality_per_batch(stream: DataFrame, table: Table, root: str, checkpoint: str) -> None:
-    """The contract checks of every micro-batch, appended to the report."""
+    """The contract checks of every micro-batch in the report. A repeated batch replaces its own rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_report(quality_report(batch, table).withColumn("batch_id", F.lit(batch_id).cast("bigint")), root)
+        report = quality_report(batch, table).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        append_report(report, root, f"{table.name}-{checkpoint.rstrip('/').rpartition('/')[2]}-{batch_id}")
     run_once(stream, write, checkpoint)
 
 

@@ -11,8 +11,10 @@ from tellerlake.operators.profile import bounded, evidence_json
 from tellerlake.operators.quality import quality_report
 from tellerlake.plans.pipeline import build_silver, run_silver
 from tellerlake.sources import bronze as B
+from tellerlake.sources import bucketed, publication
 from tellerlake.sources import versioned as V
 from tellerlake.streaming import live as L
+from tellerlake.streaming.velocity import live_velocity, merge_times
 
 TX = Table("transactions", "fact", parse_columns("transaction_id* STRING, process_date! DATE, status! STRING, amount DECIMAL(15,2)"), "process_date")
 
@@ -155,7 +157,107 @@ def test_live_previous_transaction_has_no_bound(spark, tmp_path):
     schema = "transaction_id long, customer_id string, transaction_date timestamp_ntz"
     for n, rows in enumerate(deliveries):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        L.live_velocity(L.replay(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        live_velocity(L.replay(spark, str(tmp_path / "in"), schema), str(tmp_path / "out"), str(tmp_path / "checkpoint"))
     day = 86400.0
     got = {r.transaction_id: (r.seconds_since_prev_tx, r.customer_tx_count_7d) for r in spark.read.parquet(str(tmp_path / "out/features")).collect()}
     assert got == {1: (None, 0), 2: (None, 0), 3: (None, 0), 4: (11 * day, 0), 5: (None, 0), 6: (30 * day, 0), 7: (5 * 3600.0, 1), 8: (33 * day, 0), 9: (None, 0)}
+
+
+VELOCITY = "transaction_id long, customer_id string, transaction_date timestamp_ntz"
+
+
+def arrive(spark, folder, rows, **options):
+    spark.createDataFrame(rows, VELOCITY).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    live_velocity(L.replay(spark, str(folder / "in"), VELOCITY), str(folder / "out"), str(folder / "checkpoint"), **options)
+
+
+def velocities(spark, folder):
+    return {r.transaction_id: (r.customer_tx_count_1h, r.customer_tx_count_24h, r.customer_tx_count_7d, r.seconds_since_prev_tx, r.late) for r in spark.read.parquet(str(folder / "out/features")).collect()}
+
+
+def test_late_rows_find_their_predecessor(spark, tmp_path):
+    """A row that arrives a batch later than newer ones sees what lies before it; one beyond the allowed lateness is marked."""
+    at = lambda h: dt.datetime(2024, 3, 1) + dt.timedelta(hours=h)
+    arrive(spark, tmp_path, [(1, "a", at(0)), (2, "a", at(10)), (3, "b", at(1))], lateness=24 * 3_600_000_000)
+    arrive(spark, tmp_path, [(4, "a", at(5)), (5, "a", at(10)), (6, "b", at(0))], lateness=24 * 3_600_000_000)
+    arrive(spark, tmp_path, [(7, "a", at(24 * 40))], lateness=24 * 3_600_000_000)
+    arrive(spark, tmp_path, [(8, "a", at(24 * 39)), (9, "a", at(24 * 2))], lateness=24 * 3_600_000_000)
+    got = velocities(spark, tmp_path)
+    assert got[4] == (0, 1, 1, 5 * 3600.0, False) and got[5] == (0, 2, 2, 5 * 3600.0, False) and got[6] == (0, 0, 0, None, False)
+    assert got[7] == (0, 0, 0, (24 * 40 - 10) * 3600.0, False)
+    assert got[8][:4] == (0, 0, 0, (24 * 39 - 48) * 3600.0) and not got[8][4] and got[9][4]
+
+
+def test_idle_state_expires_and_the_newest_time_stays(spark, tmp_path):
+    import time
+
+    at = lambda h: dt.datetime(2024, 3, 1) + dt.timedelta(hours=h)
+    arrive(spark, tmp_path, [(1, "a", at(0)), (2, "a", at(1))], idle_ms=500)
+    time.sleep(2)
+    arrive(spark, tmp_path, [(3, "a", at(2)), (4, "a", at(0.5))], idle_ms=500)
+    got = velocities(spark, tmp_path)
+    assert got[3][3:] == (3600.0, True) and got[4][4]
+
+
+def test_merged_times_equal_brute_force():
+    import random
+
+    import numpy as np
+
+    r, times, before, seen = random.Random(4), np.empty(0, np.int64), None, []
+    hour = 3_600_000_000
+    for _ in range(30):
+        arrived = np.array([r.randrange(0, 60 * 24) * hour // 2 for _ in range(r.randint(1, 6))], np.int64)
+        seen += arrived.tolist()
+        times, before, found = merge_times(times, before, arrived, 10_000 * hour)
+        for i, t in enumerate(arrived.tolist()):
+            past = [x for x in seen if x < t]
+            assert found["24h"][i] == sum(x >= t - 24 * hour for x in past) and found["previous"][i] == max(past, default=np.iinfo(np.int64).min)
+
+
+def bucket_files(root):
+    return {str(p): p.stat().st_mtime_ns for p in root.rglob("change=*/**/*.parquet")}
+
+
+def test_a_correction_writes_only_its_buckets(spark, tmp_path):
+    root, schema = str(tmp_path / "t"), "id long, day int, v string"
+    rows = spark.createDataFrame([(i, 1, "old") for i in range(200)], schema)
+    assert bucketed.merge_change(rows, root, "tx", ["id"], ["day"], 0, buckets=8) == list(range(8))
+    before = bucket_files(tmp_path)
+    late = spark.createDataFrame([(5, 2, "new"), (5, 0, "older"), (None, 9, "no key")], schema)
+    touched = bucketed.merge_change(late, root, "tx", ["id"], ["day"], 1, buckets=8)
+    assert len(touched) == 1 and before.items() <= bucket_files(tmp_path).items()
+    paths = bucketed.bucket_paths(spark, root, "tx")
+    assert sum("change=0000000001" in p for p in paths.values()) == 1 and len(paths) == 8
+    got = {r["id"]: r["v"] for r in bucketed.read_buckets(spark, root, "tx").collect()}
+    assert got == {i: "new" if i == 5 else "old" for i in range(200)}
+    assert bucketed.merge_change(late, root, "tx", ["id"], ["day"], 1, buckets=8) == touched  # a retry
+    assert bucketed.read_buckets(spark, root, "tx").count() == 200
+    assert bucketed.merge_change(late.limit(0), root, "tx", ["id"], ["day"], 2, buckets=8) == []
+    with pytest.raises(ValueError):
+        bucketed.read_buckets(spark, root, "other")
+
+
+def test_an_edition_is_published_whole_or_not_at_all(spark, tmp_path):
+    root = str(tmp_path / "serving")
+    make = lambda *rows: spark.createDataFrame(rows, "customer_id string, product_id string, v int")
+    keys = ("customer_id", "product_id")
+    good = {"a": (make(("1", "x", 1), ("1", "y", 1)), keys), "b": (make(("1", "x", 1)), ("customer_id",))}
+    assert publication.publish_set(good, root)[0] == 1
+    for broken in (make(("1", "x", 2), ("1", "x", 3)), make(("1", None, 2))):
+        edition, report = publication.publish_set({**good, "a": (broken, keys)}, root)
+        assert edition is None and {r["table_name"]: r["accepted"] for r in report.collect()} == {"a": False, "b": True}
+        assert publication.read_published(spark, root, "a").count() == 2
+    assert publication.publish_set({**good, "a": (make(("1", "x", 4)), keys)}, root)[0] == 2
+    assert [r["v"] for r in publication.read_published(spark, root, "a").collect()] == [4]
+    assert publication.read_published(spark, root, "a", edition=1).count() == 2
+    with pytest.raises(ValueError):
+        publication.read_published(spark, root, "c")
+
+
+def test_a_repeated_batch_replaces_its_report(spark, tmp_path):
+    report = spark.createDataFrame([(1, "x")], "batch_id long, check_name string")
+    for _ in range(2):
+        V.append_report(report, str(tmp_path), "stream-1")
+    V.append_report(report, str(tmp_path))
+    assert V.read_report(spark, str(tmp_path)).count() == 2
