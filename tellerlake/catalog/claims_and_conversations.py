@@ -233,9 +233,15 @@ def savings(b):
     return savings_history(own, movements, NOW)
 
 
-@query("c16_savings_history", oracle("products transactions", f"WITH {SAVINGS} SELECT currency, count(*) AS series, CAST(sum(cur) AS DOUBLE) AS current_total FROM ok GROUP BY 1"))
+@query("c16_savings_history", oracle("products transactions", f"""WITH {SAVINGS}, months AS (SELECT CAST(m AS DATE) AS m FROM generate_series(TIMESTAMP '2000-08-01', TIMESTAMP '2001-07-01', INTERVAL 1 MONTH) g(m)),
+  monthly AS (SELECT customer_id, currency, date_trunc('month', t) AS m, sum(s) AS s FROM mv GROUP BY ALL),
+  series AS (SELECT ok.customer_id, currency, months.m, cur - coalesce((SELECT sum(s) FROM monthly x WHERE x.customer_id = ok.customer_id AND x.currency = ok.currency AND x.m > months.m), 0) AS balance FROM ok, months)
+  SELECT currency, strftime(m, '%Y-%m') AS month, count(*) AS series, CAST(sum(balance) AS DOUBLE) AS total, CAST(min(balance) AS DOUBLE) AS lowest, CAST(max(balance) AS DOUBLE) AS highest FROM series GROUP BY ALL"""))
 def _(b):
-    return savings(b).where("month = '2001-07'").groupBy("currency").agg(F.count(F.lit(1)).alias("series"), F.sum(F.col("balance").cast("decimal(18,2)")).cast("double").alias("current_total"))
+    """The whole twelve months per currency."""
+    balance = F.col("balance").cast("decimal(18,2)")
+    return savings(b).groupBy("currency", "month").agg(F.count(F.lit(1)).alias("series"), F.sum(balance).cast("double").alias("total"),
+                                                       F.min(balance).cast("double").alias("lowest"), F.max(balance).cast("double").alias("highest"))
 
 
 # ---- samples

@@ -180,20 +180,28 @@ def _(b):
         "type": F.col("transaction_type"), "merchant_category": F.col("merchant_category")}, "is_fraud")
 
 
-@query("a15_melted_profile", oracle("transactions", """
-  SELECT year, feature, bucket, count(*) AS n FROM (SELECT year(transaction_date) AS year, unnest(['currency', 'channel', 'transaction_type', 'merchant_category', 'hour']) AS feature,
-    unnest([currency, channel, transaction_type, merchant_category, CAST(hour(transaction_date) AS VARCHAR)]) AS bucket FROM transactions) GROUP BY ALL"""))
+PROFILED = {"currency": "currency", "channel": "channel", "transaction_type": "transaction_type", "merchant_category": "merchant_category", "transaction_country": "transaction_country",
+            "transaction_category": "transaction_category", "transaction_status": "transaction_status", "hour": "CAST(hour(transaction_date) AS VARCHAR)",
+            "weekday": "CAST(isodow(transaction_date) - 1 AS VARCHAR)"}
+
+
+@query("a15_melted_profile", oracle("transactions", f"""
+  SELECT year, feature, bucket, count(*) AS n FROM (SELECT year(transaction_date) AS year, unnest({list(PROFILED)}) AS feature, unnest([{', '.join(PROFILED.values())}]) AS bucket FROM transactions) GROUP BY ALL"""))
 def _(b):
-    df = b.transactions.select(F.year("transaction_date").alias("year"), "currency", "channel", "transaction_type", "merchant_category", F.hour("transaction_date").alias("hour"))
-    return P.melted_profile(df, ["currency", "channel", "transaction_type", "merchant_category", "hour"], "year")
+    df = b.transactions.withColumn("year", F.year("transaction_date")).withColumn("hour", F.hour("transaction_date")).withColumn("weekday", F.weekday("transaction_date"))
+    return P.melted_profile(df, list(PROFILED), "year")
+
+
+COUNTED = ("transaction_id", "customer_id", "product_id", "transaction_date", "process_date", "transaction_type", "transaction_category", "amount", "currency", "amount_usd", "channel",
+           "merchant_name", "merchant_category", "transaction_country", "transaction_status", "is_fraud", "fraud_score", "latitude", "longitude")
 
 
 @query("a16_missingness", oracle("transactions", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) FILTER (WHERE trim({c}) = '') AS blanks, count(*) AS total, "
-    f"round((count(*) - count({c}) + count(*) FILTER (WHERE trim({c}) = '')) * 100.0 / count(*), 3) AS missing_pct FROM transactions"
-    for c in ("transaction_category", "merchant_name", "transaction_country", "currency"))))
+    f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR)) = '') AS blanks, count(*) AS total, "
+    f"round((count(*) - count({c}) + count(*) FILTER (WHERE trim(CAST({c} AS VARCHAR)) = '')) * 100.0 / count(*), 3) AS missing_pct FROM transactions" for c in COUNTED)))
 def _(b):
-    return P.missingness(b.transactions, ["transaction_category", "merchant_name", "transaction_country", "currency"])
+    """Every column of the table."""
+    return P.missingness(b.transactions, b.transactions.columns)
 
 
 @query("a17_score_bands", oracle("transactions", """

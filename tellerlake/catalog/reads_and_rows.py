@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tellerlake import standin_gold as G
+from tellerlake.catalog.text_rules import sensitive
 from tellerlake.functions import money
 from tellerlake.functions.calendar import before, is_weekend, weekday
 from tellerlake.operators import history as H
@@ -170,10 +171,10 @@ def _(b):
 RECENT = "r AS (SELECT customer_id, interaction_id, interaction_date, channel FROM interactions QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY interaction_date DESC, interaction_id) <= 10)"
 
 
-@query("f32_customer_context", oracle("interactions transcripts", f"""WITH {RECENT} SELECT r.customer_id, r.interaction_id, t.transcript_id, length(t.full_text) > 0 AS has_text FROM r LEFT JOIN transcripts t USING (interaction_id)"""))
+@query("f32_customer_context", oracle("interactions transcripts", f"""WITH {RECENT} SELECT r.customer_id, r.interaction_id, t.transcript_id, length(t.full_text) > 0 AS has_text, md5({sensitive('t.full_text')}) AS masked_md5 FROM r LEFT JOIN transcripts t USING (interaction_id)"""))
 def _(b):
     rows = R.recent_context(b.interactions, b.transcripts.select("interaction_id", "transcript_id", "full_text"))
-    return rows.select("customer_id", "interaction_id", "transcript_id", (F.length("full_text") > 0).alias("has_text"))
+    return rows.select("customer_id", "interaction_id", "transcript_id", (F.length("full_text") > 0).alias("has_text"), F.md5("full_text").alias("masked_md5"))
 
 
 @query("x01_table_functions", gold_oracle("g_products g_cases", f"""
