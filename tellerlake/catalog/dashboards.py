@@ -37,7 +37,7 @@ ALL_GOLD = "g_360"
 
 def ranked(b):
     core = G.customer_core(b)
-    return retention.banded(retention.eligible(core, G.transactions(b), G.interactions(b), G.cases(b))), core
+    return retention.banded(retention.eligible(core, b.transactions, G.contacts(b), G.cases(b))), core
 
 
 def ranked_oracle(body):

@@ -96,12 +96,12 @@ DAILY = f"""SELECT CAST(interaction_date AS DATE) AS day, country, segment, chan
 
 @query("c06_contact_reason_daily", gold_oracle("g_interactions", DAILY))
 def _(b):
-    return doubles(gold.contact_reason_daily(G.interactions(b)), "fcr_rate", "fcr_known_rate", "escalation_rate", "avg_sentiment")
+    return doubles(gold.contact_reason_daily(G.placed(b)), "fcr_rate", "fcr_known_rate", "escalation_rate", "avg_sentiment")
 
 
 @query("a02_group_by_all", gold_oracle("g_interactions", "SELECT CAST(interaction_date AS DATE) AS day, country, channel, count(*) AS interactions FROM g_interactions GROUP BY ALL"))
 def _(b):
-    return G.interactions(b).groupBy(F.to_date("interaction_date").alias("day"), "country", "channel").agg(F.count(F.lit(1)).alias("interactions"))
+    return G.placed(b).groupBy(F.to_date("interaction_date").alias("day"), "country", "channel").agg(F.count(F.lit(1)).alias("interactions"))
 
 
 @query("a03_rates_null_is_false", oracle("interactions", f"SELECT channel, {RATE.format('was_resolved')} AS fcr_rate, {RATE.format('was_escalated')} AS escalation_rate FROM interactions GROUP BY 1"))

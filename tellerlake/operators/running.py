@@ -39,6 +39,16 @@ def attach_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
     return df.withColumn("_one_row", F.lit(1)).join(F.broadcast(one.withColumn("_one_row", F.lit(1))), "_one_row").drop("_one_row")
 
 
+def settled(one: DataFrame) -> DataFrame:
+    """A one-row frame as a constant: whatever uses it several times does not compute it again."""
+    return one.sparkSession.createDataFrame(one.limit(1).collect(), one.schema)
+
+
+def sized(side: DataFrame, rows: int) -> DataFrame:
+    """A side for a join: broadcast if it was counted to hold no more than `rows` rows, else as it is, for Spark to shuffle."""
+    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
+
 def key_text(keys: Sequence[Column]) -> Column:
     """One text for several keys; nulls are equal to each other and to nothing else."""
     texts = [c.cast("string") for c in keys]

@@ -9,10 +9,12 @@ from tellerlake.functions.calendar import age_years
 from tellerlake.functions.money import is_credit, is_delinquent, usd_backfill, utilisation
 from tellerlake.operators.latest import keep_latest
 from tellerlake.operators.quality import count_if
-from tellerlake.operators.running import attach_one_row
+from tellerlake.operators.running import attach_one_row, sized
 
 OPEN_STATUSES = ("Open", "In Process", "Escalated")
 NINETY_DAYS = 90
+#: Up to so many rates (three narrow columns) are broadcast, by count.
+RATES = 500_000
 
 
 def last4(c: str) -> Column:
@@ -24,17 +26,25 @@ def as_of_date(transactions: DataFrame) -> DataFrame:
     return transactions.agg(F.to_date(F.max("transaction_date")).alias("as_of"))
 
 
-def customer_transactions(transactions: DataFrame, products: DataFrame, rates: DataFrame, rate_lag_days: int = 0) -> DataFrame:
-    """Transactions with product type and a USD amount; the closing rate of the day, or `rate_lag_days` earlier."""
+def usd_transactions(transactions: DataFrame, rates: DataFrame, rate_lag_days: int = 0) -> DataFrame:
+    """Transactions with a USD amount; the closing rate of the day, or `rate_lag_days` earlier."""
     usd = rates.where(F.col("target_currency") == "USD").select(
         F.date_add("date", rate_lag_days).alias("_rate_day"), F.col("source_currency").alias("currency"), "exchange_rate")
-    types = products.select("product_id", "product_type")
     tx = transactions.withColumn("_rate_day", F.to_date("transaction_date"))
-    joined = tx.join(types, "product_id", "left").join(usd, ["_rate_day", "currency"], "left")
+    joined = tx.join(sized(usd, RATES), ["_rate_day", "currency"], "left")
     return joined.withColumn("amount_usd_is_derived", F.col("amount_usd").isNull()).withColumn(
         "amount_usd", usd_backfill(F.col("amount"), F.col("currency"), F.col("amount_usd"), F.col("exchange_rate"))).drop("_rate_day", "exchange_rate")
 
 
+def customer_transactions(transactions: DataFrame, products: DataFrame, rates: DataFrame, rate_lag_days: int = 0) -> DataFrame:
+    """Transactions with product type and a USD amount."""
+    return usd_transactions(transactions, rates, rate_lag_days).join(products.select("product_id", "product_type"), "product_id", "left")
+
+
+def active_products(products: DataFrame) -> DataFrame:
+    return products.groupBy("customer_id").agg(count_if(F.col("product_status") == "Active").alias("products_active"))
+
+
 def latest_rates(rates: DataFrame) -> DataFrame:
     usd = rates.where(F.col("target_currency") == "USD").select("source_currency", "date", "exchange_rate")
     return keep_latest(usd, ["source_currency"], ["date"]).select(F.col("source_currency").alias("currency"), "exchange_rate")
@@ -42,7 +52,7 @@ def latest_rates(rates: DataFrame) -> DataFrame:
 
 def customer_products(products: DataFrame, rates: DataFrame) -> DataFrame:
     usd = F.when(F.col("currency") == "USD", F.col("current_balance")).otherwise(F.round(F.col("current_balance") * F.col("exchange_rate"), 2))
-    return (products.join(latest_rates(rates), "currency", "left")
+    return (products.join(sized(latest_rates(rates), RATES), "currency", "left")
             .withColumn("is_credit_product", is_credit(F.col("product_type")))
             .withColumn("product_number_last4", last4("product_number"))
             .withColumn("current_balance_usd", usd.cast("decimal(18,2)"))
@@ -67,16 +77,26 @@ def survey_pivot(surveys: DataFrame) -> DataFrame:
 
 
 def latest_transcripts(transcripts: DataFrame) -> DataFrame:
-    """Id of the newest transcript per interaction; only keys are compared and moved."""
-    return transcripts.groupBy("interaction_id").agg(F.max_by("transcript_id", F.struct("process_date", "transcript_id")).alias("transcript_id"))
+    """The newest transcript of each interaction. Only keys are compared; a text meets its interaction after that, so no row without one is moved for it."""
+    known = transcripts.where("interaction_id IS NOT NULL")
+    newest = known.groupBy("interaction_id").agg(F.max_by("transcript_id", F.struct("process_date", "transcript_id")).alias("transcript_id"))
+    text = known.select("transcript_id", F.col("full_text").alias("transcript"), "main_topics", "detected_language")
+    return newest.join(text, "transcript_id").select("interaction_id", "transcript_id", "transcript", "main_topics", "detected_language")
+
+
+def scored_interactions(interactions: DataFrame, surveys: DataFrame) -> DataFrame:
+    """Interactions with their survey scores: all that totals by customer need."""
+    return interactions.join(survey_pivot(surveys), "interaction_id", "left")
+
+
+def placed_interactions(interactions: DataFrame, customers: DataFrame, surveys: DataFrame) -> DataFrame:
+    """Scored interactions with the customer's country and segment."""
+    return scored_interactions(interactions, surveys).join(customers.select("customer_id", "country", "segment"), "customer_id", "left")
 
 
 def interaction_history(interactions: DataFrame, customers: DataFrame, transcripts: DataFrame, surveys: DataFrame) -> DataFrame:
-    """Interactions with customer, newest transcript and survey scores; each transcript text is moved once."""
-    who = customers.select("customer_id", "country", "segment")
-    text = transcripts.select("transcript_id", F.col("full_text").alias("transcript"), "main_topics", "detected_language")
-    return (interactions.join(who, "customer_id", "left").join(survey_pivot(surveys), "interaction_id", "left")
-            .join(latest_transcripts(transcripts), "interaction_id", "left").join(text, "transcript_id", "left"))
+    """Interactions with customer, newest transcript and survey scores."""
+    return placed_interactions(interactions, customers, surveys).join(latest_transcripts(transcripts), "interaction_id", "left")
 
 
 def product_totals(products: DataFrame) -> DataFrame:

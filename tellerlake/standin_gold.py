@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tellerlake.operators.running import attach_one_row
+from tellerlake.operators.running import attach_one_row, settled
 from tellerlake.plans import gold
 from tellerlake.standin import Bank
 
 
 def as_of(b: Bank) -> DataFrame:
-    return gold.as_of_date(b.transactions)
+    """The anchor day, computed once per query."""
+    if "_as_of" not in vars(b):
+        b._as_of = settled(gold.as_of_date(b.transactions))
+    return b._as_of
 
 
 def transactions(b: Bank) -> DataFrame:
@@ -30,13 +33,22 @@ def interactions(b: Bank) -> DataFrame:
     return gold.interaction_history(b.interactions, b.customers, b.transcripts, b.surveys)
 
 
+def contacts(b: Bank) -> DataFrame:
+    """Interactions with survey scores, for totals that read neither transcripts nor the customer's place."""
+    return gold.scored_interactions(b.interactions, b.surveys)
+
+
+def placed(b: Bank) -> DataFrame:
+    return gold.placed_interactions(b.interactions, b.customers, b.surveys)
+
+
 def customer_360(b: Bank) -> DataFrame:
-    return gold.customer_360(b.customers, products(b), transactions(b), cases(b), interactions(b), as_of(b))
+    return gold.customer_360(b.customers, products(b), gold.usd_transactions(b.transactions, b.daily_exchange_rates), cases(b), contacts(b), as_of(b))
 
 
 def customer_core(b: Bank) -> DataFrame:
     """The columns of the customer 360 that retention reads, without the joins it does not."""
-    active = gold.product_totals(products(b)).select("customer_id", "products_active")
+    active = gold.active_products(b.products)
     core = attach_one_row(b.customers, as_of(b).withColumnRenamed("as_of", "as_of_date")).join(active, "customer_id", "left")
     return core.withColumn("products_active", F.coalesce("products_active", F.lit(0)))
 
