@@ -6,7 +6,7 @@ from tellerlake.contract import Table, foreign_keys, parse_columns
 from tellerlake.functions.typing import apply_contract, blank_to_null, lenient_boolean, lenient_int, normalise_alias
 from tellerlake.operators.latest import keep_latest
 from tellerlake.operators.quality import (
-    blocking, column_set_difference, count_if, join_grain, key_uniqueness, orphan_report, orphan_rows, quality_report, table_stats,
+    blocking, column_set_difference, count_if, join_grain, key_uniqueness, orphan_report, orphan_rows, quality_report,
 )
 from tellerlake.operators.running import attach_one_row
 from tellerlake.registry import query
@@ -105,7 +105,8 @@ def _(b):
 
 @query("q05_null_keys", typed_oracle("SELECT count(*) - count(transaction_id) AS null_pk, count(*) AS total FROM typed"))
 def _(b):
-    return table_stats(b.bronze_transactions, RAW).select("null_pk", "total")
+    report = quality_report(b.bronze_transactions, RAW).where("check_name = 'null_primary_key'")
+    return report.select(F.col("failed_rows").alias("null_pk"), F.col("total_rows").alias("total"))
 
 
 @query("q06_duplicate_keys", typed_oracle(

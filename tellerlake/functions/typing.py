@@ -52,5 +52,5 @@ def apply_contract(raw: DataFrame, table: Table, keep_raw: bool = False) -> Data
     return raw.select(
         *[typed(source(c.name), c.type, VALUE_ALIASES.get(c.name)).alias(c.name) for c in table.columns],
         *[F.col(f"`{c}`") for c in raw.columns if c not in table.names],
-        *([source(c.name).alias(f"__raw_{c.name}") for c in table.columns] if keep_raw else []),
+        *([source(c.name).alias(f"{c.name}__text") for c in table.columns] if keep_raw else []),
     )

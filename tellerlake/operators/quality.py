@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tellerlake.contract import MAX_CAST_FAILURE_PCT, MAX_DUPLICATE_PK_PCT, VALUE_ALIASES, Table
+from tellerlake.contract import Column as ContractColumn
 from tellerlake.functions.typing import apply_contract
 from tellerlake.operators.running import attach_one_row
 
-REPORT = ("table_name", "check_name", "column_name", "failed_rows", "total_rows", "detail", "severity")
+Grade = Callable[[Column, Column], Column]
 
 
 def failed_pct(failed: Column, total: Column) -> Column:
@@ -23,73 +25,85 @@ def count_if(c: Column) -> Column:
     return F.count(F.when(c, 1))
 
 
-def table_stats(raw: DataFrame, table: Table) -> DataFrame:
-    """One row: total, cast__c, null__c, alias__c, null_pk, distinct_pk.
+def always(level: str) -> Grade:
+    return lambda failed, total: F.lit(level)
 
-    The wide counts need no shuffle; distinct keys are counted apart so that only key columns are shuffled.
-    """
-    typed = apply_contract(raw, table, keep_raw=True)
-    aggs = [F.count(F.lit(1)).alias("total")]
-    for c in table.columns:
-        text = F.trim(F.col(f"__raw_{c.name}"))
-        aggs.append(count_if(text.isNotNull() & (text != "") & F.col(c.name).isNull()).alias(f"cast__{c.name}"))
-        if c.not_null:
-            aggs.append(count_if(F.col(c.name).isNull()).alias(f"null__{c.name}"))
-        if c.name in VALUE_ALIASES:
-            aggs.append(count_if(text.isin(*VALUE_ALIASES[c.name])).alias(f"alias__{c.name}"))
-    key_present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in table.pk])
-    aggs.append(count_if(~key_present).alias("null_pk"))
+
+def if_any(level: str) -> Grade:
+    return lambda failed, total: F.when(failed > 0, level).otherwise("info")
+
+
+def beyond(percent: float, level: str, else_level: str) -> Grade:
+    return lambda failed, total: F.when(failed * 100.0 > total * percent, level).otherwise(else_level)
+
+
+@dataclass(frozen=True)
+class Rule:
+    """One line of the report. `failing` is an aggregate over the typed rows, or a constant; `listed_if_found` leaves the line out when nothing fails."""
+
+    check: str
+    column: str
+    failing: Column
+    grade: Grade
+    remark: Column | None = None
+    listed_if_found: bool = False
+
+    def line(self, table: str, failed: Column, total: Column) -> Column:
+        remark = F.lit(None) if self.remark is None else self.remark
+        entry = F.struct(F.lit(table).alias("table_name"), F.lit(self.check).alias("check_name"), F.lit(self.column).alias("column_name"), failed.cast("bigint").alias("failed_rows"),
+                         total.cast("bigint").alias("total_rows"), remark.cast("string").alias("detail"), self.grade(failed, total).alias("severity"))
+        return F.when(failed > 0, entry) if self.listed_if_found else entry
+
+
+def key_missing(table: Table) -> Column:
+    return reduce(lambda a, b: a | b, [F.col(k).isNull() for k in table.pk])
+
+
+def column_rules(c: ContractColumn) -> Iterator[Rule]:
+    """What the rows say about one contract column."""
+    given = F.trim(F.col(f"{c.name}__text"))
+    if c.not_null:
+        yield Rule("not_null_violation", c.name, count_if(F.col(c.name).isNull()), if_any("warning"))
+    yield Rule("cast_failure", c.name, count_if((F.coalesce(given, F.lit("")) != "") & F.col(c.name).isNull()), beyond(MAX_CAST_FAILURE_PCT, "critical", "warning"),
+               F.lit(f"text that is no {c.type}"), listed_if_found=True)
+    if c.name in VALUE_ALIASES:
+        yield Rule("normalized_value", c.name, count_if(given.isin(*VALUE_ALIASES[c.name])), always("info"), listed_if_found=True)
+
+
+def shape_rules(given: Sequence[str], table: Table) -> Iterator[Rule]:
+    """What the delivered columns say: those the contract lacks, and those it misses (every row then lacks the value)."""
+    own = set(table.names)
+    for name in (n for n in given if n not in own and not n.startswith("_")):
+        yield Rule("unexpected_column", name, F.lit(0), always("warning"), F.lit("not agreed on; carried along as text"))
+    for c in (c for c in table.columns if c.name not in given):
+        yield Rule("missing_column", c.name, F.count(F.lit(1)), always("critical" if c.not_null else "warning"), F.lit("not delivered; empty in every row"))
+
+
+def table_rules(table: Table) -> Iterator[Rule]:
+    """What the rows say about the table as a whole. `repeated` is joined to the measures: keys need an aggregate of their own."""
+    key = ",".join(table.pk)
+    yield Rule("empty_table", key, F.when(F.count(F.lit(1)) == 0, 1).otherwise(0), always("critical"), listed_if_found=True)
+    yield Rule("null_primary_key", key, count_if(key_missing(table)), if_any("critical"))
+    yield Rule("duplicate_primary_key", key, F.col("repeated"), beyond(MAX_DUPLICATE_PK_PCT, "warning", "info"), F.lit("only the newest row of a key stays"))
     if "process_date" in table.names:
-        aggs.append(F.max("process_date").alias("max_process_date"))
-    distinct = typed.where(key_present).groupBy(*table.pk).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("distinct_pk"))
-    return attach_one_row(typed.agg(*aggs), distinct)
+        yield Rule("freshness", "process_date", F.lit(0), always("info"), F.concat(F.lit("newest: "), F.col("newest").cast("string")))
 
 
-def _check(table: Table, check: str, column: str, failed: Column, severity: Column, detail: Column | None = None) -> Column:
-    total = F.col("total")
-    values = [F.lit(table.name), F.lit(check), F.lit(column), failed.cast("bigint"), total.cast("bigint"),
-              (F.lit(None) if detail is None else detail).cast("string"), severity]
-    return F.struct(*[v.alias(n) for v, n in zip(values, REPORT)])
+def repeated_keys(typed: DataFrame, table: Table) -> DataFrame:
+    """One row: rows beyond the first of each complete key. Only keys are shuffled, combined before."""
+    per_key = typed.where(~key_missing(table)).groupBy(*table.pk).agg(F.count(F.lit(1)).alias("_n"))
+    return per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("repeated"))
 
 
 def quality_report(raw: DataFrame, table: Table) -> DataFrame:
-    """The checks of one bronze table, one row each, from one aggregate."""
-    missing = [c for c in table.columns if c.name not in raw.columns]
-    extra = [c for c in raw.columns if c not in table.names and not c.startswith("_")]
-    total = F.col("total")
-
-    def level(bad: Column, name: str, otherwise: str = "info") -> Column:
-        return F.when(bad, name).otherwise(otherwise)
-
-    def over(part: Column, limit: float) -> Column:
-        return part * 100.0 > total * limit
-
-    checks = []
-    for c in table.columns:
-        casts = F.col(f"cast__{c.name}")
-        checks.append(F.when(casts > 0, _check(table, "cast_failure", c.name, casts, level(over(casts, MAX_CAST_FAILURE_PCT), "critical", "warning"),
-                                               F.lit(f"not parseable as {c.type}"))))
-        if c.not_null:
-            nulls = F.col(f"null__{c.name}")
-            checks.append(_check(table, "not_null_violation", c.name, nulls, level(nulls > 0, "warning")))
-        if c.name in VALUE_ALIASES:
-            aliased = F.col(f"alias__{c.name}")
-            checks.append(F.when(aliased > 0, _check(table, "normalized_value", c.name, aliased, F.lit("info"))))
-    for c in missing:
-        checks.append(_check(table, "missing_column", c.name, total, F.lit("critical" if c.not_null else "warning"),
-                             F.lit("column absent in source; filled with NULL")))
-    for name in extra:
-        checks.append(_check(table, "unexpected_column", name, F.lit(0), F.lit("warning"), F.lit("column not in contract; kept as STRING")))
-    pk, null_pk = ",".join(table.pk), F.col("null_pk")
-    dups = total - null_pk - F.col("distinct_pk")
-    checks.append(_check(table, "null_primary_key", pk, null_pk, level(null_pk > 0, "critical")))
-    checks.append(_check(table, "duplicate_primary_key", pk, dups, level(over(dups, MAX_DUPLICATE_PK_PCT), "warning"),
-                         F.lit("removed, latest version kept")))
-    checks.append(F.when(total == 0, _check(table, "empty_table", pk, total, F.lit("critical"))))
-    if "process_date" in table.names:
-        checks.append(_check(table, "freshness", "process_date", F.lit(0), F.lit("info"),
-                             F.concat(F.lit("max process_date = "), F.col("max_process_date").cast("string"))))
-    report = table_stats(raw, table).select(F.explode(F.array_compact(F.array(*checks))).alias("c")).select("c.*")
+    """The checks of one bronze table, one row each: one aggregate without a shuffle measures all rules, and one more the repeated keys."""
+    typed = apply_contract(raw, table, keep_raw=True)
+    rules = [*table_rules(table), *shape_rules(raw.columns, table), *(r for c in table.columns for r in column_rules(c))]
+    newest = F.max("process_date") if "process_date" in table.names else F.lit(None)
+    counted = [(i, r) for i, r in enumerate(rules) if r.check != "duplicate_primary_key"]
+    measures = attach_one_row(typed.agg(F.count(F.lit(1)).alias("total"), newest.alias("newest"), *[r.failing.alias(f"m{i}") for i, r in counted]), repeated_keys(typed, table))
+    lines = [r.line(table.name, F.col("repeated" if r.check == "duplicate_primary_key" else f"m{i}"), F.col("total")) for i, r in enumerate(rules)]
+    report = measures.select(F.explode(F.array_compact(F.array(*lines))).alias("line")).select("line.*")
     return report.withColumn("failed_pct", failed_pct(F.col("failed_rows"), F.col("total_rows")))
 
 
