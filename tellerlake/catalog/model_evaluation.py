@@ -248,6 +248,16 @@ def _(b):
     return rows.agg(F.count(F.lit(1)).alias("periods"), F.bool_and("both_classes").alias("ready"))
 
 
+DATED = ("fit", "selection", "operating_point", "exploratory_validation")
+
+
+@query("m27_gated_split", oracle("transactions", f"WITH p AS (SELECT *, {PERIOD} AS period FROM transactions) {SPLIT}"))
+def _(b):
+    """The split passes the gate: every period is there and holds both classes."""
+    rows = E.split_summary(b.transactions.withColumn("period", periods()), "period", "transaction_date", "is_fraud")
+    return E.gated_split(rows, DATED)
+
+
 def _diagnostic(c, categorical):
     unseen = f"(SELECT count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM p f WHERE f.period = 'fit' AND f.{c} IS NOT DISTINCT FROM s.{c})) / count(*) FROM p s WHERE period = 'selection')" if categorical else "NULL"
     return f"SELECT '{c}' AS feature, (SELECT count(*) FILTER (WHERE {c} IS NULL) / count(*) FROM p WHERE period = 'fit') AS missing_fraction, (SELECT count(*) FROM (SELECT DISTINCT {c} FROM p WHERE period = 'fit')) AS distinct_values, {unseen} AS unseen_fraction"

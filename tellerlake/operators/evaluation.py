@@ -183,6 +183,14 @@ def split_summary(df: DataFrame, period: str, at: str, label: str) -> DataFrame:
     return out.withColumn("both_classes", (F.col("positives") > 0) & (F.col("positives") < F.col("rows")))
 
 
+def gated_split(summary: DataFrame, periods: Sequence[str]) -> DataFrame:
+    """The split, or an error that names the periods which are absent or lack a class: nothing is evaluated on them."""
+    found = summary.agg(F.collect_set(F.when(F.col("both_classes"), F.col("period"))).alias("_ready"))  # one entry per period
+    missing = F.array_except(F.array(*[F.lit(p) for p in periods]), F.col("_ready"))
+    fails = F.raise_error(F.concat(F.lit("periods without both classes: "), F.array_join(missing, ", "))).cast("boolean")
+    return attach_one_row(summary, found).where(F.when(F.size(missing) > 0, fails).otherwise(F.lit(True))).drop("_ready")
+
+
 def snapshot_checks(points: DataFrame) -> DataFrame:
     """Internal consistency of confusion counts before they are published."""
     a, t = F.col("alerts"), F.col("tp")

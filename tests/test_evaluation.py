@@ -90,3 +90,13 @@ def test_weights_and_medians(spark):
     df = spark.createDataFrame([(1, True, 1.0), (2, True, 3.0), (3, False, 100.0), (4, False, None)], "id int, fit boolean, v double")
     got = {r["id"]: (r["v"], r["v_missing"]) for r in impute_medians(df, df["fit"], ["v"]).collect()}
     assert got[4] == (2.0, 1.0) and got[3] == (100.0, 0.0)
+
+
+def test_a_period_without_both_classes_stops_the_evaluation(spark):
+    rows = [("fit", 1, True), ("fit", 2, False), ("selection", 3, False)]
+    df = spark.createDataFrame(rows, "period string, at int, y boolean")
+    summary = E.split_summary(df, "period", "at", "y")
+    assert E.gated_split(summary, ["fit"]).count() == 2
+    for periods in (["fit", "selection"], ["fit", "later"]):
+        with pytest.raises(Exception, match=f"periods without both classes: {periods[1]}"):
+            E.gated_split(summary, periods).collect()

@@ -103,12 +103,13 @@ def conversation(conv, *lines):
     return [(conv, i, {"u": "user", "a": "assistant"}[r], t) for i, (r, t) in enumerate(lines)]
 
 
-def test_context_is_the_same_in_slices_of_one_turn(spark, monkeypatch):
+def test_context_is_the_same_over_many_partitions(spark):
     rows = conversation(1, ("u", "quiero ver mi saldo"), ("a", "¿Cuál?"), ("u", "sí"), ("u", "no"), ("a", "ok")) + conversation(2, ("a", "hola"), ("u", "a"))
     df = spark.createDataFrame(rows, MSG)
     plain = sorted(C.with_context(df).collect(), key=str)
-    monkeypatch.setattr(C, "SLICE", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
     assert plain == sorted(C.with_context(df).collect(), key=str)
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
     third = next(r for r in plain if (r["conv_id"], r["turn"]) == (1, 2))
     assert third["previous_text"] == "¿Cuál?" and third["earlier_language"] == "es"
 
