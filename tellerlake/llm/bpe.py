@@ -29,8 +29,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Texts below this character are split by `re` with its letters, numbers and white space spelled out; others by `regex`, which takes twice the time.
 WIDE = 0x250
 
-#: What one worker remembers of pieces and of pairs, and the longest piece that is remembered.
-PIECE_BYTES, PAIR_BYTES, PIECE_LENGTH = 40 << 20, 12 << 20, 64
+#: What a task remembers of pieces and of pairs, and the longest piece that is remembered.
+PIECE_BYTES, PAIR_BYTES, PIECE_LENGTH = 96 << 20, 32 << 20, 64
 
 
 def spelled(pattern: str, letters: str, numbers: str) -> str:
@@ -160,6 +160,11 @@ class Codec:
             own[piece] = ids
         return list(chain.from_iterable(map(own.__getitem__, pieces)))
 
+    def forget(self) -> None:
+        """Give back what was remembered: a worker outlives its task."""
+        self.known.forget()
+        self.fits.forget()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
@@ -175,7 +180,7 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns and `ids` (array of int) of each whole text; null and empty texts have no ids."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
-    return map_texts(docs, text, {c: c for c in keep}, fields, lambda texts: {"ids": [codec(path, pattern).encode(t.decode()) for t in texts]})
+    return map_texts(docs, text, {c: c for c in keep}, fields, lambda texts: {"ids": [codec(path, pattern).encode(t.decode()) for t in texts]}, lambda: codec(path, pattern).forget())
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -191,4 +196,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", kee
             out["decoded_sha256"].append(hashlib.sha256(c.decode(ids)).hexdigest())
         return out
 
-    return map_texts(docs, text, {c: c for c in keep}, fields, work)
+    return map_texts(docs, text, {c: c for c in keep}, fields, work, lambda: codec(path, pattern).forget())

@@ -49,8 +49,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             yield batch.slice(begin)
 
 
-def map_texts(docs: DataFrame, text: str, keep: dict[str, str], fields: list[T.StructField], work: Callable[[list[bytes]], dict[str, list]]) -> DataFrame:
-    """Kept columns ({output: input}) beside what `work` makes of the whole texts of a slice (UTF-8; null as empty)."""
+def map_texts(docs: DataFrame, text: str, keep: dict[str, str], fields: list[T.StructField], work: Callable[[list[bytes]], dict[str, list]], done: Callable[[], None] | None = None) -> DataFrame:
+    """Kept columns ({output: input}) beside what `work` makes of the whole texts of a slice (UTF-8; null as empty). `done` is called when a task ends."""
     chosen = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep.values())), docs[text].cast("binary").alias("text"))
     schema = T.StructType([T.StructField(name, docs.schema[c].dataType) for name, c in keep.items()] + fields)
     names, at = list(keep), len(keep)
@@ -59,10 +59,14 @@ def map_texts(docs: DataFrame, text: str, keep: dict[str, str], fields: list[T.S
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for part in slices(batches, at):
-            made = work([t or b"" for t in part.column(at).to_pylist()])
-            columns = [part.column(i) for i in range(at)] + [made[f.name] for f in fields]
-            yield pa.record_batch([c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], names=[*names, *(f.name for f in fields)])
+        try:
+            for part in slices(batches, at):
+                made = work([t or b"" for t in part.column(at).to_pylist()])
+                columns = [part.column(i) for i in range(at)] + [made[f.name] for f in fields]
+                yield pa.record_batch([c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], names=[*names, *(f.name for f in fields)])
+        finally:
+            if done:
+                done()
 
     return chosen.mapInArrow(run, schema)
 
@@ -103,6 +107,10 @@ class Remembered(dict):
         self.held += size
         self[key] = value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
     def recall(self, key):
         """The result of an earlier half, or None."""
         return self.old.get(key)
