@@ -2,10 +2,11 @@
 
 A text is the set of its five-word shingles (letters and digits, A-Z lower-cased), each weighted by its count times an idf between 1 and 2 taken over
 all documents. Each of a shingle's three random variates is looked up by bits of its hash of their own, so two shingles share samples only if 45 bits
-agree, and unrelated texts stay unlike at any length. Bands of samples name buckets. In a bucket texts are compared with one leader, the text that shares most buckets with others (near copies
-agree most with the copy nearest to their common source). While texts of a bucket are not all connected, they meet its next `HUBS` by that rank
-and `OTHERS` by hash, other ones each turn, until a turn links nothing new; the pairs of a turn are linear in the rows, whatever the size of a bucket.
-Texts of buckets that are still mixed are then joined exactly: two texts that reach the threshold share a shingle among the rarest fifth of each,
+agree, and unrelated texts stay unlike at any length. Bands of samples name buckets. Bands are four samples long, so that few texts which only
+share a passage or a template meet by chance, however many there are. In a bucket texts are compared with one leader, the text that shares most buckets
+with others (near copies agree most with the copy nearest to their common source). While texts of a bucket are not all connected, they meet its next
+`HUBS` by that rank and `OTHERS` by hash, other ones each turn, until a turn links nothing new. Of these pairs, linear in the rows whatever the size of a
+bucket, those that agree in at least `PROMISING` samples (by a byte of each) are read; the rest is left to the exact join. Texts of buckets that are still mixed are then joined exactly: two texts that reach the threshold share a shingle among the rarest fifth of each,
 in a place that leaves enough weight behind it, so every pair of them that is not yet connected is compared or cannot be a link. Pairs of leaders
 whose samples hardly agree are not read. A link is a weighted Jaccard similarity of at least 0.8. Equal texts are one key
 throughout.
@@ -23,16 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellerlake.llm.common import BASE, FOLD, grams, scramble, slices, word_hashes, written
+from tellerlake.llm.common import BASE, FOLD, arrow_rows, grams, scramble, slices, word_hashes, written
 from tellerlake.llm.components import components, regrouped
-from tellerlake.llm.sketches import gathered, width_for
+from tellerlake.llm.sketches import first_half, gathered, width_for
 
 SHINGLE = 5
 THRESHOLD = 0.8
-HASHES, BANDS = 48, 16
-AGREEING = 26
+HASHES, BANDS = 88, 22
+AGREEING, PROMISING = 53, 66
 HUBS, OTHERS = 4, 4
-PLACES, CHUNK = 1 << 15, 4096
+PLACES, CHUNK = 1 << 15, 2048
+ARROW_ROWS = 1024
 IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 14
 SEED = 20260
 SLACK = 1 + 1e-6  # of bounds on sums of weights, which are not added in one order
@@ -141,10 +143,16 @@ def alike(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
     return written(joined.mapInArrow(agree, "a binary, b binary"), "alike")
 
 
-def first_half(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[np.ndarray]:
-    """The first eight bytes of the keys."""
-    for batch in batches:
-        yield np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint64)[::2]
+def promising(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows (key, marks, b, marks_b) that agree in a byte of at least `PROMISING` samples, each once."""
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (1, 3))
+            yield batch.select(["key", "b"]).filter(pa.array((x == y).sum(axis=1) >= PROMISING))
+
+    found = met.select("key", "marks", "b", "marks_b").mapInArrow(agree, "key binary, b binary")
+    return found.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
 
 
 def texts_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
@@ -221,7 +229,14 @@ def unconnected(held: DataFrame, idf, threshold: float) -> DataFrame:
 
 
 def linked(texts: DataFrame, threshold: float) -> DataFrame:
-    """`key`, `component` of the texts (columns text, key; equal texts have one key) that are linked to others."""
+    """`key`, `component` of the texts (columns text, key; equal texts have one key) that are linked to others.
+
+    Whole texts go to Python in small batches: pairs of them in batches of the usual size take hundreds of MB of an executor."""
+    with arrow_rows(texts.sparkSession, ARROW_ROWS):
+        return _linked(texts, threshold)
+
+
+def _linked(texts: DataFrame, threshold: float) -> DataFrame:
     idf = texts.sparkSession.sparkContext.broadcast(inverse_frequencies(texts.select("text")))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,33 +247,35 @@ def linked(texts: DataFrame, threshold: float) -> DataFrame:
                 drawn = samples([found[i] for i in some])
                 names = bands(drawn)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, names.size + 1, BANDS, dtype=np.int32)), pa.array(names.ravel()))
-                yield pa.record_batch([part.column(1).take(pa.array(some)), pa.array([d.tobytes() for d in drawn], pa.binary()), lists], names=["key", "drawn", "bands"])
+                yield pa.record_batch([part.column(1).take(pa.array(some)), pa.array([d.tobytes() for d in drawn], pa.binary()), pa.array([d[::4].tobytes() for d in drawn.view(np.uint8)], pa.binary()), lists], names=["key", "drawn", "marks", "bands"])
 
-    sampled = written(texts.mapInArrow(sample, "key binary, drawn binary, bands array<long>").dropDuplicates(["key"]), "samples")
+    sampled = written(texts.mapInArrow(sample, "key binary, drawn binary, marks binary, bands array<long>").dropDuplicates(["key"]), "samples")
     members = sampled.select("key", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(members.join(shared, "band"), "buckets")
-    buckets = written(buckets.join(buckets.groupBy("key").agg(F.sum("n").alias("hub")), "key").select("band", "key", "hub"), "buckets")
+    buckets = written(buckets.join(buckets.groupBy("key").agg(F.sum("n").alias("hub")), "key").select("band", "key", "hub", "n"), "buckets")
     first = buckets.groupBy("band").agg(F.max(F.struct("hub", "key")).alias("first")).select("band", F.col("first.key").alias("first"))
     tested = written(buckets.join(first, "band").where("key <> first").select(F.greatest("key", "first").alias("a"), F.least("key", "first").alias("b")).distinct(), "pairs")
     near = alike(tested, sampled)
     found = components(verified(near, texts_of(near.select(F.explode(F.array("a", "b")).alias("key")), texts), idf, threshold))
-    held, compared = None, near
+    held, compared, buckets = None, near, buckets.where("n > 2").drop("n")  # of two, both have been compared
     for turn in count(1):
-        placed = buckets.select("band", "key", "hub").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-        mixed = mixed.where("x <> y and n > 2").select("band")  # of two, both have been compared
-        buckets = written(placed.join(mixed, "band", "left_semi"), "buckets")
+        placed = buckets.drop("component").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+        mixed = mixed.where("x <> y").select("band")
+        buckets = placed.join(mixed, "band", "left_semi")
         if held is None:
+            buckets = written(buckets.join(sampled.select("key", "marks"), "key"), "buckets")
             held = texts_of(buckets.select("key"), texts)
+        else:
+            buckets = written(buckets, "buckets")
         ranks = (F.desc("hub"), F.desc("key")), (F.xxhash64("key", "band", F.lit(turn)), F.col("key"))
         lead = [buckets.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(*by))).where(F.col("place") <= most) for by, most in zip(ranks, (1 + turn * HUBS, OTHERS), strict=True)]
-        lead = lead[0].where(F.col("place") > 1 + (turn - 1) * HUBS).unionByName(lead[1]).select("band", F.col("key").alias("b"), F.col("component").alias("other"))
-        pairs = buckets.join(lead, "band").where("component <> other").select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        near = alike(pairs, sampled)
-        new = verified(near, held, idf, threshold)
-        tested, compared = tested.unionByName(pairs), compared.unionByName(near)
+        lead = lead[0].where(F.col("place") > 1 + (turn - 1) * HUBS).unionByName(lead[1]).select("band", F.col("key").alias("b"), F.col("component").alias("other"), F.col("marks").alias("marks_b"))
+        pairs = promising(buckets.join(lead, "band").where("component <> other"))
+        pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+        new = verified(pairs, held, idf, threshold)
+        compared = compared.unionByName(pairs)
         if new.isEmpty():
             break
         found = regrouped(found, new)

@@ -78,3 +78,9 @@ def gathered(rows: DataFrame, hashes_of: Callable[[Iterator[pa.RecordBatch]], It
     parts = rows.mapInArrow(count, "block int, cells binary")
     merged = parts.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block").mapInArrow(merge, "block int, bits binary")
     return Bits(width, ((r.block, r.bits) for r in merged.collect()))  # one job; at most DEPTH * width bits
+
+
+def first_half(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[np.ndarray]:
+    """The first eight bytes of 16-byte keys."""
+    for batch in batches:
+        yield np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint64)[::2]

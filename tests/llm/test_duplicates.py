@@ -180,3 +180,34 @@ def test_pipeline(spark):
         assert 0 < after.count() <= before
         docs = after
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_texts_that_share_a_passage_rarely_share_a_bucket():
+    """Three tenths of each text are common to all: buckets that such texts meet in by chance would grow with the square of their number."""
+    rng = np.random.default_rng(16)
+    both = rng.integers(0, 1 << 64, 90, dtype=np.uint64)
+    texts = [np.concatenate([both, rng.integers(0, 1 << 64, 210, dtype=np.uint64)]) for _ in range(600)]
+    names = neardup.bands(neardup.samples([(h, np.ones(len(h))) for h in texts]))
+    _, n = np.unique(names, return_counts=True)
+    assert n[n > 1].sum() < 0.015 * names.size
+
+
+def test_pairs_read_of_a_mixed_group(spark, documents, monkeypatch):
+    """Texts on one template that are no links: few of the pairs that meet in their buckets are read, and whole texts travel in small batches."""
+    rng, template, sizes = random.Random(17), [f"t{i}" for i in range(170)], []
+    own = [[f"o{i}x{j}" for j in range(26)] for i in range(500)]
+    own += [edited(own[i], rng, 1) for i in range(0, 400, 5)]
+    docs, plain, name = documents(*enumerate(" ".join(template + o) for o in own)), neardup.written, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def spy(df, table):
+        out = plain(df, table)
+        sizes.append((table, out.count(), int(spark.conf.get(name))))
+        return out
+
+    monkeypatch.setattr(neardup, "written", spy)
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert {(c, d) for d, c in got.items() if c != d} == {(5 * i, 500 + i) for i in range(80)}
+    turns = [n for table, n, _ in sizes if table == "pairs"][1:-1]
+    assert turns and max(turns) < 2 * len(own)
+    assert {rows for _, _, rows in sizes} == {neardup.ARROW_ROWS} and spark.conf.get(name) == before
