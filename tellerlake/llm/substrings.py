@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tellerlake.llm.common import PLAIN, grams, scramble, slices, word_hashes, written
-from tellerlake.llm.sketches import gathered, width_for
+from tellerlake.llm.sketches import first_half, gathered, width_for
 
 SIZE = 35
 GRAM = 12
@@ -122,11 +122,28 @@ def without_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", names
 
     Words are the pieces between blanks, tabs, line feeds, vertical tabs, form feeds and carriage returns. Nulls and texts under `size` words lose
     nothing; each row counts as a text of its own, so repeated rows lose all they share. Columns that `names` clash with are the caller's to rename.
+    Only texts that hold repeated windows, and a few others, are shuffled to meet them.
     """
     inputs, at = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], len(docs.columns)
     keyed = docs.select(*inputs, docs[text].cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    spans = repeated_spans(keyed.select("text", "key"), size)
-    joined = keyed.join(spans, "key", "left").select(*(f"c{i}" for i in range(at)), "text", "spans")
+    spans = written(repeated_spans(keyed.select("text", "key"), size), "spans")
+    named = docs.sparkSession.sparkContext.broadcast(gathered(spans.select("key"), first_half, width_for(spans.count()), 1))
+
+    def rows_named(wanted: bool):
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key = batch.column(at + 1)
+                holds = np.zeros(len(key), bool)
+                known = key.is_valid().to_numpy(zero_copy_only=False)  # null texts have no key
+                holds[known] = named.value.has(next(first_half(iter([batch.filter(key.is_valid())]), at + 1)))
+                yield batch.filter(pa.array(holds == wanted))
+
+        chosen = keyed.select(*(f"c{i}" for i in range(at)), "text", "key")
+        return chosen.mapInArrow(some, chosen.schema)
+
+    shown = [*(f"c{i}" for i in range(at)), "text"]
+    joined = rows_named(True).join(spans, "key", "left").select(*shown, "spans")
+    apart = rows_named(False).select(*shown, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField("words", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,5 +161,5 @@ def without_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", names
                 removed.append(int(len(words) - stay.sum()))
             yield pa.record_batch([*(part.column(i) for i in range(at)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=[f.name for f in schema])
 
-    out = joined.mapInArrow(strip, schema).withColumn("kept", F.col("kept").cast("string"))
+    out = joined.mapInArrow(strip, schema).unionByName(apart.mapInArrow(strip, schema)).withColumn("kept", F.col("kept").cast("string"))
     return out.toDF(*docs.columns, *names)

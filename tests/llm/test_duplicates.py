@@ -211,3 +211,19 @@ def test_pairs_read_of_a_mixed_group(spark, documents, monkeypatch):
     turns = [n for table, n, _ in sizes if table == "pairs"][1:-1]
     assert turns and max(turns) < 2 * len(own)
     assert {rows for _, _, rows in sizes} == {neardup.ARROW_ROWS} and spark.conf.get(name) == before
+
+
+def test_only_texts_with_repeats_are_joined(spark, documents, prose, monkeypatch):
+    """Texts that hold no repeated window do not meet the spans in a shuffle; null texts and repeated rows stay."""
+    rows = [*enumerate([None, prose(1, 80), prose(1, 80)]), *((i, " ".join(f"own{i}x{j}" for j in range(60))) for i in range(3, 300)), (3, None)]
+    made, plain = [], substrings.written
+
+    def spy(df, table):
+        made.append(table)
+        return plain(df, table)
+
+    monkeypatch.setattr(substrings, "written", spy)
+    out = substrings.without_repeats(documents(*rows))
+    got = sorted((r.doc_id, r.n_removed) for r in out.collect())
+    assert got == sorted((i, 80 if t == prose(1, 80) else 0) for i, t in rows) and "spans" in made
+    assert sum("MapInArrow" in x for x in out._jdf.queryExecution().executedPlan().toString().splitlines()) >= 4
