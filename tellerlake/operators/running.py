@@ -26,6 +26,8 @@ HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 
 LIMB_BITS = 30
+#: Rows that a partition of a timeline holds at most, about: it is in memory as a whole (some 1 KB a row with all features).
+RANGE_ROWS = 1 << 18
 ORDER = ("_h", "_k", "_at")
 
 
@@ -73,7 +75,8 @@ def frames_within(cells: Sequence[Sequence[tuple[int, int | None]]], n_sums: int
         if not held:
             return
         table = pa.Table.from_batches(held)
-        columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+        given, columns = table.column_names, [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns]
+        del held, table  # one copy stays
         h, at, read = columns[0].to_numpy(), columns[2].to_numpy(), columns[3].to_numpy(zero_copy_only=False).astype(bool)
         n, place = len(h), np.arange(len(h))
         new = changes(columns[:2], None)
@@ -104,8 +107,8 @@ def frames_within(cells: Sequence[Sequence[tuple[int, int | None]]], n_sums: int
         rows = pa.array(kept)
         none = lambda kind, size: pa.nulls(size, kind)
         payload = columns[4 + n_sums + n_latest :]
-        listed, names = pa.list_(pa.int64()), [*table.column_names[:4], "_start", *(f"c{j}" for j in range(width)), *table.column_names[4 + n_sums : 4 + n_sums + n_latest],
-                                               "_own", "_totals", "_fh", "_fk", *table.column_names[4 + n_sums + n_latest :]]
+        listed, names = pa.list_(pa.int64()), [*given[:4], "_start", *(f"c{j}" for j in range(width)), *given[4 + n_sums : 4 + n_sums + n_latest],
+                                               "_own", "_totals", "_fh", "_fk", *given[4 + n_sums + n_latest :]]
         counts = np.where(edge[kept], n_sums, 0)
         flat = np.stack([c.to_numpy()[kept] for c in columns[4 : 4 + n_sums]], axis=1)[edge[kept]].ravel() if n_sums else np.zeros(0, np.int64)
         own = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(flat, pa.int64()), mask=pa.array(~edge[kept]))
@@ -131,7 +134,7 @@ def laid_out(timeline: DataFrame, cells: Sequence[Sequence[tuple[int, int | None
                            *(number(f"c{j}") for j in range(width)), *(source.schema[c] for c in latest), T.StructField("_own", T.ArrayType(T.LongType())), T.StructField("_totals", T.ArrayType(T.LongType())),
                            T.StructField("_fh", T.IntegerType()), T.StructField("_fk", T.StringType()), *(source.schema[c] for c in payload)])
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields])
-    ranged = source.repartitionByRange(range_count(source), *ORDER).sortWithinPartitions(*ORDER, *latest)
+    ranged = source.repartitionByRange(max(range_count(source), -(-timeline.count() // RANGE_ROWS)), *ORDER).sortWithinPartitions(*ORDER, *latest)
     return written(ranged.mapInArrow(frames_within(cells, len(sums), len(latest)), schema).withColumn("_part", F.spark_partition_id()), "timeline")
 
 

@@ -111,3 +111,16 @@ def test_rows_without_a_time_have_no_history(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", None), (3, "a", 9)], "id int, k string, t bigint")
     h = History("k", ["k"], {"all": None}, {"n": F.lit(1).cast("bigint")}, {"last": F.struct("t", "id")})
     assert sorted((r["id"], r["k_n_all"], r["k_last"] and r["k_last"]["id"]) for r in prior_windows(df, "id", "t", [h]).collect()) == [(1, 0, None), (2, 0, None), (3, 1, 1)]
+
+
+def test_partitions_of_a_timeline_are_bounded(spark, monkeypatch):
+    """More rows make more ranges, not larger ones: a partition is in memory as a whole."""
+    from tellerlake.operators import running
+
+    monkeypatch.setattr(running, "RANGE_ROWS", 100)
+    rows = spark.range(6000).select((F.col("id") % 7).alias("k"), F.col("id").alias("at"), F.lit(1).alias("n"))
+    parts, laid = [], running.laid_out
+    monkeypatch.setattr(running, "laid_out", lambda *a: parts.append(laid(*a)) or parts[-1])
+    got = running.accumulate_before(rows, ["k"], "at", ["n"])
+    assert {(r.k, r.at): r.n for r in got.collect()} == {(i % 7, i): i // 7 or None for i in range(6000)}
+    assert max(r["count"] for r in parts[0].where("_read").groupBy("_part").count().collect()) < 300
