@@ -13,7 +13,8 @@ CATEGORICAL = ["currency", "transaction_type", "channel", "merchant_category"]
 
 def frames(b):
     rows = labelled(b.transactions).select("transaction_id", "label", (F.col("transaction_date") < F.lit("2000-01-01").cast("timestamp_ntz")).alias("fit"))
-    frame = basic_frame(b.transactions).join(rows, "transaction_id")
+    # Preparation and training make many passes: the join is written once, with the columns that they read.
+    frame = cut_lineage(basic_frame(b.transactions).join(rows, "transaction_id").select("transaction_id", "label", "fit", *NUMERIC, *CATEGORICAL))
     return frame.where("fit"), frame.where("NOT fit")
 
 

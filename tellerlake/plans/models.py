@@ -84,7 +84,8 @@ def balanced_forest(train: DataFrame, ratio: float = 0.2, trees: int = 20, seed:
     totals = train.agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("label").cast("bigint")).alias("_p"))
     share = F.col("_p") / F.lit(ratio) / F.greatest(F.col("_n") - F.col("_p"), F.lit(1))
     drawn = F.pmod(F.xxhash64(F.col("transaction_id"), F.lit(seed)), F.lit(1_000_000)) / 1e6
-    balanced = attach_one_row(train, totals).where((F.col("label") == 1) | (drawn < share)).drop("_n", "_p")
+    # The forest makes a pass for each level: the rows it draws are written once, reduced to what it reads.
+    balanced = cut_lineage(attach_one_row(train, totals).where((F.col("label") == 1) | (drawn < share)).select("label", "features"))
     return RandomForestClassifier(labelCol="label", numTrees=trees, maxDepth=8, minInstancesPerNode=5, seed=seed).fit(balanced)
 
 

@@ -119,3 +119,12 @@ def test_histories_agree_over_one_and_many_partitions(spark):
 def test_coarse_position_is_exact(spark):
     row = spark.range(1).select(H.coarse(F.lit("12.25").cast("decimal(10,7)")).alias("x")).first()
     assert float(row["x"]) == 12.3
+
+
+def test_model_frames_are_written_once(spark):
+    """Preparation and training make many passes over frames that no longer hold the join."""
+    from tellerlake.catalog.model_training import frames
+    from tellerlake.standin import Bank
+
+    for frame in frames(Bank(spark, "/root/testdata/sf0.001")):
+        assert frame.count() and "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
