@@ -1,8 +1,9 @@
 """Prior counts and the time since the previous transaction from keyed state.
 
 Each customer's state is a sorted list of the event times of the last days, beside the newest time of all. A batch merges its times into the list and
-reads its frames from it, so a late row finds its own predecessor and a batch touches only the customers it brings. Times older than the frames and the
-allowed lateness are cut off; the whole list of a customer who sends nothing for long expires by its time to live, and the newest time stays.
+reads its frames from it, so a late row finds its own predecessor and a batch computes only the customers it brings (Spark looks through the others for
+those that have expired). Times older than the frames and the allowed lateness are cut off; the whole list of a customer who sends nothing for long
+expires by its timeout, and the newest time stays.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tellerlake.operators.running import DAY, HOUR, SECOND, epoch_us
 
@@ -23,7 +24,7 @@ FRAMES = {"1h": HOUR, "24h": 24 * HOUR, "7d": 7 * DAY}
 LATENESS = 30 * DAY
 IDLE_MS = 400 * 24 * 3_600_000
 NONE = np.iinfo(np.int64).min
-#: Keyed state needs the RocksDB store; a clock that always runs would otherwise start batches without rows for ever.
+#: Keyed state is kept in the RocksDB store; a clock that always runs would otherwise start batches without rows for ever.
 SETTINGS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
             "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
@@ -39,34 +40,37 @@ def merge_times(times: np.ndarray, before: int | None, arrived: np.ndarray, keep
     return every[cut:], int(every[cut - 1]) if cut else before, out
 
 
-class CustomerTimes(StatefulProcessor):
-    """`row_id`, counts, seconds since the previous transaction and `late`: the row's frame reaches back to times that have been cut off or expired, so its counts may be low."""
+STATE = "times binary, before long, newest long, expires long"
 
-    def __init__(self, lateness: int, idle_ms: int):
-        self.keep, self.idle_ms = max(FRAMES.values()) + lateness, idle_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "times binary, before long", self.idle_ms)
-        self.newest = handle.getValueState("newest", "at long")
+def customer_times(lateness: int, idle_ms: int):
+    """State function of one customer: `row_id`, counts, seconds since the previous transaction and `late`: the row's frame reaches back to times that have
+    been cut off or expired, so its counts may be low. State travels with the rows, in batches of many customers."""
+    longest = max(FRAMES.values())
+    keep = longest + lateness
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows), ignore_index=True)
+    def work(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, before, newest, expires = state.get if state.exists else (None, None, None, None)
+        if state.hasTimedOut:
+            state.update((None, None, newest, None))
+            return
+        arrived = list(frames)
+        arrived = arrived[0] if len(arrived) == 1 else pd.concat(arrived, ignore_index=True)
+        now = state.getCurrentProcessingTimeMs()
+        if held is not None and expires <= now:
+            held = None
         t = arrived["at_us"].to_numpy(np.int64)
-        held, newest = self.times.get() if self.times.exists() else None, self.newest.get()[0] if self.newest.exists() else None
-        times = np.frombuffer(held[0], np.int64) if held else np.empty(0, np.int64)
-        before = held[1] if held else newest
-        kept, before, found = merge_times(times, before, t, self.keep)
-        self.times.update((kept.tobytes(), before))
-        self.newest.update((int(max(t.max(), newest or t.max())),))
-        whole = NONE if newest is None else newest - self.keep if held else newest + 1  # the list knows every time from here on
-        late = t - max(FRAMES.values()) < whole
+        times = np.frombuffer(held, np.int64) if held is not None else np.empty(0, np.int64)
+        kept, before, found = merge_times(times, before if held is not None else newest, t, keep)
+        whole = NONE if newest is None else newest - keep if held is not None else newest + 1  # the list knows every time from here on
+        state.update((kept.tobytes(), before, int(max(t.max(), t.max() if newest is None else newest)), now + idle_ms))
+        state.setTimeoutDuration(idle_ms)
         previous = found.pop("previous")
         out = {"row_id": arrived["row_id"], **{f"customer_tx_count_{f}": n.astype(np.float64) for f, n in found.items()}}
         out["seconds_since_prev_tx"] = np.where(previous != NONE, (t - previous) / SECOND, np.nan)
-        yield pd.DataFrame({**out, "late": late})
+        yield pd.DataFrame({**out, "late": t - longest < whole})
 
-    def close(self) -> None:
-        pass
+    return work
 
 
 @contextmanager
@@ -92,7 +96,7 @@ def live_velocity(stream: DataFrame, root: str, checkpoint: str, row_id: str = "
     schema = T.StructType([T.StructField("row_id", stream.schema[row_id].dataType), *(T.StructField(f"customer_tx_count_{f}", T.DoubleType()) for f in FRAMES),
                            T.StructField("seconds_since_prev_tx", T.DoubleType()), T.StructField("late", T.BooleanType())])
     kept = F.col("customer").isNotNull() & F.col("at_us").isNotNull()
-    keyed = rows.where(kept).groupBy("customer").transformWithStateInPandas(CustomerTimes(lateness, idle_ms), schema, "Append", "ProcessingTime")
+    keyed = rows.where(kept).groupBy("customer").applyInPandasWithState(customer_times(lateness, idle_ms), schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
     alone = rows.where(~kept).select("row_id", *[F.lit(0.0).alias(f"customer_tx_count_{f}") for f in FRAMES], F.lit(None).cast("double").alias("seconds_since_prev_tx"), F.lit(False).alias("late"))
     out = keyed.unionByName(alone).withColumn("seconds_since_prev_tx", F.nanvl("seconds_since_prev_tx", F.lit(None).cast("double"))).withColumnRenamed("row_id", row_id)
 
