@@ -12,22 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellerlake.llm import bpe, contamination, neardup, quality, substrings
-from tellerlake.llm.common import read, written
+from tellerlake.llm.common import read, whole_texts, written
 from tellerlake.session import use_utc
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the neighbours' votes accept. The model learns from the labelled documents among its input."""
-    return quality.accepted_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return quality.accepted_documents(docs, quality.train(docs, read(whole_texts(spark), sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class, that with the smallest id."""
+    whole_texts(spark)
     return neardup.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of the texts; texts without any stay as they are. No document goes, even if no word is left."""
+    whole_texts(spark)
     marks = ("n_words", "n_removed", "kept")
     held = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -41,11 +43,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item."""
-    return contamination.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
+    return contamination.drop_contaminated(docs, read(whole_texts(spark), sf_dir, "benchmark"))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the bytes decoded from them, of each document."""
+    whole_texts(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -16,6 +17,8 @@ from pyspark.sql import types as T
 from tellerlake.session import scratch
 
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch that holds whole texts: batches of the usual size take hundreds of MB of an executor.
+ARROW_ROWS = 1024
 
 #: A-Z to a-z; everything that is neither a letter, a digit nor beyond ASCII to a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -48,8 +51,24 @@ def arrow_rows(spark: SparkSession, most: int):
         spark.conf.set(name, own)
 
 
+def whole_texts(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of at most `ARROW_ROWS` rows from here on: frames that carry whole texts run after their query has returned."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, ARROW_ROWS)
+    return spark
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: Python workers outlive their tasks, and each keeps what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not in every C library
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each piece holds about `limit` bytes of the column (a longer row stands alone)."""
+    """Cut Arrow batches so that each piece holds about `limit` bytes of the column (a longer row stands alone). What the pieces took is given back
+    after the last one."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         begin, held = 0, 0
@@ -60,6 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = SLICE_BY
             held += size
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    give_back()
 
 
 def map_texts(docs: DataFrame, text: str, keep: dict[str, str], fields: list[T.StructField], work: Callable[[list[bytes]], dict[str, list]], done: Callable[[], None] | None = None) -> DataFrame:
@@ -80,6 +100,7 @@ def map_texts(docs: DataFrame, text: str, keep: dict[str, str], fields: list[T.S
         finally:
             if done:
                 done()
+            give_back()
 
     return chosen.mapInArrow(run, schema)
 
