@@ -21,10 +21,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellerlake.llm.common import BASE, FOLD, arrow_rows, grams, scramble, slices, word_hashes, written
+from tellerlake.llm.common import ARROW_ROWS, BASE, FOLD, arrow_rows, grams, scramble, slices, word_hashes, written
 from tellerlake.llm.components import components, regrouped
 from tellerlake.llm.sketches import first_half, gathered, width_for
 
@@ -34,7 +35,6 @@ HASHES, BANDS = 88, 22
 AGREEING, PROMISING = 53, 66
 HUBS, OTHERS = 4, 4
 PLACES, CHUNK = 1 << 15, 2048
-ARROW_ROWS = 1024
 IDF_BUCKETS, IDF_BLOCK = 1 << 20, 1 << 14
 SEED = 20260
 SLACK = 1 + 1e-6  # of bounds on sums of weights, which are not added in one order
@@ -144,14 +144,19 @@ def alike(pairs: DataFrame, sampled: DataFrame) -> DataFrame:
 
 
 def promising(met: DataFrame) -> DataFrame:
-    """The pairs (a, b) of rows (key, marks, b, marks_b) that agree in a byte of at least `PROMISING` samples, each once."""
+    """The pairs (a, b) of rows (key, component, marks, lead: array of key, component, marks) of different components that agree in a byte of at least
+    `PROMISING` samples, each once. A row meets all that lead its bucket at once, so no row is made for each of them."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES) for i in (1, 3))
-            yield batch.select(["key", "b"]).filter(pa.array((x == y).sum(axis=1) >= PROMISING))
-
-    found = met.select("key", "marks", "b", "marks_b").mapInArrow(agree, "key binary, b binary")
+            lead = batch.column("lead")
+            at, (b, other, marks) = pc.list_parent_indices(lead), lead.flatten().flatten()
+            apart = pc.not_equal(batch.column("component").take(at), other)
+            at, b, marks = (c.filter(apart) for c in (at, b, marks))
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES) for c in (batch.column("marks").take(at), marks))
+            yield pa.record_batch([batch.column("key").take(at), b], names=["key", "b"]).filter(pa.array((x == y).sum(axis=1) >= PROMISING))
+
+    found = met.select("key", "component", "marks", "lead").mapInArrow(agree, "key binary, b binary")
     return found.select(F.greatest("key", "b").alias("a"), F.least("key", "b").alias("b")).distinct()
 
 
@@ -271,8 +276,9 @@ def _linked(texts: DataFrame, threshold: float) -> DataFrame:
             buckets = written(buckets, "buckets")
         ranks = (F.desc("hub"), F.desc("key")), (F.xxhash64("key", "band", F.lit(turn)), F.col("key"))
         lead = [buckets.withColumn("place", F.row_number().over(Window.partitionBy("band").orderBy(*by))).where(F.col("place") <= most) for by, most in zip(ranks, (1 + turn * HUBS, OTHERS), strict=True)]
-        lead = lead[0].where(F.col("place") > 1 + (turn - 1) * HUBS).unionByName(lead[1]).select("band", F.col("key").alias("b"), F.col("component").alias("other"), F.col("marks").alias("marks_b"))
-        pairs = promising(buckets.join(lead, "band").where("component <> other"))
+        lead = lead[0].where(F.col("place") > 1 + (turn - 1) * HUBS).unionByName(lead[1])
+        lead = lead.groupBy("band").agg(F.collect_list(F.struct("key", "component", "marks")).alias("lead"))  # at most HUBS + OTHERS
+        pairs = promising(buckets.join(lead, "band"))
         pairs = written(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
         new = verified(pairs, held, idf, threshold)
         compared = compared.unionByName(pairs)
