@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellerlake.llm import ann, bpe, contamination, fragments, gnat, licenses, neardup, quality, repair, substrings, tokens, urls, warc
-from tellerlake.llm.common import read, written
+from tellerlake.llm.common import read, whole_texts, written
 from tellerlake.session import use_utc
 
 TOKEN_LIMIT = 1024
@@ -37,7 +37,7 @@ def op1_quality(spark, sf_dir):
 
 @query
 def op2_substring_dedup(spark, sf_dir):
-    kept = substrings.without_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = substrings.without_repeats(read(whole_texts(spark), sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -125,6 +125,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", names
     Only texts that hold repeated windows, and a few others, are shuffled to meet them.
     """
     inputs, at = [docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], len(docs.columns)
+    own = [c.lower() for c in docs.columns].index(text.lower())  # a text travels once, as the column it is
     keyed = docs.select(*inputs, docs[text].cast("binary").alias("text")).withColumn("key", F.unhex(F.md5("text")))
     spans = written(repeated_spans(keyed.select("text", "key"), size), "spans")
     named = docs.sparkSession.sparkContext.broadcast(gathered(spans.select("key"), first_half, width_for(spans.count()), 1))
@@ -132,24 +133,24 @@ def without_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", names
     def rows_named(wanted: bool):
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                key = batch.column(at + 1)
+                key = batch.column(at)
                 holds = np.zeros(len(key), bool)
                 known = key.is_valid().to_numpy(zero_copy_only=False)  # null texts have no key
-                holds[known] = named.value.has(next(first_half(iter([batch.filter(key.is_valid())]), at + 1)))
+                holds[known] = named.value.has(next(first_half(iter([batch.select(["key"]).filter(key.is_valid())]))))
                 yield batch.filter(pa.array(holds == wanted))
 
-        chosen = keyed.select(*(f"c{i}" for i in range(at)), "text", "key")
+        chosen = keyed.select(*(f"c{i}" for i in range(at)), "key")
         return chosen.mapInArrow(some, chosen.schema)
 
-    shown = [*(f"c{i}" for i in range(at)), "text"]
+    shown = [f"c{i}" for i in range(at)]
     joined = rows_named(True).join(spans, "key", "left").select(*shown, "spans")
     apart = rows_named(False).select(*shown, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField("words", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, at):
+        for part in slices(batches, own):
             total, removed, kept = [], [], []
-            for t, spans in zip(part.column(at).to_pylist(), part.column(at + 1).to_pylist(), strict=True):
+            for t, spans in zip(part.column(own).cast(pa.binary()).to_pylist(), part.column(at).to_pylist(), strict=True):
                 words = (t or b"").split()
                 total.append(len(words))
                 edge = np.zeros(len(words) + 1, np.int64)

@@ -5,11 +5,13 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tellerlake.llm import neardup, substrings
-from tellerlake.llm.common import folded_words
+from tellerlake.llm import common, neardup, substrings
+from tellerlake.llm.common import ARROW_ROWS, folded_words, whole_texts
 from tellerlake.llm.components import components, regrouped
+from tellerlake.llm.queries import QUERIES
 from tellerlake.llm.sketches import gathered
 
 
@@ -227,3 +229,42 @@ def test_only_texts_with_repeats_are_joined(spark, documents, prose, monkeypatch
     got = sorted((r.doc_id, r.n_removed) for r in out.collect())
     assert got == sorted((i, 80 if t == prose(1, 80) else 0) for i, t in rows) and "spans" in made
     assert sum("MapInArrow" in x for x in out._jdf.queryExecution().executedPlan().toString().splitlines()) >= 4
+
+
+def test_a_bucket_row_meets_its_leaders_as_one_row(spark, documents, monkeypatch):
+    """The rows of the join with the leaders are the rows of mixed buckets, however many lead a bucket."""
+    rng, template, met, plain = random.Random(18), [f"t{i}" for i in range(170)], [], neardup.promising
+    own = [[f"o{i}x{j}" for j in range(18)] for i in range(120)]
+    own += [edited(own[i], rng, 1) for i in range(0, 100, 5)]
+
+    def spy(rows):
+        met.append((rows.count(), rows.select("band", "key").distinct().count()))
+        return plain(rows)
+
+    monkeypatch.setattr(neardup, "promising", spy)
+    got = {r.doc_id: r.class_id for r in neardup.classes(documents(*enumerate(" ".join(template + o) for o in own))).collect()}
+    assert {(c, d) for d, c in got.items() if c != d} == {(5 * i, 120 + i) for i in range(20)}
+    assert met[0][0] > 0 and all(n == rows for n, rows in met)
+
+
+def test_texts_travel_once_and_in_small_batches(spark, documents, prose):
+    """Queries whose frames run after they returned leave a bound on rows of a batch; a text is one column of what goes to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        QUERIES["op2_substring_dedup"](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get(name)) == ARROW_ROWS
+        spark.conf.set(name, 7)
+        assert whole_texts(spark).conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
+    out = substrings.without_repeats(documents((1, prose(1, 80)), (2, prose(1, 80))).select("doc_id", "text"))
+    maps = [x for x in out._jdf.queryExecution().analyzed().toString().splitlines() if "MapInArrow some(" in x]
+    assert len(maps) == 2 and all(x.split("some(")[1].split(")")[0].count(",") == 2 for x in maps), maps  # doc_id, text, key
+
+
+def test_memory_goes_back_after_the_last_piece(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.record_batch([pa.array([b"a" * 10, None, b"b" * 10])], names=["text"])
+    assert [p.num_rows for p in common.slices(iter([batch, batch]), 0, 10)] == [2, 1, 2, 1] and given == [1]
