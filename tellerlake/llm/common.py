@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from tellerlake.session import scratch
 
 SLICE_BYTES = 1 << 20
+#: Bytes of text whose words are hashed at once: some eight arrays of 64 bits for each byte are in memory together.
+WORDS_BYTES = 1 << 18
 #: Rows of an Arrow batch that holds whole texts: batches of the usual size take hundreds of MB of an executor.
 ARROW_ROWS = 1024
 
@@ -180,7 +182,7 @@ def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarra
     data = np.frombuffer(b" ".join([*texts, b""]).translate(table), np.uint8)
     edge = np.diff((data != 32).view(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    bits = max(20, len(data).bit_length())
+    bits = max(19, (len(data) - 1).bit_length())
     total = np.cumsum(byte_values()[data] * powers(BASE, bits)[: len(data)])
     before = np.where(begin > 0, total[begin - 1], np.uint64(0))
     hashes = scramble((total[end - 1] - before) * powers(INVERSE, bits)[begin])

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellerlake.llm.common import ARROW_ROWS, BASE, FOLD, arrow_rows, grams, scramble, slices, word_hashes, written
+from tellerlake.llm.common import ARROW_ROWS, BASE, FOLD, WORDS_BYTES, arrow_rows, give_back, grams, scramble, slices, word_hashes, written
 from tellerlake.llm.components import components, regrouped
 from tellerlake.llm.sketches import first_half, gathered, width_for
 
@@ -98,7 +98,7 @@ def inverse_frequencies(texts: DataFrame) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros(IDF_BUCKETS, np.uint32), 0
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, WORDS_BYTES):
             for hashes, _ in shingles(part.column(0).to_pylist()):
                 held[np.unique(hashes & np.uint64(IDF_BUCKETS - 1)).astype(np.int64)] += 1
                 n += len(hashes) > 0
@@ -179,7 +179,7 @@ def verified(pairs: DataFrame, held: DataFrame, idf, threshold: float) -> DataFr
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, other = None, None
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, WORDS_BYTES):
             keep = []
             for left, right, b in zip(shingles(part.column(0).to_pylist()), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
                 if b != last:
@@ -196,7 +196,7 @@ def prefixes(held: DataFrame, idf, threshold: float) -> DataFrame:
     and that of the text, as far as the weight before them is what a link may leave unshared. The order (idf, then hash) is the same in all texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, WORDS_BYTES):
             out: list[tuple[np.ndarray, ...]] = []
             for i, (h, n) in enumerate(shingles(part.column(0).to_pylist())):
                 each = weights(h, np.ones_like(n), idf.value)
@@ -245,7 +245,7 @@ def _linked(texts: DataFrame, threshold: float) -> DataFrame:
     idf = texts.sparkSession.sparkContext.broadcast(inverse_frequencies(texts.select("text")))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, WORDS_BYTES):
             found = [(h, weights(h, n, idf.value)) for h, n in shingles(part.column(0).to_pylist())]
             some = [i for i, f in enumerate(found) if len(f[0])]
             if some:
@@ -253,6 +253,8 @@ def _linked(texts: DataFrame, threshold: float) -> DataFrame:
                 names = bands(drawn)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, names.size + 1, BANDS, dtype=np.int32)), pa.array(names.ravel()))
                 yield pa.record_batch([part.column(1).take(pa.array(some)), pa.array([d.tobytes() for d in drawn], pa.binary()), pa.array([d[::4].tobytes() for d in drawn.view(np.uint8)], pa.binary()), lists], names=["key", "drawn", "marks", "bands"])
+        variates.cache_clear()  # 35 MB that no other task of the worker needs
+        give_back()
 
     sampled = written(texts.mapInArrow(sample, "key binary, drawn binary, marks binary, bands array<long>").dropDuplicates(["key"]), "samples")
     members = sampled.select("key", F.explode("bands").alias("band"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tellerlake.llm.common import PLAIN, grams, scramble, slices, word_hashes, written
+from tellerlake.llm.common import PLAIN, WORDS_BYTES, grams, scramble, slices, word_hashes, written
 from tellerlake.llm.sketches import first_half, gathered, width_for
 
 SIZE = 35
@@ -70,7 +70,7 @@ def candidate_runs(texts: DataFrame, size: int, seen) -> DataFrame:
     windows share a representative's place as the first and the last one cover together, so these two and the number name the run."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, WORDS_BYTES):
             words, bounds, hashes, begin, n = runs_of(part, size)
             take = seen.value.has(hashes)
             hashes, begin, n = hashes[take], begin[take], n[take]
@@ -86,7 +86,7 @@ def candidate_windows(texts: DataFrame, size: int, mixed) -> DataFrame:
     """The windows, one by one, of representatives that different runs share: text key, representative, hash of the window, place."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 0):
+        for part in slices(batches, 0, WORDS_BYTES):
             words, bounds, hashes, begin, n = runs_of(part, size)
             take = mixed.value.has(hashes)
             hashes, begin, n = hashes[take], begin[take], n[take]
@@ -104,7 +104,7 @@ def repeated_spans(texts: DataFrame, size: int = SIZE) -> DataFrame:
     spark = texts.sparkSession
     octets = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     width = width_for(octets // OCTETS_A_REPRESENTATIVE)
-    of_texts = lambda batches: (runs_of(part, size)[2] for part in slices(batches, 0))
+    of_texts = lambda batches: (runs_of(part, size)[2] for part in slices(batches, 0, WORDS_BYTES))
     of_values = lambda batches: (b.column(0).to_numpy().view(np.uint64) for b in batches)
     seen = spark.sparkContext.broadcast(gathered(texts.select("text"), of_texts, width, 2))
     found = written(candidate_runs(texts, size, seen), "runs")
@@ -130,37 +130,45 @@ def without_repeats(docs: DataFrame, size: int = SIZE, text: str = "text", names
     spans = written(repeated_spans(keyed.select("text", "key"), size), "spans")
     named = docs.sparkSession.sparkContext.broadcast(gathered(spans.select("key"), first_half, width_for(spans.count()), 1))
 
-    def rows_named(wanted: bool):
-        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key = batch.column(at)
-                holds = np.zeros(len(key), bool)
-                known = key.is_valid().to_numpy(zero_copy_only=False)  # null texts have no key
-                holds[known] = named.value.has(next(first_half(iter([batch.select(["key"]).filter(key.is_valid())]))))
-                yield batch.filter(pa.array(holds == wanted))
-
-        chosen = keyed.select(*(f"c{i}" for i in range(at)), "key")
-        return chosen.mapInArrow(some, chosen.schema)
+    def rows_named(batches: Iterator[pa.RecordBatch], wanted: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(at)
+            holds = np.zeros(len(key), bool)
+            known = key.is_valid().to_numpy(zero_copy_only=False)  # null texts have no key
+            holds[known] = named.value.has(next(first_half(iter([batch.select(["key"]).filter(key.is_valid())]))))
+            yield batch.filter(pa.array(holds == wanted))
 
     shown = [f"c{i}" for i in range(at)]
-    joined = rows_named(True).join(spans, "key", "left").select(*shown, "spans")
-    apart = rows_named(False).select(*shown, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema)] + [T.StructField("words", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
+    def stripped(part: pa.RecordBatch, held: list) -> pa.RecordBatch:
+        total, removed, kept = [], [], []
+        for t, spans in zip(part.column(own).cast(pa.binary()).to_pylist(), held, strict=True):
+            words = (t or b"").split()
+            total.append(len(words))
+            edge = np.zeros(len(words) + 1, np.int64)
+            for s in spans or ():
+                edge[s["begin"]] += 1
+                edge[s["begin"] + s["n"] + size - 1] -= 1
+            stay = np.cumsum(edge[:-1]) == 0
+            kept.append(b" ".join([w for w, k in zip(words, stay.tolist(), strict=True) if k] if spans else words))
+            removed.append(int(len(words) - stay.sum()))
+        return pa.record_batch([*(part.column(i) for i in range(at)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=[f.name for f in schema])
+
+    def chosen(wanted: bool) -> DataFrame:
+        """The rows that may hold repeats as they are, for the join; all others with what they keep, in one function: a second one in the same stage
+        would need a Python worker of its own for each task, and an executor keeps it."""
+
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = rows_named(batches, wanted)
+            yield from rows if wanted else (stripped(part, [None] * part.num_rows) for part in slices(rows, own, WORDS_BYTES))
+
+        named_rows = keyed.select(*shown, "key")
+        return named_rows.mapInArrow(some, named_rows.schema if wanted else schema)
+
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, own):
-            total, removed, kept = [], [], []
-            for t, spans in zip(part.column(own).cast(pa.binary()).to_pylist(), part.column(at).to_pylist(), strict=True):
-                words = (t or b"").split()
-                total.append(len(words))
-                edge = np.zeros(len(words) + 1, np.int64)
-                for s in spans or ():
-                    edge[s["begin"]] += 1
-                    edge[s["begin"] + s["n"] + size - 1] -= 1
-                stay = np.cumsum(edge[:-1]) == 0
-                kept.append(b" ".join([w for w, k in zip(words, stay.tolist(), strict=True) if k] if spans else words))
-                removed.append(int(len(words) - stay.sum()))
-            yield pa.record_batch([*(part.column(i) for i in range(at)), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=[f.name for f in schema])
-
-    out = joined.mapInArrow(strip, schema).unionByName(apart.mapInArrow(strip, schema)).withColumn("kept", F.col("kept").cast("string"))
+        return (stripped(part, part.column(at).to_pylist()) for part in slices(batches, own, WORDS_BYTES))
+
+    joined = chosen(True).join(spans.hint("merge"), "key", "left").select(*shown, "spans")  # a broadcast would put both functions into one stage
+    out = joined.mapInArrow(strip, schema).unionByName(chosen(False)).withColumn("kept", F.col("kept").cast("string"))
     return out.toDF(*docs.columns, *names)

@@ -268,3 +268,34 @@ def test_memory_goes_back_after_the_last_piece(monkeypatch):
     monkeypatch.setattr(common, "give_back", lambda: given.append(1))
     batch = pa.record_batch([pa.array([b"a" * 10, None, b"b" * 10])], names=["text"])
     assert [p.num_rows for p in common.slices(iter([batch, batch]), 0, 10)] == [2, 1, 2, 1] and given == [1]
+
+
+def test_a_stage_has_one_python_function(spark, documents, prose):
+    """An executor keeps a Python worker for every function that its tasks have in one stage, so a function that follows another follows a shuffle."""
+    out = substrings.without_repeats(documents((1, prose(1, 80)), (2, prose(1, 80)), (3, prose(3, 50)), (4, None)))
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect())
+    assert got == [(1, 80, 80, ""), (2, 80, 80, ""), (3, 50, 0, prose(3, 50)), (4, 0, 0, "")]
+    node, met = out._jdf.queryExecution().executedPlan().executedPlan(), []
+
+    def walk(plan, above):
+        name = plan.nodeName()
+        if "QueryStage" in name or "Exchange" in name:
+            above = 0
+        elif name == "MapInArrow":
+            above += 1
+            met.append(above)
+        children = [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+        for child in children:
+            walk(child, above)
+
+    walk(node, 0)
+    assert met and max(met) == 1, met
+
+
+def test_tables_for_a_piece_of_words_are_small():
+    """Of each text piece that op2 and op5 hash, tables of powers take at most 4 MB each, whatever its words."""
+    common.powers.cache_clear()
+    for texts in ([b"a " * (common.WORDS_BYTES // 2)], [b"a"] * common.WORDS_BYTES):
+        words, _ = common.word_hashes(texts, common.PLAIN)
+        assert len(words) == len(texts[0].split()) * len(texts)
+    assert max(common.powers(b, 19).nbytes for b in (common.BASE, common.INVERSE)) <= 1 << 22 and common.powers.cache_info().misses == 2
