@@ -28,13 +28,22 @@ SERVED = {
 
 
 def key_check(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
-    """One row: rows, rows with an incomplete key, and rows beyond the first of their key. Keys are combined before the shuffle."""
+    """One row: rows, rows with an incomplete key, and rows beyond the first of their key.
+
+    Keys are counted by a 64-bit hash, so whole keys are not shuffled. Only if complete keys share a hash are those keys counted as they are."""
     missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    counted = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], missing.alias("_missing")).agg(F.count(F.lit(1)).alias("_n"))
-    sums = counted.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum(F.when(F.col("_missing"), F.col("_n"))), F.lit(0)).alias("incomplete_keys"),
-                       F.coalesce(F.sum(F.when(~F.col("_missing"), F.col("_n") - 1)), F.lit(0)).alias("repeated_keys"))
+    named = df.select(F.xxhash64(*keys).alias("_h"), missing.alias("_missing"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    hashes = named.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.col("_missing"), 1)).alias("_whole"))
+    found = hashes.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("_whole"), F.lit(0)).alias("whole"), F.coalesce(F.max("_whole"), F.lit(0)).alias("most")).first()
+    if found["most"] > 1:
+        shared = named.where(~F.col("_missing")).join(hashes.where("_whole > 1").select("_h"), "_h", "left_semi")
+        counted = shared.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count(F.lit(1)).alias("_n"))
+        repeated = counted.agg(F.sum(F.col("_n") - 1).alias("repeated_keys"))
+    else:
+        repeated = df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("repeated_keys"))
+    counts = [F.lit(v).cast("bigint").alias(c) for c, v in (("row_count", found["rows"]), ("incomplete_keys", found["rows"] - found["whole"]))]
     sound = (F.col("incomplete_keys") == 0) & (F.col("repeated_keys") == 0)
-    return sums.select(F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"), "*", sound.alias("accepted"))
+    return repeated.select(F.lit(name).alias("table_name"), F.lit(",".join(keys)).alias("key_columns"), *counts, "repeated_keys").withColumn("accepted", sound)
 
 
 def editions(spark: SparkSession, root: str) -> DataFrame:

@@ -255,6 +255,20 @@ def test_an_edition_is_published_whole_or_not_at_all(spark, tmp_path):
         publication.read_published(spark, root, "c")
 
 
+def test_keys_are_counted_without_moving_them(spark, monkeypatch):
+    """Sound keys are counted by hash alone; missing and repeated ones, and different keys of one hash, as they are."""
+    make = lambda *rows: spark.createDataFrame(rows, "a string, b string")
+    check = lambda df: tuple(publication.key_check(df, "t", ("a", "b")).first())
+    sound = make(*((str(i % 7), str(i)) for i in range(50)))
+    assert check(sound) == ("t", "a,b", 50, 0, 0, True)
+    assert "_k0" not in publication.key_check(sound, "t", ("a", "b"))._jdf.queryExecution().analyzed().toString()
+    odd = make(("1", "x"), ("1", "x"), ("1", "x"), ("2", "y"), ("2", "y"), (None, "x"), (None, "x"), ("1", None), ("x", None), ("3", "z"))
+    assert check(odd) == ("t", "a,b", 10, 4, 3, False)
+    assert check(make()) == ("t", "a,b", 0, 0, 0, True)
+    monkeypatch.setattr(publication.F, "xxhash64", lambda *keys: F.lit(1).cast("bigint"))
+    assert check(sound) == ("t", "a,b", 50, 0, 0, True) and check(odd) == ("t", "a,b", 10, 4, 3, False)
+
+
 def test_a_repeated_batch_replaces_its_report(spark, tmp_path):
     report = spark.createDataFrame([(1, "x")], "batch_id long, check_name string")
     for _ in range(2):
